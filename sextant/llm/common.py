@@ -52,3 +52,14 @@ def id_remainder(modulus: int, name: str = "doc_id") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the records of an Arrow batch to ARROW_RECORDS; never raise them.
+
+    Texts can be long, and a batch is held by the executor and by its Python
+    worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) not in range(1, ARROW_RECORDS + 1):
+        spark.conf.set(key, str(ARROW_RECORDS))

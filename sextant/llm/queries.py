@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import exact_dedup, sharding, warc
+from sextant.llm import bpe, exact_dedup, langid, sharding, warc
 from sextant.llm.common import table
 
 N_SHARDS = 24
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file; the same path must exist on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("in_history")
 
@@ -20,6 +27,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, payloads = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.archive_report(headers, payloads)
@@ -29,6 +44,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_sharding": op2_sharding,
+        "op3_language_id": op3_language_id,
+        "op4_bpe": op4_bpe,
         "op6_warc": op6_warc,
     }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import bpe, exact_dedup, langid, sharding, simhash, warc
+from sextant.llm import bpe, exact_dedup, langid, mixing, sharding, simhash, warc
 from sextant.llm.common import table
 
 N_SHARDS = 24
@@ -40,6 +40,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(headers, payloads)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
         "op6_warc": op6_warc,
+        "op7_mixing": op7_mixing,
         "op9_simhash": op9_simhash,
     }
 
@@ -79,5 +84,66 @@ FROM m
 """
 
 
+def _op7_sql() -> str:
+    sql = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+r AS (
+  SELECT *, (('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::VARCHAR, ''), size::VARCHAR)), 1, 12))::BIGINT::DOUBLE
+             + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM d),
+s AS (
+  SELECT source, sum(size)::DOUBLE AS source_size, count(*) AS n_rows,
+         [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM r GROUP BY source),
+l AS (
+  SELECT *, source_size * 2 AS cap,
+         (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2) OVER b, 0))
+         / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM s WINDOW b AS (ORDER BY source_size * 2 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (
+  SELECT *, weight * level >= cap AS capped,
+         first_value(CASE WHEN weight * level < cap THEN level END IGNORE NULLS)
+           OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final
+  FROM l),
+t AS (
+  SELECT *, CASE WHEN capped THEN cap ELSE weight * final END AS target,
+         CASE WHEN source_size > 0 THEN (CASE WHEN capped THEN cap ELSE weight * final END) / source_size ELSE 0 END AS per_row
+  FROM f),
+p AS (
+  SELECT *, floor(per_row) AS certain, target - floor(per_row) * source_size AS need,
+         (per_row - floor(per_row)) / (1 - (per_row - floor(per_row))) AS odds, ceil(n_rows / {mixing.BIN_ROWS}::DOUBLE) AS bins
+  FROM t),
+k AS (
+  SELECT r.doc_id, r.source, r.size, r.u, p.* EXCLUDE (source),
+         CASE WHEN odds > 0 THEN (u / (1 - u) / odds) / (1 + u / (1 - u) / odds) ELSE 1 END AS rank
+  FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source),
+b AS (SELECT *, least(floor(rank * bins), bins - 1) AS bin FROM k),
+c AS (
+  SELECT source, bin, any_value(need) AS need, sum(size)::DOUBLE AS words FROM b GROUP BY source, bin),
+e AS (
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bin) AS up_to FROM c),
+g AS (
+  SELECT source, min(bin) AS border, arg_min(need - (up_to - words), bin) AS room FROM e WHERE up_to > need GROUP BY source),
+w0 AS (
+  SELECT b.*, g.border, coalesce(g.room, 0) AS gap,
+         CASE WHEN g.border IS NULL THEN need > 0 ELSE bin < g.border END AS chosen,
+         g.border IS NOT NULL AND bin = g.border AS here
+  FROM b LEFT JOIN g ON b.source IS NOT DISTINCT FROM g.source)"""
+    for i in range(mixing.FILLS):
+        sql += f""",
+x{i} AS (SELECT *, here AND NOT chosen AND size <= gap AS fits FROM w{i}),
+y{i} AS (
+  SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END)
+    OVER (PARTITION BY source, here ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) <= gap AS now FROM x{i}),
+w{i + 1} AS (
+  SELECT * EXCLUDE (fits, now, gap, chosen),
+         gap - sum(CASE WHEN now THEN size ELSE 0 END) OVER (PARTITION BY source, here) AS gap, chosen OR now AS chosen
+  FROM y{i})"""
+    return sql + f"""
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, ((certain + chosen::INT) * size)::BIGINT AS taken FROM w{mixing.FILLS}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_mixing": _op7_sql()}

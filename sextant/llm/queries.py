@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import bpe, exact_dedup, langid, mixing, sharding, simhash, warc
+from sextant.llm import bpe, exact_dedup, langid, lm, mixing, sharding, simhash, warc
 from sextant.llm.common import table
 
 N_SHARDS = 24
@@ -44,6 +44,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op6_warc": op6_warc,
         "op7_mixing": op7_mixing,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_simhash": op9_simhash,
     }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import bpe, exact_dedup, langid, lm, mixing, sharding, simhash, warc
+from sextant.llm import bpe, exact_dedup, fingerprint, langid, lm, mixing, sharding, simhash, warc
 from sextant.llm.common import table
 
 N_SHARDS = 24
@@ -52,6 +52,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_lm_scoring": op8_lm_scoring,
         "op9_simhash": op9_simhash,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 

@@ -174,14 +174,19 @@ class Folded:
 def train(docs: DataFrame, eligible: Column) -> Network | None:
     """A network from at most SAMPLE_ROWS labelled rows where ``eligible`` holds.
 
-    The sample is spread evenly over labels: of each the rows of smallest text
-    hash, which are the same rows on every run. Ranking by label keeps at most
-    SAMPLE_ROWS rows of a task before it shuffles.
+    The sample is spread evenly over labels: of each the distinct texts of smallest
+    hash, which are the same on every run. A share that the label's row count
+    bounds is cut out by hash first, so that few rows are ranked by label.
     """
     rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     raw = F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES)
     rows = rows.select("lang", raw.alias("raw"), F.xxhash64("text").alias("order"))
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("order", "raw")))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod("order", F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
+    near = rows.join(sizes, "lang").where(part <= F.lit(2.0 * SAMPLE_ROWS))
+    texts = near.groupBy("lang", "order").agg(F.min("raw").alias("raw"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 30)), "order")
+    ranked = texts.withColumn("nth", F.row_number().over(order))
     sample = (
         ranked.where(F.col("nth") <= F.lit(SAMPLE_ROWS)).orderBy("nth", "order", "lang").limit(SAMPLE_ROWS).collect()
     )

@@ -22,6 +22,7 @@ import heapq
 import json
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,14 +32,18 @@ from pyspark.sql import functions as F
 
 from sextant.llm.common import bounded_batches
 
-#: Fixed value: the byte-level tokenizer's word pattern.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the byte-level tokenizer's word pattern, letters first as they are commonest.
+WORD_PATTERN = r" ?\p{L}++|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Words that a worker remembers before it starts afresh.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: Characters of text whose new words are encoded together.
 BATCH_CHARS = 1_000_000
 
+#: Bytes of a word beyond which merging keeps a heap.
+LONG_WORD = 100
+
 _NEVER = np.int64(1) << 40
+_NO_RANK = 1 << 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -71,25 +76,29 @@ class Tokenizer:
             self.bytes[i] = token.encode()
         self.added = {token: np.array([i], dtype="<u4").tobytes() for token, i in added.items()}
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.longest = max(map(len, self.ids))
+        # how far a token can reach that begins with these three bytes
+        self.reach: dict[bytes, int] = {}
+        for token in self.ids:
+            self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
         self.words = regex.compile(WORD_PATTERN)
         self.cache: dict[str, bytes] = {}
 
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # left * size + right -> rank
+        self.made: list[int] = []  # by rank
         self.rank = np.full(size, -1, dtype=np.int64)
         self.left, self.right = np.arange(size), np.arange(size)
         for rank, pair in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in part) for part in (pair if isinstance(pair, list) else pair.split(" ")))
             one, two, made = self.ids[a], self.ids[b], self.ids[a + b]
-            if (one, two) not in self.merges:
-                self.merges[one, two] = (rank, made)
+            self.merges.setdefault(one * size + two, rank)
+            self.made.append(made)
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = rank, one, two
-        keys = np.array([a * size + b for a, b in self.merges], dtype=np.int64)
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
         order = np.argsort(keys)
         self.size = size
         self.pair_keys = np.append(keys[order], np.int64(1) << 62)
-        self.pair_ranks = np.append(np.array([r for r, _ in self.merges.values()], dtype=np.int64)[order], _NEVER)
+        self.pair_ranks = np.append(np.fromiter(self.merges.values(), np.int64, len(keys))[order], _NEVER)
         # a token is sound if its own bytes encode to it: its last merge came in its turn
         self.sound = np.ones(size, dtype=bool)
         made = np.flatnonzero(self.rank >= 0)
@@ -128,9 +137,9 @@ class Tokenizer:
 
     def propose(self, word: bytes) -> list[int]:
         """The longest token at each place."""
-        found, at, ids = [], 0, self.ids
-        while at < len(word):
-            end = min(len(word), at + self.longest)
+        found, at, ids, reach, n = [], 0, self.ids, self.reach, len(word)
+        while at < n:
+            end = min(n, at + reach.get(word[at : at + 3], 2))
             while word[at:end] not in ids:
                 end -= 1
             found.append(ids[word[at:end]])
@@ -140,32 +149,54 @@ class Tokenizer:
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest rank first, of equal ranks the leftmost."""
         parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        if len(parts) > LONG_WORD:
+            return self._merge_long(parts)
+        size, rank_of, made = self.size, self.merges.get, self.made
+        ranks = [rank_of(a * size + b, _NO_RANK) for a, b in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) < _NO_RANK:
+            i = ranks.index(low)
+            parts[i : i + 2] = [made[low]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(parts[i - 1] * size + parts[i], _NO_RANK)
+            if i < len(ranks):
+                ranks[i] = rank_of(parts[i] * size + parts[i + 1], _NO_RANK)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same with a heap and links, whose time does not grow with the square."""
         after = [*range(1, len(parts)), -1]
         before = [*range(-1, len(parts) - 1)]
-        queue = [(*self.merges[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in self.merges]
-        heapq.heapify(queue)
-        # entries are (rank, made, place, left, right); made follows from rank, so place breaks ties
+        queue: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            a, b = parts[i], parts[after[i]]
+            if (rank := self.merges.get(a * self.size + b)) is not None:
+                heapq.heappush(queue, (rank, i, a, b))
+
+        for i in range(len(parts) - 1):
+            offer(i)
         while queue:
-            _, made, i, a, b = heapq.heappop(queue)
+            rank, i, a, b = heapq.heappop(queue)
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j] = made, -1
+            parts[i], parts[j] = self.made[rank], -1
             after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] >= 0 and (p := (parts[k], parts[after[k]])) in self.merges:
-                    heapq.heappush(queue, (*self.merges[p], k, *p))
+            if after[i] >= 0:
+                before[after[i]] = i
+                offer(i)
+            if before[i] >= 0:
+                offer(before[i])
         return [p for p in parts if p >= 0]
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode new words into the cache: propose, test all pairs, merge the rest."""
         words = list(words)
         raw = [w.encode() for w in words]
-        proposed = [self.propose(w) for w in raw]
-        lengths = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(lengths.sum()))
+        tokens = [self.propose(w) for w in raw]
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.fromiter(chain.from_iterable(tokens), np.int64, int(lengths.sum()))
         word_of = np.repeat(np.arange(len(words)), lengths)
         fails = np.zeros(len(words), dtype=bool)
         fails[word_of[~self.sound[flat]]] = True
@@ -174,35 +205,38 @@ class Tokenizer:
             pairs, back = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
             bad = ~self.compatible(pairs // self.size, pairs % self.size)
             fails[word_of[inner[bad[back]]]] = True
-        for word, text, tokens, fail in zip(words, raw, proposed, fails.tolist()):
-            self.cache[word] = np.array(self.merge(text) if fail else tokens, dtype="<u4").tobytes()
+        for i in np.flatnonzero(fails).tolist():
+            tokens[i] = self.merge(raw[i])
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ids = np.fromiter(chain.from_iterable(tokens), "<u4", int(lengths.sum())).tobytes()
+        ends = (4 * np.cumsum(lengths)).tolist()
+        self.cache.update(zip(words, (ids[a:b] for a, b in zip([0, *ends], ends))))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self._pieces(t) for t in texts]
-        wanted = {w for text in pieces for part in text for w in part if not isinstance(part, str)}
-        new = [w for w in wanted if w not in self.cache]
+        wanted: set[str] = set()
+        for words, _ in pieces:
+            wanted.update(*words)
+        new = wanted - self.cache.keys()
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-            new = list(wanted)
+            new = wanted
         if new:
             self.learn(new)
         get = self.cache.__getitem__
-        return [
-            b"".join(self.added[part] if isinstance(part, str) else b"".join(map(get, part)) for part in text)
-            for text in pieces
-        ]
-
-    def _pieces(self, text: str) -> list[list[str] | str]:
-        """Words of the parts between added tokens; an added token is a bare string."""
+        out = []
+        for words, between in pieces:
+            coded = [b"".join(map(get, part)) for part in words]
+            out.append(b"".join(x for pair in zip(coded, [*between, b""]) for x in pair))
+        return out
+
+    def _pieces(self, text: str) -> tuple[list[list[str]], list[bytes]]:
+        """The words of each part between added tokens, and the ids of those tokens."""
         if self.added_pattern is None or not (hits := [m.span() for m in self.added_pattern.finditer(text)]):
-            return [self.words.findall(text)]
-        out: list[list[str] | str] = []
-        at = 0
-        for start, end in hits:
-            out += [self.words.findall(text[at:start]), text[start:end]]
-            at = end
-        return [*out, self.words.findall(text[at:])]
+            return [self.words.findall(text)], []
+        starts, ends = [0, *(b for _, b in hits)], [*(a for a, _ in hits), len(text)]
+        return [self.words.findall(text[a:b]) for a, b in zip(starts, ends)], [self.added[text[a:b]] for a, b in hits]
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes

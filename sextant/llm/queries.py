@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import bpe, exact_dedup, fingerprint, langid, lm, mixing, sharding, simhash, warc
+from sextant.llm import bpe, exact_dedup, fingerprint, langid, line_dedup, lm, mixing, sharding, simhash, warc
 from sextant.llm.common import table
 
 N_SHARDS = 24
@@ -35,6 +35,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, payloads = warc.write_archive(table(spark, sf_dir, "pages"))
     return warc.archive_report(headers, payloads)
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
+        "op5_line_dedup": op5_line_dedup,
         "op6_warc": op6_warc,
         "op7_mixing": op7_mixing,
         "op8_lm_scoring": op8_lm_scoring,

@@ -41,7 +41,7 @@ def is_blank(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.regexp_replace(text, f"^[{SPACES}]+|(?<![{SPACES}])[{SPACES}]+$", "")
 
 
 def _longer_than(items: Column, n_bytes: int) -> Column:

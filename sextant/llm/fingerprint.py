@@ -8,13 +8,16 @@ the cell-wise difference of their sketches: what they share cancels. A cell with
 count 1 or -1 and a fitting check value is pure and gives a differing digest;
 taking it out of its other cells makes more cells pure, until all are empty.
 
-The fingerprint is the smallest sketch, written in hex behind the number of
-digests. If the difference of two fingerprints does not peel, larger sketches are
-made: digests are dealt to groups by their value, so that work per group does not
-grow with the text, and a group that does not peel is tried again with sub-tables
-twice as large and other positions. Peeling recovers the digests on either side,
-and likeness is their Jaccard similarity, (a + b - d) / (a + b + d) for sizes a
-and b and d differing digests; two empty texts are alike.
+The fingerprint is a small sketch of fixed size, written in hex behind the number
+of digests. To compare two texts, larger sketches of both are subtracted and
+peeled, with a size by their numbers of digests; pairs that do not peel are tried
+again at twice the size and other places. Cells are rows: a sketch is an
+aggregate by (pair, cell), a round of peeling lets the pure cells of one sub-table
+emit what they take out of the other two, and aggregates again. All rounds run on
+one partitioning by document, so they shuffle nothing, and no task holds more of
+a document at once than a row. Likeness is the Jaccard similarity of the sets of
+digests, (a + b - d) / (a + b + d) for sizes a and b and d differing digests; two
+empty texts are alike.
 
 Null text counts as empty. Equal texts have equal fingerprints. Repeated rows are
 documents of their own, next to each other in order; null ids come last. An empty
@@ -26,164 +29,164 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import text_or_empty
+from sextant.llm.common import stored, text_or_empty
 
 #: Where one paragraph ends and the next begins.
-PARAGRAPH_END = r"\s*\n\s*|(?<=[.!?|;:])\s+"
-#: Bits of a place in a sub-table: of the fingerprint, then of each further try.
-FIRST_BITS = 2
-RETRY_BITS = (3, 4, 5, 6, 7, 8, 9, 10)
-#: Digests of both sides in a group, on average.
-GROUP_DIGESTS = 12
+PARAGRAPH_END = r"(?<=[.!?|;:])\s+|\r?\n"
+#: Places in a sub-table of the fingerprint.
+FINGERPRINT_PLACES = 2
+#: Places in a sub-table for each digest of both sides, at the first try, and at least.
+PLACES_PER_DIGEST = 0.6
+LEAST_PLACES = 4
+#: Rounds of peeling in a try, and tries; a pair that fails all of them fails the job.
+ROUNDS = 9
+TRIES = 12
+#: Digests of a task in peeling, on average.
+TASK_DIGESTS = 300_000
 #: Quantiles of doc_id that even out the ranges, and rows of a range on average.
 QUANTILES = 256
 RANGE_ROWS = 2000
+#: Ranges whose first rows may be broadcast (some 40 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_RANGES = 100_000
 
-_ZERO = F.lit(0).cast("long")
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.transform(F.array(value), body)[0]
+_FOUND = -1  # the cell number of digests that were recovered
 
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs that are not blank."""
-    parts = F.filter(F.split(text, PARAGRAPH_END), lambda p: F.length(F.trim(p)) > 0)
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    parts = F.transform(F.split(text, PARAGRAPH_END), lambda p: F.trim(p))
+    return F.array_distinct(F.transform(F.filter(parts, lambda p: p != F.lit("")), lambda p: F.xxhash64(p)))
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(-1))
 
 
-def _placed(found: Column, bits: Column) -> Column:
-    """Digests with the hash that their places are taken from, another for each size."""
-    return F.transform(found, lambda d: F.struct(d.alias("d"), F.xxhash64(d, bits).alias("x")))
-
-
-def _hits(x: Column, cell: Column, bits: Column) -> Column:
-    """Whether the digest with hash x belongs to the cell; sub-tables follow each other."""
-    size = F.call_function("shiftleft", F.lit(1), bits)
-    shift = bits * F.call_function("shiftright", cell, bits)
-    place = F.call_function("shiftrightunsigned", x, shift).bitwiseAND((size - F.lit(1)).cast("long"))
-    return place == cell.bitwiseAND(size - F.lit(1)).cast("long")
-
-
-def _cell(n: Column, k: Column, h: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), k.alias("k"), h.alias("h"))
-
-
-def _minus(a: Column, b: Column) -> Column:
-    return _cell(a["n"] - b["n"], a["k"].bitwiseXOR(b["k"]), a["h"].bitwiseXOR(b["h"]))
-
+def _place(digest: Column, table: Column | int, places: Column, salt: int) -> Column:
+    """The cell of a digest in a sub-table of so many places."""
+    table = F.lit(table) if isinstance(table, int) else table
+    at = F.pmod(F.xxhash64(digest, F.lit(salt), table), places.cast("long"))
+    return (table * places + at.cast("int")).cast("int")
 
-def sketch(found: Column, bits: Column) -> Column:
-    """The cells of a set of digests."""
 
-    def cells(placed: Column) -> Column:
-        def cell(i: Column) -> Column:
-            def add(c: Column, p: Column) -> Column:
-                one = _cell(F.lit(-1), p["d"], _check(p["d"]))
-                return F.when(_hits(p["x"], i, bits), _minus(c, one)).otherwise(c)
-
-            return F.aggregate(placed, _cell(F.lit(0), _ZERO, _ZERO), add)
-
-        last = F.call_function("shiftleft", F.lit(3), bits) - F.lit(1)
-        return F.transform(F.sequence(F.lit(0), last), cell)
-
-    return _let(_placed(found, bits), cells)
+def fingerprint(found: Column) -> Column:
+    """The number of digests and the cells of a sketch of fixed size, in hex."""
+    digits = lambda x, n: F.lpad(F.hex(x), n, "0")
+    zero = F.lit(0).cast("long")
+    xor = lambda items: F.aggregate(items, zero, lambda a, x: a.bitwiseXOR(x))
 
+    def cell(table: int, place: int) -> Column:
+        at = F.lit(table * FINGERPRINT_PLACES + place)
+        own = F.filter(found, lambda d: _place(d, table, F.lit(FINGERPRINT_PLACES), 0) == at)
+        held = lambda own: F.concat(digits(F.size(own).cast("long"), 4), digits(xor(own), 16), digits(xor(F.transform(own, _check)), 16))
+        return F.transform(F.array(own), held)[0]
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, _minus)
+    cells = [cell(t, p) for t in range(3) for p in range(FINGERPRINT_PLACES)]
+    return F.concat(digits(F.size(found).cast("long"), 8), *cells)
 
 
-def peel(cells: Column, bits: Column) -> Column:
-    """struct(ok, found): the differing digests, n = 1 if of the first side, -1 if of the second.
+def sketch_differences(pairs: DataFrame, attempt: int) -> DataFrame:
+    """(rid, pair, places, cell, mark, n, k, h): the non-empty cells of the subtracted sketches.
 
-    All pure cells of a round are taken out at once. A round without any ends it.
+    ``pairs`` has rid, pair and the digests a and b, and is partitioned by rid.
     """
-
-    def pure(cells: Column) -> Column:
-        good = F.filter(cells, lambda c: (F.abs(c["n"]) == F.lit(1)) & (c["h"] == _check(c["k"])))
-        return F.array_distinct(F.transform(good, lambda c: _cell(c["n"], c["k"], c["h"])))
-
-    def taken_out(cells: Column, out: Column) -> Column:
-        placed = F.transform(out, lambda c: F.struct(c.alias("c"), F.xxhash64(c["k"], bits).alias("x")))
-
-        def without(placed: Column) -> Column:
-            def cell(c: Column, i: Column) -> Column:
-                return F.aggregate(placed, c, lambda left, p: F.when(_hits(p["x"], i, bits), _minus(left, p["c"])).otherwise(left))
-
-            return F.transform(cells, cell)
-
-        return _let(placed, without)
-
-    def round_(state: Column, _: Column) -> Column:
-        def after(out: Column) -> Column:
-            return F.struct(
-                (F.size(out) > 0).alias("going"),
-                F.when(F.size(out) > 0, taken_out(state["cells"], out)).otherwise(state["cells"]).alias("cells"),
-                F.concat(state["found"], out).alias("found"),
-            )
-
-        return F.when(state["going"], _let(pure(state["cells"]), after)).otherwise(state)
-
-    none = F.slice(cells, 1, 0)
-    start = F.struct(F.lit(True).alias("going"), cells.alias("cells"), none.alias("found"))
-    # each round but the last takes out a digest at least, and no more peel than there are cells
-    rounds = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(3), bits))
-    empty = lambda c: (c["n"] == F.lit(0)) & (c["k"] == _ZERO) & (c["h"] == _ZERO)
-    return F.aggregate(
-        rounds,
-        start,
-        round_,
-        lambda s: F.struct(F.forall(s["cells"], empty).alias("ok"), s["found"].alias("found")),
+    total = (F.size("a") + F.size("b")).cast("double")
+    places = F.greatest(F.lit(LEAST_PLACES), F.ceil(total * F.lit(PLACES_PER_DIGEST * 2**attempt)).cast("int"))
+    sides = F.array(F.struct(F.lit(1).alias("n"), F.col("a").alias("ds")), F.struct(F.lit(-1).alias("n"), F.col("b").alias("ds")))
+    each = pairs.select("rid", "pair", places.alias("places"), F.explode(sides).alias("side"))
+    each = each.select("rid", "pair", "places", F.col("side.n").alias("n"), F.explode("side.ds").alias("k"))
+    each = each.select("*", F.explode(F.array(*[F.lit(j) for j in range(3)])).alias("table"))
+    cells = each.select(
+        "rid", "pair", "places", _place(F.col("k"), F.col("table"), F.col("places"), attempt).alias("cell"), F.lit(0).cast("long").alias("mark"), "n", "k", _check(F.col("k")).alias("h")
     )
+    return _summed(cells)
 
 
-def _tried(a: Column, b: Column, bits: Column) -> Column:
-    return _let(subtract(sketch(a, bits), sketch(b, bits)), lambda cells: peel(cells, bits))
-
-
-def difference(a: Column, b: Column) -> Column:
-    """The digests that only one side has, as cells with n = 1 (a) or -1 (b); null if no try peels."""
-    n_groups = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / F.lit(GROUP_DIGESTS)).cast("int"))
-
-    def group(g: Column) -> Column:
-        own = lambda found: F.filter(found, lambda d: F.pmod(d, n_groups.cast("long")) == g.cast("long"))
-
-        def tries(ab: Column) -> Column:
-            retry = lambda state, bits: F.when(state["ok"], state).otherwise(_tried(ab["a"], ab["b"], bits))
-            first = _tried(ab["a"], ab["b"], F.lit(RETRY_BITS[0]))
-            return F.aggregate(F.array(*[F.lit(x) for x in RETRY_BITS[1:]]), first, retry)
-
-        return _let(F.struct(own(a).alias("a"), own(b).alias("b")), tries)
+def _summed(cells: DataFrame) -> DataFrame:
+    """Cells with equal numbers added; empty ones vanish."""
+    out = cells.groupBy("rid", "pair", "places", "cell", "mark").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+    return out.where((F.col("cell") == F.lit(_FOUND)) | (F.col("n") != 0) | (F.col("k") != 0) | (F.col("h") != 0))
 
-    def larger(groups: Column) -> Column:
-        return F.when(F.forall(groups, lambda s: s["ok"]), F.flatten(F.transform(groups, lambda s: s["found"])))
 
-    grouped = _let(F.transform(F.sequence(F.lit(0), n_groups - F.lit(1)), group), larger)
-    return _let(_tried(a, b, F.lit(FIRST_BITS)), lambda s: F.when(s["ok"], s["found"]).otherwise(grouped))
+def peel_round(cells: DataFrame, table: int, attempt: int, keep: bool) -> DataFrame:
+    """Take out what the pure cells of one sub-table hold; a digest lies in one cell of it.
 
-
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets of digests, from what peeling recovers."""
-    total = F.size(a) + F.size(b)
-    d = F.size(difference(a, b))
-    return F.when(total == 0, F.lit(1.0)).otherwise((total - d) / (total + d)).cast("double")
+    A recovered digest becomes a row of its own if ``keep``, else only its count.
+    """
+    n, k, h, places = (F.col(c) for c in ("n", "k", "h", "places"))
+    first = places * F.lit(table)
+    here = (F.col("cell") >= first) & (F.col("cell") < first + places)
+    pure = here & (F.abs(n) == 1) & (h == _check(k))
+    zero = F.lit(0).cast("long")
+    row = lambda cell, mark, n, k, h: F.struct(cell.alias("cell"), mark.alias("mark"), n.alias("n"), k.alias("k"), h.alias("h"))
+    found = row(F.lit(_FOUND), k, n, k, h) if keep else row(F.lit(_FOUND), zero, F.lit(1), zero, zero)
+    others = [row(_place(k, j, places, attempt), zero, -n, k, h) for j in range(3) if j != table]
+    stays = row(F.col("cell"), F.col("mark"), n, k, h)
+    moved = cells.select("rid", "pair", "places", F.explode(F.when(pure, F.array(found, *others)).otherwise(F.array(stays))).alias("c"))
+    return _summed(moved.select("rid", "pair", "places", "c.*"))
+
+
+def peeled(pairs: DataFrame, attempt: int, keep: bool = False) -> DataFrame:
+    """The cells after ROUNDS rounds: recovered digests or their count, and what did not peel."""
+    cells = sketch_differences(pairs, attempt)
+    for i in range(ROUNDS + 2 * attempt):
+        cells = peel_round(cells, i % 3, attempt, keep)
+    return cells
+
+
+def _pairs() -> Column:
+    """The first set of ``digests`` with each of the others, by their ``sizes``."""
+    cut = lambda at, n: F.slice("digests", at + F.lit(1), n)
+    first = F.element_at("sizes", 1)
+
+    def pair(i: Column) -> Column:
+        before = F.aggregate(F.slice("sizes", F.lit(1), i + F.lit(1)), F.lit(0), lambda t, n: t + n)
+        other = cut(before, F.element_at("sizes", i + F.lit(2)))
+        return F.struct(i.alias("pair"), cut(F.lit(0), first).alias("a"), other.alias("b"))
+
+    return F.transform(F.sequence(F.lit(0), F.size("sizes") - F.lit(2)), pair)
+
+
+def differences(sets: DataFrame, keep: bool = False) -> DataFrame:
+    """(rid, pair, d) for all pairs that differ; with ``keep`` also (k, n) of each digest.
+
+    ``sets`` is a stored table with rid, an array ``digests`` of the sets one after the
+    other, and ``sizes``. Pair i compares the first set with set i + 1. With ``keep``
+    there is a row for each differing digest, n = 1 in the first set and -1 in the other.
+    """
+    total = sets.agg(F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0]
+    width = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_DIGESTS))
+    done, waiting = None, None
+    for attempt in range(TRIES):
+        left = sets if waiting is None else sets.join(waiting.select("rid").distinct(), "rid", "left_semi")
+        spread = left.repartition(width, "rid").select("rid", F.explode(_pairs()).alias("p")).select("rid", "p.*")
+        if waiting is not None:
+            spread = spread.join(waiting, ["rid", "pair"], "left_semi")
+        cells = peeled(spread, attempt, keep)
+        if keep:
+            cells = cells.withColumn("bad", F.max((F.col("cell") != F.lit(_FOUND)).cast("int")).over(Window.partitionBy("rid", "pair")))
+            result = stored(cells.select("rid", "pair", "k", "n", "bad"), "peeled")
+        else:
+            by_pair = cells.groupBy("rid", "pair").agg(
+                F.sum(F.when(F.col("cell") == F.lit(_FOUND), F.col("n")).otherwise(F.lit(0))).alias("d"),
+                F.max((F.col("cell") != F.lit(_FOUND)).cast("int")).alias("bad"),
+            )
+            result = stored(by_pair, "peeled")
+        good = result.where("bad = 0").drop("bad")
+        done = good if done is None else done.unionByName(good)
+        waiting = result.where("bad = 1").select("rid", "pair").distinct()
+        if waiting.isEmpty():
+            return done
+    raise RuntimeError(f"some pairs did not peel in {TRIES} tries")
 
 
-def fingerprint(found: Column) -> Column:
-    """The number of digests and the cells of the smallest sketch, in hex."""
-    digits = lambda x, n: F.lpad(F.hex(x), n, "0")
-    cell = lambda c: F.concat(digits(c["n"].cast("long"), 4), digits(c["k"], 16), digits(c["h"], 16))
-    return F.concat(digits(F.size(found).cast("long"), 8), F.concat_ws("", F.transform(sketch(found, F.lit(FIRST_BITS)), cell)))
+def likeness(a: Column, b: Column, d: Column) -> Column:
+    """Jaccard similarity of sets of a and b digests of which d differ."""
+    return F.when(a + b == 0, F.lit(1.0)).otherwise((a + b - d) / (a + b + d)).cast("double")
 
 
-def _ranges(docs: DataFrame) -> Column:
-    """A number for each row that rises with doc_id, of about RANGE_ROWS rows each.
+def _ranges(docs: DataFrame) -> tuple[Column, int]:
+    """A number for each row that rises with doc_id, of about RANGE_ROWS rows each, and its bound.
 
     Quantiles of the ids bound QUANTILES ranges, each cut evenly by value. Null
     ids get the last number. Only the id column is read for this.
@@ -191,7 +194,7 @@ def _ranges(docs: DataFrame) -> Column:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
     n, low, high = ids.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     if not n:
-        return F.lit(0).cast("long")
+        return F.lit(0).cast("long"), 1
     inner = ids.approxQuantile("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 1 / (4 * QUANTILES))
     bounds = sorted({low, *map(int, inner)})
     parts = max(1, -(-n // (RANGE_ROWS * len(bounds))))
@@ -204,7 +207,8 @@ def _ranges(docs: DataFrame) -> Column:
     start, end = F.element_at(starts, nth), F.element_at(ends, nth)
     part = F.floor((doc_id - start).cast("double") / (end - start).cast("double") * F.lit(parts))
     number = nth.cast("long") * F.lit(parts) + F.least(part, F.lit(parts - 1))
-    return F.when(doc_id.isNull(), F.lit((len(bounds) + 2) * parts)).otherwise(number).cast("long")
+    beyond = (len(bounds) + 2) * parts
+    return F.when(doc_id.isNull(), F.lit(beyond)).otherwise(number).cast("long"), beyond + 1
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -213,8 +217,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows are dealt to ranges of doc_id; the first row of each range also goes to
     the range before, as a guest at its end. Texts move once.
     """
+    number, n_ranges = _ranges(docs)
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), _ranges(docs).alias("range")
+        F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), number.alias("range")
     ).withColumn("hash", F.xxhash64("text"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("hash"))
     firsts = rows.groupBy("range").agg(F.min(order).alias("first"))
@@ -222,6 +227,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     by_range = Window.orderBy("range")
     host = F.coalesce(F.lag("range").over(by_range), F.max("range").over(Window.partitionBy()))
     hosts = firsts.select(F.col("first.doc_id").alias("guest_id"), F.col("first.hash").alias("guest_hash"), F.col("range").alias("from_range"), host.alias("host"))
+    hosts = F.broadcast(hosts) if n_ranges <= BROADCAST_RANGES else hosts
     met = (rows["range"] == hosts["from_range"]) & (rows["hash"] == hosts["guest_hash"]) & rows["doc_id"].eqNullSafe(hosts["guest_id"])
     guests = rows.join(hosts, met).select("doc_id", "text", F.col("host").alias("range"), "hash", F.lit(True).alias("guest"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
@@ -240,6 +246,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k))
     rows = with_next(docs).withColumn("edited", edited)
     rows = rows.select(
+        F.monotonically_increasing_id().alias("rid"),
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -247,12 +254,31 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         digests(F.col("edited")).alias("new"),
         digests(F.col("next_text")).alias("next"),
     )
-    return rows.select(
+    names = ("own", "new", "next")
+    table = stored(
+        rows.select(
+            "rid",
+            "doc_id",
+            "n_chars",
+            "edited_sha256",
+            fingerprint(F.col("own")).alias("fingerprint"),
+            fingerprint(F.col("new")).alias("edited_fingerprint"),
+            F.array(*[F.size(c) for c in names]).alias("sizes"),
+            F.concat(*names).alias("digests"),
+        ),
+        "fingerprints",
+    )
+    found = differences(table.select("rid", "sizes", "digests")).groupBy("rid").agg(
+        *[F.max(F.when(F.col("pair") == i, F.col("d"))).alias(f"d{i}") for i in (0, 1)]
+    )
+    size = lambda i: F.element_at("sizes", i)
+    near = lambda i: likeness(size(1), size(i + 2), F.coalesce(f"d{i}", F.lit(0)))
+    return table.drop("digests").join(found, "rid", "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "fingerprint",
+        "edited_fingerprint",
+        near(0).alias("near_edited"),
+        near(1).alias("near_next"),
     )

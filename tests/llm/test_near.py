@@ -115,7 +115,7 @@ def test_dense_group_gives_a_forest(spark):
 
 
 def parts(text):
-    return {p for p in re.split(fingerprint.PARAGRAPH_END, text or "") if p.strip(" ")}
+    return {p.strip(" ") for p in re.split(fingerprint.PARAGRAPH_END, text or "") if p.strip(" ")}
 
 
 def jaccard(a, b):

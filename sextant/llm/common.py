@@ -17,16 +17,23 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 ARROW_RECORDS = 512
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in local tests, a temporary folder is chosen and
-    set, so that later calls of the session use the same one.
+    Only where it is unset and all runs in one process, as in tests, the
+    application gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sextant-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="sextant-shared-")
+        found = _own_dirs[app]
     return found.rstrip("/")
 
 

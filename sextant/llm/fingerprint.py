@@ -158,10 +158,13 @@ def differences(sets: DataFrame, keep: bool = False) -> DataFrame:
     width = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_DIGESTS))
     done, waiting = None, None
     for attempt in range(TRIES):
-        left = sets if waiting is None else sets.join(waiting.select("rid").distinct(), "rid", "left_semi")
-        spread = left.repartition(width, "rid").select("rid", F.explode(_pairs()).alias("p")).select("rid", "p.*")
-        if waiting is not None:
-            spread = spread.join(waiting, ["rid", "pair"], "left_semi")
+        pairs = _pairs()
+        if waiting is None:
+            left = sets
+        else:
+            left = sets.join(waiting.groupBy("rid").agg(F.collect_set("pair").alias("open")), "rid")
+            pairs = F.filter(pairs, lambda p: F.array_contains("open", p["pair"]))
+        spread = left.repartition(width, "rid").select("rid", F.explode(pairs).alias("p")).select("rid", "p.*")
         cells = peeled(spread, attempt, keep)
         if keep:
             cells = cells.withColumn("bad", F.max((F.col("cell") != F.lit(_FOUND)).cast("int")).over(Window.partitionBy("rid", "pair")))

@@ -230,7 +230,9 @@ def links(classes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """Edges (u > v) between distinct fingerprints that connect all that are linked."""
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"the keys reach {MAX_BITS} differing bits")
-    keyed = classes.select("fp").mapInPandas(_emit_keys, "key long, fp long")
+    # a fingerprint gives some hundred keys, so the few bytes of a class are spread over all tasks first
+    width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = classes.select("fp").repartition(width, "fp").mapInPandas(_emit_keys, "key long, fp long")
     shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where(F.col("n") > 1)
     found = shared.select("key", "fp").sortWithinPartitions("key").mapInPandas(_linker(bits), "u long, v long")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -40,6 +40,8 @@ DIMENSIONS = 16
 CONTEXT = 2
 #: Tokens whose counts are sent to the workers.
 HEAD_TOKENS = 65_536
+#: Steps of a count's logarithm to the base 2 by which the head is cut off.
+COUNT_STEPS = 16
 #: Distinct tokens that a counting task holds before it passes them on.
 FLUSH_TOKENS = 200_000
 #: Training positions of a step, and noise samples shared by them.
@@ -101,7 +103,8 @@ class Vocabulary:
         self.base_norm = self.total + SMOOTH * (self.distinct + 1)
         own = int(self.counts[: self.own].sum())
         self.shared = self.total - own  # training tokens of the shared class
-        self.shared_norm = self.shared + SMOOTH * (self.distinct - self.own + 1)
+        seen = int((self.counts[: self.own] > 0).sum())
+        self.shared_norm = self.shared + SMOOTH * (self.distinct - seen + 1)
 
     def class_odds(self) -> np.ndarray:
         """Smoothed unigram distribution over classes: the noise, and the start of the biases."""
@@ -119,10 +122,22 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The head, of HEAD_TOKENS at most; the rest stays in the table."""
+    """The head, of HEAD_TOKENS at most; the rest stays in the table.
+
+    Tokens are counted by steps of their count's logarithm, some hundred at most;
+    the head takes as many whole steps from above as fit, and always the end token.
+    """
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    least, held = None, 1
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.desc("step")).collect():
+        held += r["tokens"]
+        if held > HEAD_TOKENS:
+            break
+        least = r["step"]
     is_end = F.col("token") == F.lit(END)
-    rows = counts.orderBy(F.desc(is_end), F.desc("n"), "token").limit(HEAD_TOKENS).collect()
+    rows = counts.where(is_end if least is None else is_end | (step >= F.lit(least))).collect()
+    rows.sort(key=lambda r: (r["token"] != END, -r["n"], bytes(r["token"])))
     tokens, sizes = [bytes(r["token"]) for r in rows], [r["n"] for r in rows]
     if not tokens:
         tokens, sizes = [END], [0]

@@ -215,21 +215,23 @@ class Tokenizer:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self._pieces(t) for t in texts]
-        wanted: set[str] = set()
-        for words, _ in pieces:
-            wanted.update(*words)
-        new = wanted - self.cache.keys()
+        get = self.cache.get
+        coded = [[[*map(get, part)] for part in parts] for parts, _ in pieces]
+        gaps = [(i, j) for i, parts in enumerate(coded) for j, ids in enumerate(parts) if None in ids]
+        new = {w for i, j in gaps for w, ids in zip(pieces[i][0][j], coded[i][j]) if ids is None}
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-            new = wanted
         if new:
             self.learn(new)
-        get = self.cache.__getitem__
-        out = []
-        for words, between in pieces:
-            coded = [b"".join(map(get, part)) for part in words]
-            out.append(b"".join(x for pair in zip(coded, [*between, b""]) for x in pair))
-        return out
+        for i, j in gaps:
+            known = zip(pieces[i][0][j], coded[i][j])
+            coded[i][j] = [ids if ids is not None else get(w) for w, ids in known]
+        return [
+            b"".join(x for ids, between in zip(parts, [*added, b""]) for x in (*ids, between))
+            if added
+            else b"".join(parts[0])
+            for parts, (_, added) in zip(coded, pieces)
+        ]
 
     def _pieces(self, text: str) -> tuple[list[list[str]], list[bytes]]:
         """The words of each part between added tokens, and the ids of those tokens."""

@@ -181,9 +181,10 @@ def train(docs: DataFrame, eligible: Column) -> Network | None:
     rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     raw = F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES)
     rows = rows.select("lang", raw.alias("raw"), F.xxhash64("text").alias("order"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # labels beyond the sample's rows could not be in it; this also bounds the broadcast
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS)
     part = F.pmod("order", F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
-    near = rows.join(sizes, "lang").where(part <= F.lit(2.0 * SAMPLE_ROWS))
+    near = rows.join(F.broadcast(sizes), "lang").where(part <= F.lit(2.0 * SAMPLE_ROWS))
     texts = near.groupBy("lang", "order").agg(F.min("raw").alias("raw"))
     order = Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 30)), "order")
     ranked = texts.withColumn("nth", F.row_number().over(order))

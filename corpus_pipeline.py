@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import bpe, exact_dedup, langid, mixing, simhash
+from sextant.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from sextant.llm.common import id_remainder, stored, table
 from sextant.llm.queries import tokenizer_path
 
@@ -32,8 +32,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group linked by fingerprints."""
-    return simhash.keep_first(docs)
+    """Keeps the smallest doc_id of each group linked by five-word shingles alike to 0.8."""
+    return near_dedup.keep_first(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

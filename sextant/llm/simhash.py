@@ -279,10 +279,3 @@ def components(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX_BITS
     return rows.join(of_class, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_first(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
-    """The document of smallest doc_id of each component, with all its columns."""
-    found = components(docs, width, bits)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi")

@@ -8,8 +8,8 @@ for byte: members join their slot's group, the rest form groups of their own.
 
 Null text counts as empty. Rows are aggregated per digest before any shuffle by
 bucket, so a group that holds a third of all rows costs one row per map task.
-Rows that repeat a doc_id with equal text are one document: they stay or go
-together, and each counts in ``group_size``. Only ``doc_id`` and ``text`` are
+In ``dedup``, rows that repeat a doc_id with equal text are one document: they are
+kept or not together, and each counts in ``group_size``; ``keep_first`` leaves one. Only ``doc_id`` and ``text`` are
 read, so other columns may have any name. An empty table gives an empty result.
 """
 
@@ -26,6 +26,7 @@ from sextant.llm.common import SPACE_CLASS, id_remainder, stored, text_or_empty
 BUCKET_KEYS = 2048
 #: Bits per key in a level of the hash.
 LOAD = 1.5
+_ROW = "_exact_row"
 
 _INDEX_SCHEMA = (
     "bucket long, level_bits array<int>, bits binary, digests binary, "
@@ -42,7 +43,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_CLASS + "+", "")
 
 
-def digests(docs: DataFrame, *more: Column) -> DataFrame:
+def digests(docs: DataFrame, *more: Column | str) -> DataFrame:
     """doc_id, code points of the original text, SHA-256 of the normalised text."""
     text = text_or_empty()
     return docs.select(
@@ -207,9 +208,11 @@ def group(index: DataFrame, incoming: DataFrame, n_buckets: int) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, in_history: Column | None = None) -> DataFrame:
+def dedup(docs: DataFrame, in_history: Column | None = None, *more: str) -> DataFrame:
     """One row per document: who stays for it, its group's size, whether it stays.
 
+    Columns named in ``more`` are added as they came.
+
     ``in_history`` says which rows are the history that the index is built of;
     by default those with an even crc32 of doc_id, so that every table passes
     both through the index and through the lookups.
@@ -217,7 +220,7 @@ def dedup(docs: DataFrame, in_history: Column | None = None) -> DataFrame:
     if in_history is None:
         in_history = id_remainder(2) == 0
     past = F.coalesce(in_history, F.lit(False)).alias("past")
-    rows = stored(digests(docs, past), "exact-digests")
+    rows = stored(digests(docs, past, *more), "exact-digests")
     n_buckets = max(1, -(-rows.where("past").count() // BUCKET_KEYS))
     index = stored(build_index(winners(rows.where("past")), n_buckets), "exact-index")
     groups = group(index, winners(rows.where("NOT past")), n_buckets).select(
@@ -230,10 +233,17 @@ def dedup(docs: DataFrame, in_history: Column | None = None) -> DataFrame:
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_len"))).alias("kept"),
         "text_sha256",
         F.col("member").alias("in_history"),
+        *more,
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns as they came."""
-    stay = dedup(docs).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi")
+    """One row of each group, with all its columns as they came.
+
+    Rows that repeat the doc_id (or have none) and text of the one that stays are
+    told apart by a locator; the first of them stays.
+    """
+    rows = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "exact-rows")
+    kept = dedup(rows, None, _ROW).where("kept")
+    stay = kept.groupBy("text_sha256").agg(F.min(_ROW).alias(_ROW)).select(_ROW)
+    return rows.join(stay, _ROW, "left_semi").select(*docs.columns)

@@ -59,6 +59,16 @@ def test_keep_first_keeps_columns(spark):
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {1, 3}
 
 
+def test_keep_first_leaves_one_row_of_each_text(spark):
+    """A batch ingested twice, an id with several texts, and rows without an id."""
+    twice = [(1, "a", "s"), (2, "b b", "t"), (3, None, None)] * 2
+    several = [(5, "long  text", "s"), (5, "other", "s"), (4, "o ther", "s")]
+    unknown = [(None, "x  x", "s"), (None, "x x", "s"), (None, "y", "s"), (None, "y", "s"), (9, "y", "s")]
+    got = exact_dedup.keep_first(docs(spark, twice + several + unknown)).collect()
+    want = [(1, "a"), (2, "b b"), (3, None), (5, "long  text"), (4, "o ther"), (None, "x  x"), (9, "y")]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 3000])
 def test_hash_is_minimal_and_perfect(n):
     words = np.random.default_rng(n).integers(0, 2**63, (n, 4)).astype(np.uint64)

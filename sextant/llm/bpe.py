@@ -6,7 +6,11 @@ exactly if every adjacent pair of its tokens is compatible, that is, if merging
 the pair's bytes alone gives the pair again. All distinct pairs of a batch are
 tested at once in numpy, by undoing merges from the later to the earlier and
 looking whether a merge across the border would have come first. Only words with
-a failing pair go through exact merging, lowest rank first.
+a failing pair go through exact merging, lowest rank first: those of a batch in
+step, as rows of numpy arrays; very long ones each with a heap.
+
+The word pattern never crosses a space that a visible character follows, so texts
+are first cut there, and the pattern runs only on cuts that were not seen before.
 
 Ids equal those of the tokenizers library on the same file with
 ``add_special_tokens=False``; the strings of added tokens in a text are cut out
@@ -34,16 +38,20 @@ from sextant.llm.common import bounded_batches
 
 #: Fixed value: the byte-level tokenizer's word pattern, letters first as they are commonest.
 WORD_PATTERN = r" ?\p{L}++|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
-#: Words that a worker remembers before it starts afresh.
+#: Cuts of text that a worker remembers before it starts afresh.
 CACHE_WORDS = 500_000
 #: Characters of text whose new words are encoded together.
 BATCH_CHARS = 1_000_000
 
 #: Bytes of a word beyond which merging keeps a heap.
-LONG_WORD = 100
+LONG_WORD = 64
+#: Longest words of the groups that are merged in step.
+MERGE_WIDTHS = (7, 10, 14, 24, LONG_WORD)
 
 _NEVER = np.int64(1) << 40
-_NO_RANK = 1 << 40
+_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Bytes that begin a visible character for certain: ASCII, and lead bytes that no white space has.
+_CUTS_BEFORE = np.array([33 <= b <= 126 or (b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3)) for b in range(256)])
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,6 +61,43 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+class Lookup:
+    """A hash table from whole numbers (not negative) to whole numbers, filled and read by arrays."""
+
+    def __init__(self, room: int, missing: int = -1):
+        self.missing, self.mask = missing, (1 << (3 * room).bit_length()) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.values = np.full(self.mask + 1, missing, np.int64)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not in the table yet."""
+        at, waiting = self._home(keys), np.arange(len(keys))
+        while len(waiting):
+            free = waiting[self.keys[at[waiting]] < 0]
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[won]], self.values[at[won]] = keys[won], values[won]
+            waiting = np.setdiff1d(waiting, won)
+            at[waiting] = (at[waiting] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(32))) & np.uint64(self.mask)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        held, out = self.keys[at], self.values[at]
+        other = np.flatnonzero(held != keys)
+        out[other] = self.missing
+        other = other[held[other] >= 0]
+        while len(other):
+            at[other] = place = (at[other] + 1) & self.mask
+            held = self.keys[place]
+            hit = held == keys[other]
+            out[other[hit]] = self.values[place[hit]]
+            other = other[~hit & (held >= 0)]
+        return out
+
+
 class Tokenizer:
     """Tables of one byte-level tokenizer file, and the encoder on them."""
 
@@ -81,24 +126,27 @@ class Tokenizer:
         for token in self.ids:
             self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
         self.words = regex.compile(WORD_PATTERN)
-        self.cache: dict[str, bytes] = {}
+        self.forget()
 
         self.merges: dict[int, int] = {}  # left * size + right -> rank
-        self.made: list[int] = []  # by rank
+        made_by: list[int] = []  # by rank
         self.rank = np.full(size, -1, dtype=np.int64)
         self.left, self.right = np.arange(size), np.arange(size)
         for rank, pair in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in part) for part in (pair if isinstance(pair, list) else pair.split(" ")))
             one, two, made = self.ids[a], self.ids[b], self.ids[a + b]
             self.merges.setdefault(one * size + two, rank)
-            self.made.append(made)
+            made_by.append(made)
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = rank, one, two
-        keys = np.fromiter(self.merges, np.int64, len(self.merges))
-        order = np.argsort(keys)
+        self._grow_trie()
         self.size = size
-        self.pair_keys = np.append(keys[order], np.int64(1) << 62)
-        self.pair_ranks = np.append(np.fromiter(self.merges.values(), np.int64, len(keys))[order], _NEVER)
+        self.made = np.array(made_by, dtype=np.int64)
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], dtype=np.int64)
+        n = len(self.merges)
+        self.ranks = Lookup(n, int(_NEVER))
+        self.ranks.add(np.fromiter(self.merges, np.int64, n), np.fromiter(self.merges.values(), np.int64, n))
+        self.byte_ranks = self.pair_rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
         # a token is sound if its own bytes encode to it: its last merge came in its turn
         self.sound = np.ones(size, dtype=bool)
         made = np.flatnonzero(self.rank >= 0)
@@ -107,9 +155,7 @@ class Tokenizer:
             self.sound[token] &= self.sound[self.left[token]] & self.sound[self.right[token]]
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a * self.size + b
-        at = np.searchsorted(self.pair_keys, keys)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NEVER)
+        return self.ranks(a * self.size + b)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | int = _NEVER) -> np.ndarray:
         """Whether no merge across the border of a and b comes before rank ``until``.
@@ -135,6 +181,20 @@ class Tokenizer:
             b[open_] = np.where(undo_left, y, self.left[y])
         return good
 
+    def _grow_trie(self) -> None:
+        """The byte strings of all tokens as a tree: node * 256 + byte -> child."""
+        nodes: dict[bytes, int] = {b"": 0}
+        keys, children = [], []
+        for token in self.ids:
+            for end in range(1, len(token) + 1):
+                if token[:end] not in nodes:
+                    keys.append(nodes[token[: end - 1]] * 256 + token[end - 1])
+                    children.append(len(nodes))
+                    nodes[token[:end]] = len(nodes)
+        self.child = Lookup(len(keys))
+        self.child.add(np.array(keys, np.int64), np.array(children, np.int64))
+        self.token_at = np.fromiter((self.ids.get(x, -1) for x in nodes), np.int64, len(nodes))
+
     def propose(self, word: bytes) -> list[int]:
         """The longest token at each place."""
         found, at, ids, reach, n = [], 0, self.ids, self.reach, len(word)
@@ -146,22 +206,90 @@ class Tokenizer:
             at = end
         return found
 
-    def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the lowest rank first, of equal ranks the leftmost."""
-        parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        if len(parts) > LONG_WORD:
-            return self._merge_long(parts)
-        size, rank_of, made = self.size, self.merges.get, self.made
-        ranks = [rank_of(a * size + b, _NO_RANK) for a, b in zip(parts, parts[1:])]
-        while ranks and (low := min(ranks)) < _NO_RANK:
-            i = ranks.index(low)
-            parts[i : i + 2] = [made[low]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank_of(parts[i - 1] * size + parts[i], _NO_RANK)
-            if i < len(ranks):
-                ranks[i] = rank_of(parts[i] * size + parts[i + 1], _NO_RANK)
-        return parts
+    def propose_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the word, token) of the longest token at each place of all words, in order.
+
+        All words but the very long walk down the tree in step; where one gets
+        stuck, it takes the last token passed and goes on behind it.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        at_word, tokens = [], []
+        for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+            tokens.append(np.array(self.propose(words[i]), np.int64))
+            at_word.append(np.full(len(tokens[-1]), i))
+        flat = np.frombuffer(b"".join(words) + b"\0", np.uint8).astype(np.int64)
+        ends = np.cumsum(lengths)
+        who = np.flatnonzero((lengths <= LONG_WORD) & (lengths > 0))
+        at, end = (ends - lengths)[who], ends[who]
+        node, best, behind = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64), at.copy()
+        while len(who):
+            child = self.child(node * 256 + flat[at])
+            moves = (child >= 0) & (at < end)
+            node = np.where(moves, child, 0)
+            at = np.where(moves, at + 1, behind)
+            token = np.where(moves, self.token_at[node], -1)
+            best, behind = np.where(token >= 0, token, best), np.where(token >= 0, at, behind)
+            stuck = np.flatnonzero(~moves)
+            if len(stuck):
+                at_word.append(who[stuck])
+                tokens.append(best[stuck])
+                done = ~moves & (behind == end)
+                if done.any():
+                    who, at, end, node, best, behind = (x[~done] for x in (who, at, end, node, best, behind))
+        if not tokens:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word_of, flat_tokens = np.concatenate(at_word), np.concatenate(tokens)
+        order = np.argsort(word_of, kind="stable")
+        return word_of[order], flat_tokens[order]
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the word, token) by exact merging: the lowest rank first, of equal ranks the leftmost."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        at_word, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+            tokens.append(np.array(self._merge_long(self.byte_ids[np.frombuffer(words[i], np.uint8)].tolist()), np.int64))
+            at_word.append(np.full(len(tokens[-1]), i))
+        least = 0
+        for most in MERGE_WIDTHS:
+            group = np.flatnonzero((lengths > least) & (lengths <= most))
+            least = most
+            if len(group):
+                padded = b"".join([words[i].ljust(most, b"\0") for i in group.tolist()])
+                raw = np.frombuffer(padded, np.uint8).reshape(len(group), most).astype(np.int64)
+                for row, found in self._merge_rows(raw, lengths[group]):
+                    at_word.append(group[row])
+                    tokens.append(found)
+        word_of, flat = np.concatenate(at_word), np.concatenate(tokens)
+        order = np.argsort(word_of, kind="stable")
+        return word_of[order], flat[order]
+
+    def _merge_rows(self, raw: np.ndarray, lengths: np.ndarray) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+        """Words of similar length in step: each pass makes the lowest merge of every row."""
+        n, width = raw.shape
+        parts, row_of = self.byte_ids[raw], np.arange(n)
+        ranks = np.full((n, width), _NEVER)  # of each part with the next; the last has none
+        ranks[:, :-1] = self.byte_ranks[raw[:, :-1] * 256 + raw[:, 1:]]
+        ranks[np.arange(width) >= lengths[:, None] - 1] = _NEVER
+        lengths = lengths.copy()
+        while len(parts):
+            at = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(parts)), at]
+            ends = low == _NEVER
+            if ends.any():
+                held = np.arange(width) < lengths[ends][:, None]
+                yield np.repeat(row_of[ends], lengths[ends]), parts[ends][held]
+                parts, ranks, row_of, at, low, lengths = (x[~ends] for x in (parts, ranks, row_of, at, low, lengths))
+            rows = np.arange(len(parts))
+            parts[rows, at] = self.made[low]
+            # all behind the pair move up by one place
+            width, lengths = width - 1, lengths - 1
+            places = np.arange(width)
+            parts = np.take_along_axis(parts, places + (places > at[:, None]), axis=1)
+            ranks = np.take_along_axis(ranks, places + (places >= at[:, None]), axis=1)
+            for side, known in ((at, at + 1 < lengths), (at - 1, at > 0)):
+                i = np.flatnonzero(known)
+                ranks[i, side[i]] = self.pair_rank(parts[i, side[i]], parts[i, side[i] + 1])
+        return
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The same with a heap and links, whose time does not grow with the square."""
@@ -181,7 +309,7 @@ class Tokenizer:
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j] = self.made[rank], -1
+            parts[i], parts[j] = int(self.made[rank]), -1
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
@@ -190,14 +318,9 @@ class Tokenizer:
                 offer(before[i])
         return [p for p in parts if p >= 0]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode new words into the cache: propose, test all pairs, merge the rest."""
-        words = list(words)
-        raw = [w.encode() for w in words]
-        tokens = [self.propose(w) for w in raw]
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        flat = np.fromiter(chain.from_iterable(tokens), np.int64, int(lengths.sum()))
-        word_of = np.repeat(np.arange(len(words)), lengths)
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the word, token): propose, test all pairs, merge the rest."""
+        word_of, flat = self.propose_all(words)
         fails = np.zeros(len(words), dtype=bool)
         fails[word_of[~self.sound[flat]]] = True
         inner = np.flatnonzero(word_of[1:] == word_of[:-1])
@@ -205,40 +328,117 @@ class Tokenizer:
             pairs, back = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
             bad = ~self.compatible(pairs // self.size, pairs % self.size)
             fails[word_of[inner[bad[back]]]] = True
-        for i in np.flatnonzero(fails).tolist():
-            tokens[i] = self.merge(raw[i])
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ids = np.fromiter(chain.from_iterable(tokens), "<u4", int(lengths.sum())).tobytes()
-        ends = (4 * np.cumsum(lengths)).tolist()
-        self.cache.update(zip(words, (ids[a:b] for a, b in zip([0, *ends], ends))))
+        again = np.flatnonzero(fails)
+        merged_of, merged = self.merge([words[i] for i in again.tolist()])
+        kept = ~fails[word_of]
+        word_of, flat = np.concatenate([word_of[kept], again[merged_of]]), np.concatenate([flat[kept], merged])
+        order = np.argsort(word_of, kind="stable")
+        return word_of[order], flat[order]
+
+    def forget(self) -> None:
+        """Start the cache of cuts afresh: by hash its number, by number its check, tokens and their places."""
+        self.known, self.n_known = Lookup(CACHE_WORDS), 0
+        self.checks, self.starts = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS + 1, np.int64)
+        self.tokens = np.zeros(4 * CACHE_WORDS, np.uint32)
+
+    def _encode_cuts(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, number of them for each cut)."""
+        words, of = [], []
+        for i, raw in enumerate(cuts):
+            cut = raw.decode()
+            if cut[1:].isalpha() and (cut[0] == " " or cut[0].isalpha()):  # letters, or a space and letters, are one word
+                words.append(raw)
+                of.append(i)
+            else:
+                found = self.words.findall(cut)
+                words += [w.encode() for w in found]
+                of += [i] * len(found)
+        word_of, flat = self.encode_words(words)
+        return flat, np.bincount(np.array(of, np.int64)[word_of], minlength=len(cuts))
+
+    def _numbers(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The number of each cut in the cache, new ones put in; -1 where another cut has its hash."""
+        at = self.known(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            new = new[np.unique(hashes[new], return_index=True)[1]]
+            if self.n_known + len(new) > CACHE_WORDS:
+                self.forget()
+                new = np.unique(hashes, return_index=True)[1][:CACHE_WORDS]
+            flat, lengths = self._encode_cuts([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            first, last = self.n_known, self.n_known + len(new)
+            self.checks[first:last] = checks[new]
+            self.starts[first + 1 : last + 1] = self.starts[first] + np.cumsum(lengths)
+            while self.starts[last] > len(self.tokens):
+                self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
+            self.tokens[self.starts[first] : self.starts[last]] = flat
+            self.known.add(hashes[new], np.arange(first, last))
+            self.n_known = last
+            at = self.known(hashes)
+        return np.where((at >= 0) & (self.checks[at] == checks), at, -1)
+
+    def _encode_buffer(self, raw: bytes, firsts: np.ndarray) -> list[bytes]:
+        """The ids of each part of a buffer, given where the parts begin; none is empty.
+
+        A cut begins at each part, and at each space before a visible character,
+        as no word crosses there. (Some visible characters beyond ASCII share a
+        lead byte with white space and do not cut; that makes longer cuts only.)
+        """
+        buffer = np.frombuffer(raw, np.uint8)
+        begins = np.zeros(len(buffer), dtype=bool)
+        begins[:-1] = (buffer[:-1] == 32) & _CUTS_BEFORE[buffer[1:]]
+        begins[firsts] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(buffer))
+        place = np.arange(len(buffer)) - np.repeat(starts, ends - starts)
+        longest = int((ends - starts).max())
+        bytes_ = buffer.astype(np.uint64) + np.uint64(1)
+        one, two = (
+            (np.add.reduceat(bytes_ * np.multiply.accumulate(np.full(longest, f, np.uint64))[place], starts) & np.uint64((1 << 63) - 1)).astype(np.int64)
+            for f in _FACTORS
+        )
+        at = self._numbers(raw, starts, ends, one, two)
+        part_of = np.searchsorted(firsts, starts, side="right") - 1
+        lengths = np.where(at >= 0, self.starts[at + 1] - self.starts[at], 0)
+        before = np.cumsum(lengths) - lengths
+        flat = self.tokens[np.repeat(self.starts[at] - before, lengths) + np.arange(int(lengths.sum()))].tobytes()
+        sizes = 4 * np.cumsum(np.bincount(part_of, weights=lengths, minlength=len(firsts)).astype(np.int64))
+        out = [flat[a:b] for a, b in zip([0, *sizes.tolist()], sizes.tolist())]
+        # a part with a cut that the cache could not hold is encoded by itself
+        for i in np.unique(part_of[at < 0]).tolist():
+            stop = firsts[i + 1] if i + 1 < len(firsts) else len(raw)
+            out[i] = self._encode_cuts([raw[firsts[i] : stop]])[0].astype("<u4").tobytes()
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self._pieces(t) for t in texts]
-        get = self.cache.get
-        coded = [[[*map(get, part)] for part in parts] for parts, _ in pieces]
-        gaps = [(i, j) for i, parts in enumerate(coded) for j, ids in enumerate(parts) if None in ids]
-        new = {w for i, j in gaps for w, ids in zip(pieces[i][0][j], coded[i][j]) if ids is None}
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-        if new:
-            self.learn(new)
-        for i, j in gaps:
-            known = zip(pieces[i][0][j], coded[i][j])
-            coded[i][j] = [ids if ids is not None else get(w) for w, ids in known]
-        return [
-            b"".join(x for ids, between in zip(parts, [*added, b""]) for x in (*ids, between))
-            if added
-            else b"".join(parts[0])
-            for parts, (_, added) in zip(coded, pieces)
-        ]
-
-    def _pieces(self, text: str) -> tuple[list[list[str]], list[bytes]]:
-        """The words of each part between added tokens, and the ids of those tokens."""
-        if self.added_pattern is None or not (hits := [m.span() for m in self.added_pattern.finditer(text)]):
-            return [self.words.findall(text)], []
-        starts, ends = [0, *(b for _, b in hits)], [*(a for a, _ in hits), len(text)]
-        return [self.words.findall(text[a:b]) for a, b in zip(starts, ends)], [self.added[text[a:b]] for a, b in hits]
+        parts = [x.encode() for found in pieces for x, _ in found if x]
+        coded = iter(())
+        if parts:
+            ends = np.cumsum([len(x) for x in parts])
+            coded = iter(self._encode_buffer(b"".join(parts), np.r_[0, ends[:-1]]))
+        return [b"".join([ids for x, added in found for ids in (next(coded) if x else b"", added)]) for found in pieces]
+
+    def _pieces(self, text: str) -> list[tuple[str, bytes]]:
+        """The parts between added tokens, each with the id of the added token that follows.
+
+        A long text is also parted at spaces, so that a buffer stays small.
+        """
+        hits = [m.span() for m in self.added_pattern.finditer(text)] if self.added_pattern else []
+        out, at = [], 0
+        for a, b in [*hits, (len(text), len(text))]:
+            while a - at > BATCH_CHARS:
+                cut = text.find(" ", at + BATCH_CHARS, a - 1)
+                while cut >= 0 and not "!" <= text[cut + 1] <= "~":
+                    cut = text.find(" ", cut + 1, a - 1)
+                if cut < 0:
+                    break
+                out.append((text[at:cut], b""))
+                at = cut
+            out.append((text[at:a], self.added[text[a:b]] if a < b else b""))
+            at = b
+        return out
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes
@@ -254,11 +454,11 @@ def tokenizer(path: str) -> Tokenizer:
 def _portions(texts: list[str]) -> Iterable[list[str]]:
     part, chars = [], 0
     for text in texts:
-        part.append(text)
-        chars += len(text)
-        if chars >= BATCH_CHARS:
+        if part and chars + len(text) > BATCH_CHARS:
             yield part
             part, chars = [], 0
+        part.append(text)
+        chars += len(text)
     if part:
         yield part
 

@@ -47,14 +47,17 @@ def test_bpe_checks_are_exact():
         tokens = coder.propose(word.encode())
         pairs = np.array(list(zip(tokens, tokens[1:])), dtype=np.int64).reshape(-1, 2)
         good = bool(coder.compatible(pairs[:, 0], pairs[:, 1]).all()) if len(pairs) else True
-        assert good == (coder.merge(word.encode()) == tokens)
-    assert all(coder._merge_long([coder.ids[w.encode()[i : i + 1]] for i in range(len(w))]) == coder.merge(w.encode()) for w in words[:500])
+        assert good == (coder.merge([word.encode()])[1].tolist() == tokens)
+    word_of, flat = coder.propose_all([w.encode() for w in words])
+    assert all(flat[word_of == i].tolist() == coder.propose(w.encode()) for i, w in enumerate(words))
+    assert all(coder._merge_long([coder.ids[w.encode()[i : i + 1]] for i in range(len(w))]) == coder.merge([w.encode()])[1].tolist() for w in words[:500])
 
 
 def test_bpe_forgets_words(spark, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 9)
     coder = bpe.Tokenizer(PATH)
-    texts = ["one two three", "four five six seven", "one nine", ""]
+    texts = ["one two three", "four five six seven", "one nine", "", "a b c d e f g h i j k", "long  text in \n parts <|endoftext|>", "  "]
     for _ in range(2):
         assert [coder.encode_all([t])[0] for t in texts] == library_ids(texts)
 
@@ -129,42 +132,85 @@ def lm_rows():
     return rows + [(1000, None, "x"), (1001, "", "x"), (1002, "THE\x0bUnseen été É", "x"), (7, rows[7][1], "x")]
 
 
-@pytest.mark.parametrize("head,classes", [(65536, 1024), (8, 6)])
-def test_lm_by_brute_force(spark, monkeypatch, head, classes):
+def lm_tokens(text):
+    return (text or "").encode().lower().split() + [b""]
+
+
+def lm_model(spark, rows):
+    """The vocabulary and parameters that ``score`` uses for the same documents."""
+    train = docs(spark, rows).where(lm.id_remainder(10) != 0)
+    counts = lm.token_counts(train)
+    vocab = lm.vocabulary(counts)
+    shared = spark.sparkContext.broadcast(vocab)
+    mixed = train.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("mix"), lm.encode_column(F.col("text"), shared)["ids"].alias("ids"))
+    return vocab, lm.fit(mixed, vocab, shared)
+
+
+def lm_log(vocab, params, counts, word, before):
+    """log10 of one token after two others, from the definition."""
+    own = {t: i for i, t in enumerate(vocab.tokens[: vocab.own])}
+    shared = len(vocab.shared_total)
+    cls = lambda w: own[w] if w in own else vocab.own + zlib.crc32(w[-lm.ENDING:]) % shared
+    guess = sum(params["context"][cls(b)].astype(float) * params["weights"][k] for k, b in enumerate(before))
+    c, size = cls(word), vocab.group
+    group = np.exp(params["group"] @ guess + params["group_bias"])
+    g = c // size
+    inside = np.exp(params["target"][g * size : (g + 1) * size] @ guess + params["bias"][g * size : (g + 1) * size])
+    p = group[g] / group.sum() * inside[c - g * size] / inside.sum()
+    if c >= vocab.own:
+        same = [n for w, n in counts.items() if w not in own and cls(w) == c]
+        p *= (counts[word] + 0.1) / (sum(same) + 0.1 * (len(same) + 1))
+    return math.log10(p)
+
+
+@pytest.mark.parametrize("head,own", [(65536, 2.0), (8, 0.5)])
+def test_lm_by_brute_force(spark, monkeypatch, head, own):
     monkeypatch.setattr(lm, "HEAD_TOKENS", head)
-    monkeypatch.setattr(lm, "CLASSES", classes)
+    monkeypatch.setattr(lm, "OWN_CLASSES", own)
     rows = lm_rows()
-    tokens = lambda t: (t or "").encode().lower().split() + [b""]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    c = Counter(w for i, t, _ in rows if not held(i) for w in tokens(t))
+    c = Counter(w for i, t, _ in rows if not held(i) for w in lm_tokens(t))
     n, v = sum(c.values()), len(c)
     got = lm.score(docs(spark, rows)).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
     texts = {i: t for i, t, _ in rows}
+    vocab, params = lm_model(spark, rows)
     for r in got:
-        ws = tokens(texts[r.doc_id])
+        ws = lm_tokens(texts[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
-        assert math.isfinite(r.score) and r.score < 0
-    if classes > 6:
-        own = [r for r in got if r.held_out]
-        assert sum(r.score for r in own) > sum(r.base_score for r in own)
+        line = [b"", b"", *ws]
+        assert r.score == pytest.approx(sum(lm_log(vocab, params, c, w, (line[i + 1], line[i])) for i, w in enumerate(ws)), rel=1e-4)
+    if own == 2.0:
+        mine = [r for r in got if r.held_out]
+        assert sum(r.score for r in mine) > sum(r.base_score for r in mine)
 
 
 def test_lm_probabilities_add_up(spark):
-    train = docs(spark, lm_rows())
-    vocab = lm.vocabulary(lm.token_counts(train))
-    scorer = lm.Scorer(vocab, lm.fit(train, vocab))
-    logs = scorer.class_logs(np.array([0, 1, vocab.classes + 2]))
-    assert np.exp(logs).sum(axis=1) == pytest.approx(np.ones(3), rel=1e-4)
-    # the scores of all one-word texts, and of unknown words, share what follows an empty start
-    words = [t for t in vocab.tokens if t]
-    one = scorer.score([*words, b""])
-    ends = scorer.class_logs(np.array([scorer.index[w] if scorer.index[w] < vocab.own else vocab.own for w in words]))[:, 0] / np.log(10)
-    total = (10 ** (one["score_head"].to_numpy()[:-1] - ends)).sum() + 10 ** one["score_head"].to_numpy()[-1]
+    rows = lm_rows()
+    vocab, params = lm_model(spark, rows)
+    before = [np.full(vocab.classes, 1), np.full(vocab.classes, vocab.classes - 1)]
+    logs = lm.Scorer(vocab, params).logs(before, np.arange(vocab.classes))
+    assert np.exp(logs).sum() == pytest.approx(1, rel=1e-4)
+    c = Counter(w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 10 for w in lm_tokens(t))
+    # unknown words of all shared classes stand for what no known word takes
+    total = sum(10 ** lm_log(vocab, params, c, w, (b"the", b"")) for w in c)
     assert 0.9 < total <= 1.001
 
 
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1500)
+    table = docs(spark, lm_rows())
+    by_split = [sorted((r.doc_id, r.score) for r in lm.score(table.repartition(n)).collect()) for n in (1, 9)]
+    assert [i for i, _ in by_split[0]] == [i for i, _ in by_split[1]]
+    assert [x for _, x in by_split[0]] == pytest.approx([x for _, x in by_split[1]], rel=1e-6)
+
+
+def test_lm_classes_grow(spark):
+    few, many = (lm.vocabulary(spark.range(n).select(F.encode(F.col("id").cast("string"), "UTF-8").alias("token"), F.lit(3).cast("long").alias("n"))) for n in (400, 40_000))
+    assert many.own > 9 * few.own and many.groups > 2 * few.groups
+
+
 def test_lm_without_training(spark):
     assert lm.score(docs(spark, [])).count() == 0
     r = lm.score(docs(spark, [(1, "some words", "x")]), F.lit(True)).first()

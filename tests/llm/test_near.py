@@ -115,37 +115,83 @@ def test_dense_group_gives_a_forest(spark):
 
 
 def parts(text):
-    return {p.strip(" ") for p in re.split(fingerprint.PARAGRAPH_END, text or "") if p.strip(" ")}
+    """The paragraphs of a text as a set, repeats numbered."""
+    whole = [p.strip(" ") for p in re.split(fingerprint.PARAGRAPH_END, text or "") if p.strip(" ")]
+    pieces = [p[i : i + fingerprint.PIECE_CHARS] for p in whole for i in range(0, len(p), fingerprint.PIECE_CHARS)]
+    return {(p, j) for p, n in Counter(pieces).items() for j in range(n)}
 
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def listed(spark, prints):
+    """The digests of fingerprints, recovered from their strings alone by peeling in plain Python."""
+    cells = {}
+    for text in prints:
+        body = text[26:]
+        cells[text] = {int(c[:8], 16): [int(c[8:12], 16), int(c[12:28], 16), int(c[28:], 16)] for c in (body[i : i + 36] for i in range(0, len(body), 36))}
+    found = {text: set() for text in prints}
+    for _ in range(200):
+        pure = sorted({(text, k, h) for text, held in cells.items() for n, k, h in held.values() if n == 1})
+        if not pure:
+            break
+        frame = spark.createDataFrame([(i, k - 2**64 if k >= 2**63 else k) for i, (_, k, _) in enumerate(pure)], "i long, k long")
+        frame = frame.select("i", fingerprint._check(F.col("k")).alias("h"), *[F.xxhash64("k", F.lit(j)).alias(f"p{j}") for j in range(3)])
+        for r in frame.collect():
+            text, k, h = pure[r.i]
+            places = 1 << int(text[8:10], 16)
+            at = [j * places + r[f"p{j}"] % places for j in range(3)]
+            if r.h != h or k in found[text] or not all(c in cells[text] for c in at):
+                continue
+            found[text].add(k)
+            for c in at:
+                cell = cells[text][c]
+                cell[:] = [cell[0] - 1, cell[1] ^ k, cell[2] ^ h]
+                if cell == [0, 0, 0]:
+                    del cells[text][c]
+    assert not any(cells.values())
+    return found
+
+
 def prose(n=60, seed=2):
     rng = random.Random(seed)
     sentence = lambda: " ".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) + rng.choice([". ", "! ", "\n", "\n\n", "; "])
     rows = [(10 * i, "".join(sentence() for _ in range(rng.choice([0, 1, 3, 20, 150])))) for i in range(n)]
-    return rows + [(5, None), (7, ""), (15, rows[3][1]), (15, rows[3][1]), (1001, "é€𝄞. " * 50), (1002, "no end at all " * 3000)]
+    return rows + [(5, None), (7, ""), (15, rows[3][1]), (15, rows[3][1]), (1001, "é€𝄞. " * 50), (1002, "no end at all " * 3000), (1003, "same line\n" * 40)]
 
 
 @pytest.mark.parametrize("range_rows", [3, 2000])
 def test_fingerprints_by_brute_force(spark, monkeypatch, range_rows):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", range_rows)
     rows = sorted(((i, t or "") for i, t in prose()), key=lambda x: x[0])
-    want = Counter()
+    want, following, edits = Counter(), {}, {}
     for k, (i, t) in enumerate(rows):
-        following = rows[(k + 1) % len(rows)][1]
+        following[i] = rows[(k + 1) % len(rows)][1]
         q = len(t) // 4
-        edited = t[: len(t) - q] + following[:q]
-        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(jaccard(parts(t), parts(edited)), 9), round(jaccard(parts(t), parts(following)), 9)] += 1
+        edited = t[: len(t) - q] + following[i][:q]
+        edits[hashlib.sha256(edited.encode()).hexdigest()] = edited
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(jaccard(parts(t), parts(edited)), 9), round(jaccard(parts(t), parts(following[i])), 9)] += 1
     got = fingerprint.compare_edits(docs(spark, prose())).collect()
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
-    by_text = {}
-    texts = dict(rows)
+    prints, texts = {}, dict(rows)
+    for r in got:
+        prints.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
+        prints.setdefault(edits[r.edited_sha256], set()).add(r.edited_fingerprint)
+    # equal texts have equal fingerprints, different texts different ones
+    assert all(len(v) == 1 for v in prints.values()) and len({x for v in prints.values() for x in v}) == len(prints)
+    # the likenesses are those of the strings returned
+    digests = listed(spark, sorted({x for v in prints.values() for x in v}))
+    assert all(len(found) == int(text[:8], 16) for text, found in digests.items())
     for r in got:
-        by_text.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
-    assert all(len(v) == 1 for v in by_text.values())
+        own = digests[r.fingerprint]
+        assert r.near_edited == pytest.approx(jaccard(own, digests[r.edited_fingerprint]))
+        if r.doc_id != 15:
+            assert r.near_next == pytest.approx(jaccard(own, digests[next(iter(prints[following[r.doc_id]]))]))
+    if range_rows == 2000:  # and a comparison of the strings gives the same
+        pairs = [(i, a.fingerprint, b.edited_fingerprint) for i, (a, b) in enumerate(zip(got, [*got[20:], *got[:20]]))]
+        differing = {r.rid: r.d for r in fingerprint.compare(spark.createDataFrame(pairs, "rid long, a string, b string")).collect()}
+        assert [differing.get(i, 0) for i, _, _ in pairs] == [len(digests[a] ^ digests[b]) for _, a, b in pairs]
 
 
 def test_fingerprint_edges(spark):
@@ -154,17 +200,29 @@ def test_fingerprint_edges(spark):
     assert one.near_next == 1.0 and one.doc_id is None
 
 
+def test_many_rows_of_one_id(spark, monkeypatch):
+    """Rows of null ids, of one id, and equal rows are dealt to many ranges, and still are one ring."""
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 5)
+    rows = [(None, f"n{i}.") for i in range(60)] + [(None, None)] * 40 + [(7, f"h{i}.") for i in range(50)] + [(7, "same")] * 50 + [(i, f"s{i}.") for i in range(100, 140)]
+    table = docs(spark, rows).repartition(3)
+    assert fingerprint._numbers(table).groupBy("range").count().agg(F.max("count")).first()[0] <= 30
+    got = fingerprint.with_next(table).collect()
+    assert Counter(r.text for r in got) == Counter(r.next_text for r in got) == Counter(t or "" for _, t in rows)
+    assert all(r.next_text == f"s{r.doc_id + 1}." for r in got if 100 <= (r.doc_id or 0) < 139)
+
+
 @pytest.mark.parametrize("rounds", [2, 9])
 def test_peeling_recovers_sides(spark, monkeypatch, rounds):
     """Too few rounds leave pairs for larger tries; the digests found are the same."""
     monkeypatch.setattr(fingerprint, "ROUNDS", rounds)
     mix = lambda xs: [xxhash.xxh64_intdigest(str(x).encode()) - 2**63 for x in xs]
-    a, b = mix(range(60)), mix(range(40, 90))
-    df = spark.createDataFrame([(1, [len(a), len(b), len(a), 0], a + b + a)], "rid long, sizes array<int>, digests array<long>")
-    got = {(r.pair, r.n, r.k) for r in fingerprint.differences(df, keep=True).collect()}
-    want = {(0, 1, k) for k in set(a) - set(b)} | {(0, -1, k) for k in set(b) - set(a)} | {(2, 1, k) for k in a}
-    assert got == want
-    assert {(r.pair, r.d) for r in fingerprint.differences(df).collect()} == {(0, 70), (2, 60)}
+    a, b = set(mix(range(60))), set(mix(range(40, 90)))
+    rows = [(1, p, 64, n, k) for p, n, ks in ((0, 1, a), (0, -1, b), (1, 1, a), (1, -1, a), (2, 1, a)) for k in ks]
+    all_items = spark.createDataFrame(rows, "rid long, pair int, places int, n int, k long")
+    items = lambda asked: (all_items if asked is None else all_items.join(asked, ["rid", "pair"])).repartition(2, "rid").select(all_items.columns)
+    got = {(r.pair, r.n, r.k) for r in fingerprint.differences(items, keep=True).collect()}
+    assert got == {(0, 1, k) for k in a - b} | {(0, -1, k) for k in b - a} | {(2, 1, k) for k in a}
+    assert {(r.pair, r.d) for r in fingerprint.differences(items).collect()} == {(0, 70), (2, 60)}
 
 
 def test_pipeline(spark, tmp_path):

@@ -1,21 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
-Each source has a target number of words (``targets``). A document's expected
-copies are target / source size, so whole copies come first: each document gets
-the integer part for certain. The rest of the target is a sample: documents are
-ranked by random odds u / (1 - u) divided by inclusion odds p / (1 - p) (Rosen,
-1997) and taken in that order until the rest is filled.
+Each source has a target number of words (``targets``). Every document gets
+target / source size copies, rounded down, for certain. The rest of the target is
+a sample with unequal probabilities: a document is included in proportion to its
+words, p = min(1, scale * size), so that the expected words are the rest exactly;
+those of p = 1 are certain. The others are ranked by random odds u / (1 - u)
+divided by inclusion odds p / (1 - p) (Rosen, 1997) and taken in that order until
+the rest is filled.
 
 The sample's fixed size is counted in words. The document that would overrun the
-rest is passed over, and the gap is filled from those behind it that still fit,
+rest is passed over, and the gap is filled from all those behind it that still fit,
 ``FILLS`` times. Ranks fall into bins of bounded expected size; sums of bins tell
-which bin holds the border, bins before it are taken whole and bins after it not
-at all, so only the rows of one bin of each source are sorted together.
+which bin holds the border, bins before it are taken whole, so only the rows of one
+bin of each source are sorted together.
 
 u comes from an MD5 of seed, doc_id and size, so reruns agree. Null text has no
 words; a null source is a source of its own, the last. A source without words has
-target 0. Rows that repeat a doc_id and size share u and are told apart only by
-their order, which does not matter as they are alike. An empty table gives none.
+target 0. Rows that repeat a doc_id and size share u and are told apart by their
+place in the table. An empty table gives none. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import WORD_CLASS, stored
+from sextant.llm.common import WORD_CLASS, fresh, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: The mix's words over all words, and the most copies of a document.
@@ -32,8 +34,8 @@ MOST = 2
 SEED = "mix"
 #: Rows that one bin of ranks holds on average.
 BIN_ROWS = 2000
-#: Times a gap before the border is filled from documents behind it.
-FILLS = 4
+#: Times that documents are taken in order until one does not fit: the sample itself, then the gap left.
+FILLS = 5
 
 
 def n_words(text: Column) -> Column:
@@ -46,9 +48,11 @@ def uniform(*key: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and u of each document, stored: texts are read once."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+def sized(docs: DataFrame, row: Column) -> DataFrame:
+    """doc_id, source, size, u and row (a locator) of each document, stored: texts are read once."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), row.alias("row")
+    )
     return stored(rows.withColumn("u", uniform(F.col("doc_id"), F.col("size"))), "mix-sizes")
 
 
@@ -76,75 +80,97 @@ def targets(rows: DataFrame) -> DataFrame:
     return level.select("source", "source_size", "n_rows", target.alias("target"))
 
 
-def planned(totals: DataFrame) -> DataFrame:
-    """Adds certain copies, the words left to sample, their odds and the number of bins."""
+def planned(totals: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds certain copies, the words left to sample, the scale of probabilities and the number of bins.
+
+    Sizes from ``t`` on are certain if the scale that the others need for the rest of
+    the words, (need - words of size t or more) / (squares of words below t), times
+    the largest size below is at most 1. This runs over one row for each source and
+    distinct size.
+    """
     per_row = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    p = F.col("per_row") - F.col("certain")
-    return (
-        totals.withColumn("per_row", per_row)
-        .withColumn("certain", F.floor("per_row").cast("long"))
+    plan = (
+        totals.withColumn("certain", F.floor(per_row).cast("long"))
         .withColumn("need", F.col("target") - (F.col("certain") * F.col("source_size")).cast("double"))
-        .withColumn("odds", p / (F.lit(1.0) - p))
         .withColumn("bins", F.ceil(F.col("n_rows") / F.lit(BIN_ROWS)).cast("long"))
     )
-
-
-def _same_source(a: DataFrame, b: DataFrame) -> Column:
-    return a["source"].eqNullSafe(b["source"])
-
-
-def border_rows(rows: DataFrame) -> DataFrame:
-    """The rows of border bins with ``chosen``; ``room`` is what earlier bins leave.
-
-    Each pass takes rows in rank order as long as they fit into the gap together,
-    and the next pass has the gap that is left and the rows that fit into it.
+    sizes = rows.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("c"))
+    by_size = Window.partitionBy("source").orderBy("size")
+    exact = lambda x: x.cast("decimal(38,0)")
+    words, squares = exact(F.col("size")) * exact(F.col("c")), exact(F.col("size")) * exact(F.col("size")) * exact(F.col("c"))
+    above = F.coalesce(F.sum(words.cast("decimal(38,0)")).over(by_size.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).cast("double")
+    below = F.sum(squares.cast("decimal(38,0)")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
+    steps = sizes.select("source", "size", above.alias("above"), below.alias("below"))
+    fits = _by_source(steps, plan)
+    fits = fits.withColumn("scale", (F.col("need") - F.col("above")) / F.col("below")).where(F.col("scale") * F.col("size") <= 1)
+    # of all steps that fit, the one with the largest sizes leaves the fewest certain
+    best = fits.groupBy("source").agg(F.max(F.struct("size", "scale"))["scale"].alias("scale"))
+    return _by_source(plan, best, "left").withColumn("scale", F.coalesce("scale", F.lit(0.0)))
+
+
+def _by_source(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the facts of their source, null being one."""
+    named = facts.withColumnRenamed("source", "_of")
+    return rows.join(named, rows["source"].eqNullSafe(named["_of"]), how).drop("_of")
+
+
+def filled(rows: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``chosen`` for those taken as well, and the gap that each source has left.
+
+    Of the rows not chosen yet and no larger than their source's gap, those in rank
+    order are taken as long as they fit into the gap together.
     """
-    whole = Window.partitionBy("source")
-    so_far = whole.orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("chosen", F.lit(False)).withColumn("gap", F.col("room"))
+    asked = _by_source(rows, gaps, "left")
+    fits = ~F.col("chosen") & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
+    asked = stored(asked.withColumn("fits", F.coalesce(fits, F.lit(False))), "mix-asked")
+    sums = asked.where("fits").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+    up_to = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    over = sums.withColumn("up_to", F.sum("words").over(up_to)).where(F.col("up_to") > F.col("gap"))
+    border = over.groupBy("source").agg(F.min(F.struct("bin", (F.col("gap") - (F.col("up_to") - F.col("words"))).alias("room"))).alias("b"))
+    border = stored(border.select("source", F.col("b.bin").alias("border"), F.col("b.room").alias("room")), "mix-borders")
+    placed = _by_source(asked, border, "left")
+    here = F.col("fits") & F.coalesce(F.col("bin") == F.col("border"), F.lit(False))
+    so_far = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.where(here).withColumn("now", F.sum("size").over(so_far) <= F.col("room"))
+    far = placed.where(~here).withColumn("now", F.col("fits") & (F.col("border").isNull() | (F.col("bin") < F.col("border"))))
+    done = far.unionByName(near)
+    out = stored(done.withColumn("chosen", F.col("chosen") | F.col("now")).drop("fits", "border", "room"), "mix-chosen")
+    left = out.groupBy("source").agg((F.first("gap") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(F.lit(0)))).alias("gap"))
+    return out.drop("now", "gap"), stored(left, "mix-gaps")
+
+
+def taken(docs: DataFrame, row: Column) -> DataFrame:
+    """row, doc_id, size, source_size, target and copies of each document."""
+    rows = sized(docs, row)
+    plan = stored(planned(stored(targets(rows), "mix-sources"), rows), "mix-targets")
+    joined = _by_source(rows, plan)
+    p = F.col("scale") * F.col("size")
+    ratio = (F.col("u") / (F.lit(1.0) - F.col("u"))) / (p / (F.lit(1.0) - p))
+    # rank in 0..1 rises with the ratio; the certain come first, those without words last
+    rank = F.when(F.col("size") == 0, F.lit(1.0)).when((F.col("scale") <= 0) | (p >= 1), F.lit(0.0)).otherwise(ratio / (F.lit(1.0) + ratio))
+    ranked = joined.withColumn("rank", rank).withColumn("bin", F.least(F.floor(F.col("rank") * F.col("bins")), F.col("bins") - F.lit(1)))
+    ranked = ranked.withColumn("chosen", F.lit(False)).drop("need", "u", "scale", "bins", "n_rows")
+    gaps = plan.select("source", F.col("need").alias("gap"))
     for _ in range(FILLS):
-        out = out.withColumn("fits", ~F.col("chosen") & (F.col("size") <= F.col("gap")))
-        out = out.withColumn("sum", F.sum(F.when(F.col("fits"), F.col("size")).otherwise(F.lit(0))).over(so_far))
-        out = out.withColumn("now", F.col("fits") & (F.col("sum") <= F.col("gap")))
-        out = out.withColumn("gap", F.col("gap") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(F.lit(0))).over(whole))
-        out = out.withColumn("chosen", F.col("chosen") | F.col("now"))
-    return out.drop("fits", "sum", "now", "gap")
+        ranked, gaps = filled(ranked, gaps)
+    return ranked.select("row", "doc_id", "size", "source_size", "target", (F.col("certain") + F.col("chosen").cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted)."""
-    rows = sized(docs)
-    plan = stored(planned(targets(rows)), "mix-targets")
-    ratio = (F.col("u") / (F.lit(1.0) - F.col("u"))) / F.col("odds")
-    # rank in 0..1 rises with the ratio; certain sources (odds 0) sample nothing
-    rank = F.when(F.col("odds") > 0, ratio / (F.lit(1.0) + ratio)).otherwise(F.lit(1.0))
-    joined = rows.join(plan, _same_source(rows, plan)).drop(plan["source"])
-    joined = joined.withColumn("rank", rank).withColumn("bin", F.least(F.floor(F.col("rank") * F.col("bins")), F.col("bins") - F.lit(1)))
-    ranked = stored(joined, "mix-ranks")
-
-    sums = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
-    up_to = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    over = sums.withColumn("up_to", F.sum("words").over(up_to)).where(F.col("up_to") > F.col("need"))
-    border = over.groupBy("source").agg(F.min(F.struct("bin", (F.col("need") - (F.col("up_to") - F.col("words"))).alias("room"))).alias("b"))
-    border = stored(border.select("source", F.col("b.bin").alias("border"), F.col("b.room").alias("room")), "mix-borders")
-
-    placed = ranked.join(border, _same_source(ranked, border), "left").drop(border["source"])
-    at_border = F.col("bin") == F.col("border")
-    sampled = F.when(F.col("border").isNull(), F.col("need") > 0).otherwise(F.col("bin") < F.col("border"))
-    far = placed.where(F.col("border").isNull() | ~at_border).withColumn("chosen", sampled)
-    chosen = far.unionByName(border_rows(placed.where(at_border)))
-    copies = F.col("certain") + F.col("chosen").cast("long")
-    return chosen.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+    rows = taken(docs, F.monotonically_increasing_id())
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat(docs: DataFrame, copies: str = "mix_copies") -> DataFrame:
     """``docs`` with each document as often as the mix takes it, none if never.
 
-    Documents that share a doc_id and size are taken alike. The number of a copy
-    is in the column named; its other columns are as they came.
+    Documents without words are never taken. The number of a copy is in the column
+    named, which must be new; the other columns are as they came.
     """
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    taken = taken.groupBy("_id", "_size").agg(F.max("_copies").alias("_copies"))
-    key = docs.withColumn("_words", n_words(F.col("text")))
-    met = key.join(taken, key["doc_id"].eqNullSafe(taken["_id"]) & (key["_words"] == taken["_size"]))
-    return met.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_words", "_id", "_size", "_copies")
+    if copies.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs already has a column named {copies}")
+    row, n = fresh(docs, "_mix_row"), fresh(docs, "_mix_copies")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    kept = taken(rows, F.col(row)).where("copies > 0 AND size > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(n))
+    return rows.join(kept, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(row, n)

@@ -122,38 +122,47 @@ f AS (
            OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final
   FROM l),
 t AS (
-  SELECT *, CASE WHEN capped THEN cap ELSE weight * final END AS target,
-         CASE WHEN source_size > 0 THEN (CASE WHEN capped THEN cap ELSE weight * final END) / source_size ELSE 0 END AS per_row
-  FROM f),
+  SELECT *, CASE WHEN capped THEN cap ELSE weight * final END AS target FROM f),
 p AS (
-  SELECT *, floor(per_row) AS certain, target - floor(per_row) * source_size AS need,
-         (per_row - floor(per_row)) / (1 - (per_row - floor(per_row))) AS odds, ceil(n_rows / {mixing.BIN_ROWS}::DOUBLE) AS bins
+  SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS certain,
+         target - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) * source_size AS need,
+         ceil(n_rows / {mixing.BIN_ROWS}::DOUBLE) AS bins
   FROM t),
+z AS (SELECT source, size, count(*) AS c FROM r WHERE size > 0 GROUP BY source, size),
+q AS (
+  SELECT source, size,
+         coalesce(sum(size::HUGEINT * c) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS above,
+         (sum(size::HUGEINT * size * c) OVER (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING))::DOUBLE AS below
+  FROM z),
+o AS (
+  SELECT q.source, q.size, (need - above) / below AS scale FROM q JOIN p ON q.source IS NOT DISTINCT FROM p.source
+  WHERE (need - above) / below * q.size <= 1),
+h AS (SELECT source, arg_max(scale, size) AS scale FROM o GROUP BY source),
 k AS (
-  SELECT r.doc_id, r.source, r.size, r.u, p.* EXCLUDE (source),
-         CASE WHEN odds > 0 THEN (u / (1 - u) / odds) / (1 + u / (1 - u) / odds) ELSE 1 END AS rank
-  FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source),
-b AS (SELECT *, least(floor(rank * bins), bins - 1) AS bin FROM k),
-c AS (
-  SELECT source, bin, any_value(need) AS need, sum(size)::DOUBLE AS words FROM b GROUP BY source, bin),
-e AS (
-  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bin) AS up_to FROM c),
-g AS (
-  SELECT source, min(bin) AS border, arg_min(need - (up_to - words), bin) AS room FROM e WHERE up_to > need GROUP BY source),
-w0 AS (
-  SELECT b.*, g.border, coalesce(g.room, 0) AS gap,
-         CASE WHEN g.border IS NULL THEN need > 0 ELSE bin < g.border END AS chosen,
-         g.border IS NOT NULL AND bin = g.border AS here
-  FROM b LEFT JOIN g ON b.source IS NOT DISTINCT FROM g.source)"""
+  SELECT r.doc_id, r.source, r.size, r.u, p.* EXCLUDE (source), coalesce(h.scale, 0) AS scale, coalesce(h.scale, 0) * r.size AS prob
+  FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source LEFT JOIN h ON r.source IS NOT DISTINCT FROM h.source),
+k1 AS (SELECT *, CASE WHEN prob > 0 AND prob < 1 THEN (u / (1 - u)) / (prob / (1 - prob)) END AS ratio FROM k),
+k2 AS (
+  SELECT *, CASE WHEN size = 0 THEN 1 WHEN scale <= 0 OR prob >= 1 THEN 0 ELSE ratio / (1 + ratio) END AS rank FROM k1),
+w0 AS (SELECT *, least(floor(rank * bins), bins - 1) AS bin, false AS chosen, need AS gap FROM k2)"""
     for i in range(mixing.FILLS):
         sql += f""",
-x{i} AS (SELECT *, here AND NOT chosen AND size <= gap AS fits FROM w{i}),
+a{i} AS (SELECT *, NOT chosen AND size > 0 AND size <= gap AS fits FROM w{i}),
+c{i} AS (SELECT source, bin, any_value(gap) AS gap, sum(size)::DOUBLE AS words FROM a{i} WHERE fits GROUP BY source, bin),
+e{i} AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bin) AS up_to FROM c{i}),
+g{i} AS (
+  SELECT source, min(bin) AS border, arg_min(gap - (up_to - words), bin) AS room FROM e{i} WHERE up_to > gap GROUP BY source),
+b{i} AS (
+  SELECT a{i}.*, g{i}.border, g{i}.room, fits AND coalesce(bin = g{i}.border, false) AS here
+  FROM a{i} LEFT JOIN g{i} ON a{i}.source IS NOT DISTINCT FROM g{i}.source),
 y{i} AS (
-  SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END)
-    OVER (PARTITION BY source, here ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) <= gap AS now FROM x{i}),
+  SELECT *, CASE WHEN here
+      THEN sum(size) OVER (PARTITION BY source, here ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) <= room
+      ELSE fits AND (border IS NULL OR bin < border) END AS now
+  FROM b{i}),
 w{i + 1} AS (
-  SELECT * EXCLUDE (fits, now, gap, chosen),
-         gap - sum(CASE WHEN now THEN size ELSE 0 END) OVER (PARTITION BY source, here) AS gap, chosen OR now AS chosen
+  SELECT * EXCLUDE (fits, here, border, room, now, gap, chosen), chosen OR now AS chosen,
+         gap - sum(CASE WHEN now THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap
   FROM y{i})"""
     return sql + f"""
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, ((certain + chosen::INT) * size)::BIGINT AS taken FROM w{mixing.FILLS}

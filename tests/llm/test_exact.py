@@ -57,6 +57,11 @@ def test_keep_first_keeps_columns(spark):
     df = docs(spark, [(1, "a", "s"), (2, "a", "s"), (3, None, None)])
     out = exact_dedup.keep_first(df)
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {1, 3}
+    for name in ("_exact_row", "text_sha256", "kept", "past", "n_points"):
+        df = df.withColumn(name, F.lit(name))
+    out = exact_dedup.keep_first(df.unionByName(df))
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} == {(i, t, s, "x", "y", *df.columns[5:]) for i, t, s in [(1, "a", "s"), (3, None, None)]}
+    assert out.count() == 2
 
 
 def test_keep_first_leaves_one_row_of_each_text(spark):
@@ -177,8 +182,42 @@ def test_many_bins_take_the_same_share(spark, monkeypatch):
         assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, rel=0.01)
 
 
+@pytest.mark.parametrize("seed", ["mix", "other"])
+def test_inclusion_follows_size(spark, monkeypatch, seed):
+    """Of a source that gets 5/3 of its words, the few long documents are certain a second time, the others by their words."""
+    monkeypatch.setattr(mixing, "SEED", seed)
+    n = 4000
+    rows = [(i, "w " * (100 if i % 50 == 0 else 10 if i % 2 == 0 else 5), "abc"[i // n]) for i in range(3 * n)]
+    got = [r for r in mixing.mix(docs(spark, rows)).collect() if r.doc_id >= 2 * n]
+    again = {size: np.mean([r.taken // r.size - 1 for r in got if r.size == size]) for size in (5, 10, 100)}
+    scale = (930 * 2 / 3 - 200) / (50 * 5**2 + 48 * 10**2)
+    assert again[100] == 1 and again[5] == pytest.approx(5 * scale, abs=0.04) and again[10] == pytest.approx(10 * scale, abs=0.04)
+
+
+def test_a_document_larger_than_a_bin(spark, monkeypatch):
+    """The gap that a passed-over document leaves is filled from all bins behind it."""
+    monkeypatch.setattr(mixing, "BIN_ROWS", 5)
+    rows = [(i, "w " * (3000 if i % 40 == 0 else 3), "ab"[i % 2]) for i in range(800)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    for source in (0, 1):
+        mine = [r for r in got if r.doc_id % 2 == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3000 and sum(r.taken for r in mine) <= mine[0].target
+
+
 def test_repeat(spark):
     rows = [(i, "w " * (i % 20), "abc"[i % 3]) for i in range(300)]
     df = docs(spark, rows)
     taken = {r.doc_id: r.taken // r.size for r in mixing.mix(df).collect() if r.taken}
     assert Counter(r.doc_id for r in mixing.repeat(df, "copy").collect()) == Counter(taken)
+
+
+def test_repeat_of_equal_rows_and_clashing_names(spark):
+    rows = [(i % 7 if i % 3 else None, "w " * (i % 5), "abc"[i % 3]) for i in range(300)] + [(None, None, None)]
+    df = docs(spark, rows)
+    for name in ("_mix_row", "_mix_copies", "_words", "_id", "size", "row", "u", "gap", "copies"):
+        df = df.withColumn(name, F.lit(name))
+    out = mixing.repeat(df, "copy")
+    assert out.columns == [*df.columns, "copy"] and all(r["_words"] == "_words" and r.gap == "gap" for r in out.collect())
+    assert out.count() == sum(r.taken // r.size for r in mixing.mix(df).collect() if r.size)
+    with pytest.raises(ValueError):
+        mixing.repeat(df, "U")

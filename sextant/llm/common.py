@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,12 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 ARROW_RECORDS = 512
 
 
+#: Rows from which a key of a join is split, and the most keys that are (which then are larger).
+HOT_ROWS = 100
+MOST_HOT = 1000
+
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,10 +51,58 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``stored`` wrote, from the given one on.
+
+    Only for when no DataFrame that came of them is needed any more.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_written) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Frees at its end what ``stored`` wrote within it."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        freed(spark, since)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores behind it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def joined(rows: DataFrame, facts: DataFrame, on: str, count: str) -> DataFrame:
+    """``rows`` joined with ``facts``, a stored table with one row for each key and ``count``, its number of rows.
+
+    Keys of more rows than HOT_ROWS, and than a MOST_HOT-th of all, are split: their
+    rows are dealt to as many parts as needed, and their facts go to each of them.
+    So no task gets more than that of one key. The list of such keys, MOST_HOT at
+    most, is broadcast. No column may be named ``_parts`` or ``_part``.
+    """
+    total = facts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, -(-total // MOST_HOT))
+    parts = F.ceil(F.col(count) / F.lit(least)).cast("int")
+    hot = F.broadcast(facts.where(F.col(count) > least).select(on, parts.alias("_parts")))
+    part = F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = rows.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    copies = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - F.lit(1))))
+    return dealt.join(copies, [on, "_part"]).drop("_part")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

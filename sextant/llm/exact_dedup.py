@@ -7,10 +7,12 @@ winning row. Digests of incoming rows are looked up by slot and compared byte
 for byte: members join their slot's group, the rest form groups of their own.
 
 Null text counts as empty. Rows are aggregated per digest before any shuffle by
-bucket, so a group that holds a third of all rows costs one row per map task.
+bucket, so a group that holds a third of all rows costs one row per map task; where
+rows meet their groups again, such a group is split over tasks.
 In ``dedup``, rows that repeat a doc_id with equal text are one document: they are
-kept or not together, and each counts in ``group_size``; ``keep_first`` leaves one. Only ``doc_id`` and ``text`` are
-read, so other columns may have any name. An empty table gives an empty result.
+kept or not together, and each counts in ``group_size``; ``keep_first`` leaves one.
+Only ``doc_id`` and ``text`` are read, so other columns may have any name. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,13 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import SPACE_CLASS, id_remainder, stored, text_or_empty
+from sextant.llm.common import SPACE_CLASS, fresh, id_remainder, joined, stored, text_or_empty
 
 #: Digests that one bucket of the index holds on average.
 BUCKET_KEYS = 2048
 #: Bits per key in a level of the hash.
 LOAD = 1.5
-_ROW = "_exact_row"
 
 _INDEX_SCHEMA = (
     "bucket long, level_bits array<int>, bits binary, digests binary, "
@@ -226,7 +227,7 @@ def dedup(docs: DataFrame, in_history: Column | None = None, *more: str) -> Data
     groups = group(index, winners(rows.where("NOT past")), n_buckets).select(
         F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "keep_len", "group_size", "member"
     )
-    return rows.join(groups, "text_sha256").select(
+    return joined(rows, stored(groups, "exact-groups"), "text_sha256", "group_size").select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -243,7 +244,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows that repeat the doc_id (or have none) and text of the one that stays are
     told apart by a locator; the first of them stays.
     """
-    rows = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "exact-rows")
-    kept = dedup(rows, None, _ROW).where("kept")
-    stay = kept.groupBy("text_sha256").agg(F.min(_ROW).alias(_ROW)).select(_ROW)
-    return rows.join(stay, _ROW, "left_semi").select(*docs.columns)
+    row = fresh(docs, "_exact_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "exact-rows")
+    kept = dedup(rows, None, row).where("kept")
+    stay = kept.groupBy("text_sha256").agg(F.min(row).alias(row)).select(row)
+    return rows.join(stay, row, "left_semi").select(*docs.columns)

@@ -49,7 +49,7 @@ OWN_CLASSES = 2.0
 SHARED_CLASSES = 1.0
 #: Last bytes of a token that decide which class it shares.
 ENDING = 3
-DIMENSIONS = 16
+DIMENSIONS = 12
 CONTEXT = 2
 #: Tokens whose counts are sent to the workers; more only if more are classes of their own.
 HEAD_TOKENS = 65_536
@@ -64,7 +64,7 @@ MOST_SHARDS = 512
 #: Training positions of a step; noise groups shared by them, noise classes of each.
 STEP = 2048
 NOISE = 32
-NOISE_WITHIN = 4
+NOISE_WITHIN = 1
 RATE = 0.1
 #: Numbers of a row in which parameters travel.
 CHUNK = 16_384
@@ -247,7 +247,10 @@ Parameters = dict[str, np.ndarray]
 
 
 def start(vocab: Vocabulary, seed: int = 11) -> Parameters:
-    """Parameters at which the model is close to the unigram distribution."""
+    """Parameters at which the model is close to the unigram distribution.
+
+    The last column of groups' and classes' vectors is their bias.
+    """
     rng = np.random.default_rng(seed)
     odds = vocab.class_odds()
     by_group = odds.reshape(vocab.groups, vocab.group)
@@ -255,16 +258,22 @@ def start(vocab: Vocabulary, seed: int = 11) -> Parameters:
     with np.errstate(divide="ignore"):
         bias = np.log(by_group / share[:, None]).ravel()
     normal = lambda n: rng.normal(0, 0.1, (n, DIMENSIONS)).astype(np.float32)
+    with_bias = lambda b: np.column_stack([normal(len(b)), b]).astype(np.float32)
     return {
         "context": normal(vocab.classes),
-        "target": normal(len(odds)),
-        "bias": np.maximum(bias, -1e9).astype(np.float32),  # classes that only fill up a group have no share
-        "group": normal(vocab.groups),
-        "group_bias": np.log(share).astype(np.float32),
+        "target": with_bias(np.maximum(bias, -1e9)),  # classes that only fill up a group have no share
+        "group": with_bias(np.log(share)),
         "weights": np.ones((CONTEXT, DIMENSIONS), np.float32),
     }
 
 
+def guesses(params: Parameters, before: list[np.ndarray]) -> np.ndarray:
+    """The prediction after each context, with a 1 behind for the biases."""
+    out = np.ones((len(before[0]), DIMENSIONS + 1), np.float32)
+    out[:, :DIMENSIONS] = sum(params["context"][b] * w for b, w in zip(before, params["weights"]))
+    return out
+
+
 def flat(params: Parameters) -> np.ndarray:
     return np.concatenate([params[k].ravel() for k in sorted(params)])
 
@@ -296,43 +305,43 @@ class Trainer:
 
     def _add(self, name: str, ids: np.ndarray, values: np.ndarray) -> None:
         """Move the rows named by ids along the sums of their values."""
-        order = np.argsort(ids, kind="stable")
+        # numpy sorts short integers by their digits
+        order = np.argsort(ids.astype(np.uint16) if len(self.params[name]) < 1 << 16 else ids, kind="stable")
         ranked = ids[order]
         starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        rows, sums = ranked[starts], np.add.reduceat(values[order], starts, axis=0)
-        self.squares[name][rows] += sums * sums
-        self.params[name][rows] += RATE * sums / np.sqrt(self.squares[name][rows])
+        rows, sums = ranked[starts], np.add.reduceat(values.take(order, axis=0), starts, axis=0)
+        squares = self.squares[name][rows] + sums * sums
+        self.squares[name][rows] = squares
+        self.params[name][rows] += RATE * sums / np.sqrt(squares)
 
     def step(self, before: list[np.ndarray], word: np.ndarray) -> None:
         """before: the class 1, 2, ... places back of each position."""
         p, n = self.params, len(word)
-        context = [p["context"][b] for b in before]
-        guess = sum(c * w for c, w in zip(context, p["weights"]))
+        guess = guesses(p, before)
         sigmoid = lambda x: 1 / (1 + np.exp(np.clip(-x, -30, 30)))
 
         group = word // self.size
         noise = np.searchsorted(self.group_cumulative, self.rng.random(NOISE) * self.group_cumulative[-1]).clip(0, len(self.group_offset) - 1)
-        vectors, sampled = p["group"][group], p["group"][noise]
-        true = 1 - sigmoid((guess * vectors).sum(axis=1) + p["group_bias"][group] - self.group_offset[group])
-        false = -sigmoid(guess @ sampled.T + (p["group_bias"][noise] - self.group_offset[noise]))
+        vectors, sampled = p["group"].take(group, axis=0), p["group"][noise]
+        true = 1 - sigmoid(np.einsum("nd,nd->n", guess, vectors) - self.group_offset[group])
+        false = -sigmoid(guess @ sampled.T - self.group_offset[noise])
         back = true[:, None] * vectors + false @ sampled
 
         low, high = self.cumulative[group * self.size], self.cumulative[(group + 1) * self.size]
         spot = low[:, None] + self.rng.random((n, NOISE_WITHIN)) * (high - low)[:, None]
         first = group[:, None] * self.size
         other = (np.searchsorted(self.cumulative, spot, side="right") - 1).clip(first, first + self.size - 1)
-        targets, others = p["target"][word], p["target"][other]
-        near = 1 - sigmoid((guess * targets).sum(axis=1) + p["bias"][word] - self.offset[word])
-        far = -sigmoid(np.einsum("nd,nkd->nk", guess, others) + p["bias"][other] - self.offset[other])
-        back += near[:, None] * targets + np.einsum("nk,nkd->nd", far, others)
+        both = np.concatenate([word[:, None], other], axis=1)
+        targets = p["target"].take(both, axis=0)
+        pull = -sigmoid(np.einsum("nkd,nd->nk", targets, guess) - self.offset.take(both))
+        pull[:, 0] += 1
+        back += np.einsum("nk,nkd->nd", pull, targets)
 
-        weights = np.stack([(back * c).sum(axis=0) for c in context])
+        back = back[:, :DIMENSIONS]
+        context = [p["context"][b] for b in before]
+        weights = np.stack([np.einsum("nd,nd->d", back, c) for c in context])
         self._add("group", np.r_[group, noise], np.concatenate([true[:, None] * guess, false.T @ guess]))
-        self._add("group_bias", np.r_[group, noise], np.r_[true, false.sum(axis=0)])
-        all_classes = np.r_[word, other.ravel()]
-        spread = (far[:, :, None] * guess[:, None, :]).reshape(-1, DIMENSIONS)
-        self._add("target", all_classes, np.concatenate([near[:, None] * guess, spread]))
-        self._add("bias", all_classes, np.r_[near, far.ravel()])
+        self._add("target", both.ravel(), (pull[:, :, None] * guess[:, None, :]).reshape(-1, DIMENSIONS + 1))
         self._add("context", np.concatenate(before), np.concatenate([back * w for w in p["weights"]]))
         self._add("weights", np.arange(CONTEXT), weights)
 
@@ -427,7 +436,7 @@ class Scorer:
     def logs(self, before: list[np.ndarray], word: np.ndarray) -> np.ndarray:
         """Natural log-probability of each class after those before it."""
         p, size = self.params, self.vocab.group
-        guess = sum(p["context"][b] * w for b, w in zip(before, p["weights"]))
+        guess = guesses(p, before)
         group = word // size
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(self.vocab.groups + 1))
@@ -436,8 +445,8 @@ class Scorer:
             for at in range(cuts[g], cuts[g + 1], 8192):
                 rows = order[at : min(at + 8192, cuts[g + 1])]
                 mine, each = guess[rows], np.arange(len(rows))
-                over = mine @ p["group"].T + p["group_bias"]
-                inside = mine @ p["target"][g * size : (g + 1) * size].T + p["bias"][g * size : (g + 1) * size]
+                over = mine @ p["group"].T
+                inside = mine @ p["target"][g * size : (g + 1) * size].T
                 out[rows] = over[:, g] - _log_sum(over) + inside[each, word[rows] - g * size] - _log_sum(inside)
         return out
 

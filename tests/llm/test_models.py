@@ -86,6 +86,49 @@ def test_language(spark):
     assert np.mean([a == b for a, b in held]) >= 0.95 and got[903].lang_pred == "fr"
 
 
+def language_by_hand(net, raw):
+    """Scores of a text by direct convolution, window by window, without tables."""
+    total = np.zeros(len(net.langs))
+    for at in range(0, max(1, len(raw)), langid.WINDOW):
+        window = raw[at : at + langid.WINDOW]
+        x = np.zeros((langid.WINDOW, langid.EMBEDDING))
+        x[: len(window)] = net.embed[list(window)]
+        pooled = []
+        for i, w in enumerate(langid.WIDTHS):
+            outs = [np.einsum("ke,kef->f", x[j : j + w], net.filters[w]) for j in range(langid.WINDOW - w + 1)]
+            pooled.append(np.max(outs, axis=0) + net.bias[i * langid.FILTERS : (i + 1) * langid.FILTERS])
+        z = np.maximum(np.concatenate(pooled), 0) @ net.dense + net.dense_bias
+        total += len(window) * (z - z.max() - np.log(np.exp(z - z.max()).sum()))
+    return total / max(1, len(raw))
+
+
+def test_language_by_brute_force(spark):
+    rows = labelled(60) + [(900, " ".join(f"{a} {b}" for a in WORDS["de"].split() for b in WORDS["fr"].split()) * 3, None), (901, "été " * 700, "fr"), (902, "x", None)]
+    table = docs(spark, rows)
+    net = langid.train(table, F.lit(True))
+    for r in langid.predict(table, net).collect():
+        z = language_by_hand(net, r.text.encode())
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == net.langs[int(z.argmax())] and r.lang_score == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_sample_is_drawn_from_whole_texts(spark, monkeypatch):
+    """Of long texts a bounded number of windows, from everywhere in them."""
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda windows, labels: seen.update(windows=windows, labels=labels))
+    text = "".join(f"{i:07d} " for i in range(40_000))
+    langid.train(docs(spark, [(1, "a" + text, "en"), (2, "b" + text, "de"), (3, "short", "de")]), F.lit(True))
+    places = [int(w.split()[1]) for w in seen["windows"] if len(w) == langid.WINDOW]
+    assert len(places) <= 2 * langid.SAMPLE_WINDOWS and min(places) < 12_000 and max(places) > 28_000 and b"short" in seen["windows"]
+
+
+def test_language_and_ids_keep_clashing_columns(spark):
+    df = docs(spark, [(1, "le été", "fr"), (2, None, None)]).selectExpr("*", "'p' AS lang_pred", "'s' AS lang_score", "'h' AS _langid", "'n' AS n_tokens")
+    out = bpe.encode(langid.predict(df, langid.train(df, F.lit(True))), PATH)
+    assert out.columns == [*df.columns, "lang_pred_", "lang_score_", "token_ids_", "n_tokens_"]
+    assert {(r.lang_pred, r.lang_score, r._langid, r.n_tokens, r.token_ids) for r in out.collect()} == {("p", "s", "h", "n", "x")}
+
+
 def test_language_without_labels(spark):
     rows = [(1, "some text", None), (2, None, None)]
     assert {r.lang_pred for r in langid.identify(docs(spark, rows)).collect()} == {"und"}
@@ -153,9 +196,10 @@ def lm_log(vocab, params, counts, word, before):
     cls = lambda w: own[w] if w in own else vocab.own + zlib.crc32(w[-lm.ENDING:]) % shared
     guess = sum(params["context"][cls(b)].astype(float) * params["weights"][k] for k, b in enumerate(before))
     c, size = cls(word), vocab.group
-    group = np.exp(params["group"] @ guess + params["group_bias"])
+    group = np.exp(params["group"][:, :-1] @ guess + params["group"][:, -1])
     g = c // size
-    inside = np.exp(params["target"][g * size : (g + 1) * size] @ guess + params["bias"][g * size : (g + 1) * size])
+    mine = params["target"][g * size : (g + 1) * size]
+    inside = np.exp(mine[:, :-1] @ guess + mine[:, -1])
     p = group[g] / group.sum() * inside[c - g * size] / inside.sum()
     if c >= vocab.own:
         same = [n for w, n in counts.items() if w not in own and cls(w) == c]

@@ -16,8 +16,9 @@ Ids equal those of the tokenizers library on the same file with
 ``add_special_tokens=False``; the strings of added tokens in a text are cut out
 as that library does. Null text counts as empty and gives no ids. Texts are
 processed whole, whatever their length; a worker keeps a bounded cache of words.
-Other columns pass through untouched, whatever their names; the two columns
-added replace columns of the same names. Repeated rows are encoded alike.
+Other columns pass through untouched; where one has the name of a new column, the
+new one gets underscores behind it. Repeated rows are encoded alike. An empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_batches
+from sextant.llm.common import bounded_batches, fresh
 
 #: Fixed value: the byte-level tokenizer's word pattern, letters first as they are commonest.
 WORD_PATTERN = r" ?\p{L}++|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
@@ -488,6 +489,7 @@ def decode_column(ids: Column, path: str) -> Column:
 def encode(docs: DataFrame, path: str, ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
     """``docs`` with the ids of ``text`` (binary) and their number."""
     bounded_batches(docs.sparkSession)
+    ids, count = fresh(docs, ids), fresh(docs, count)
     out = docs.withColumn(ids, encode_column(F.col("text"), path))
     return out.withColumn(count, (F.octet_length(ids) / F.lit(4)).cast("long"))
 
@@ -495,7 +497,7 @@ def encode(docs: DataFrame, path: str, ids: str = "token_ids", count: str = "n_t
 def decode(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the text that the ids stand for."""
     bounded_batches(docs.sparkSession)
-    return docs.withColumn(text, decode_column(F.col(ids), path))
+    return docs.withColumn(fresh(docs, text), decode_column(F.col(ids), path))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -3,9 +3,10 @@
 A text's UTF-8 bytes are cut into fixed-length windows. Each window goes through
 byte embeddings, convolution filters of several widths, max pooling over the
 window, and softmax; a text's scores are the mean log-probabilities of all its
-windows, weighted by their length. Training is numpy (Adam on cross-entropy) on a
-bounded sample of labelled rows, the rows of smallest hash of their text; all
-other rows only meet the finished network.
+windows, weighted by their length. Training is numpy (Adam on cross-entropy) on
+windows of a bounded sample of labelled rows, the rows of smallest hash of their
+text; the windows are drawn over each whole text. All other rows only meet the
+finished network.
 
 For prediction, embeddings and filters are folded into tables over byte values
 and byte pairs, so that a convolution is a sum of table rows.
@@ -13,7 +14,8 @@ and byte pairs, so that a convolution is a sum of table rows.
 Null text, and text without a letter, is ``und`` with score 0. If no labelled row
 exists, every text is ``und``. Neither lang, source nor doc_id enters a
 prediction; equal texts get equal answers. Whole texts are read, however long.
-Other columns pass through ``predict`` untouched, except those that it adds.
+Other columns pass through ``predict`` untouched; where one has the name of a new
+column, the new one gets underscores behind it. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_batches, id_remainder
+from sextant.llm.common import bounded_batches, fresh, id_remainder
 
-#: Bound of the training sample, and of the bytes taken from each of its texts.
+#: Bound of the training sample in rows, and in windows drawn from each of their texts.
 SAMPLE_ROWS = 2000
-SAMPLE_BYTES = 1024
+SAMPLE_WINDOWS = 16
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -176,16 +178,20 @@ def train(docs: DataFrame, eligible: Column) -> Network | None:
 
     The sample is spread evenly over labels: of each the distinct texts of smallest
     hash, which are the same on every run. A share that the label's row count
-    bounds is cut out by hash first, so that few rows are ranked by label.
+    bounds is cut out by hash first, so that few rows are ranked by label. Of a
+    text's windows, SAMPLE_WINDOWS at most are drawn by a hash, from all of them.
     """
     rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    raw = F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES)
-    rows = rows.select("lang", raw.alias("raw"), F.xxhash64("text").alias("order"))
+    rows = rows.select("lang", F.encode("text", "UTF-8").alias("raw"), F.xxhash64("text").alias("order"))
     # labels beyond the sample's rows could not be in it; this also bounds the broadcast
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS)
     part = F.pmod("order", F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
     near = rows.join(F.broadcast(sizes), "lang").where(part <= F.lit(2.0 * SAMPLE_ROWS))
-    texts = near.groupBy("lang", "order").agg(F.min("raw").alias("raw"))
+    n = F.ceil(F.octet_length("raw") / F.lit(WINDOW))
+    draws = F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(SAMPLE_WINDOWS)) - F.lit(1))
+    drawn = F.array_distinct(F.transform(draws, lambda i: F.when(n <= SAMPLE_WINDOWS, i).otherwise(F.pmod(F.xxhash64("order", i), n))))
+    windows = F.transform(drawn, lambda i: F.substring("raw", (i * F.lit(WINDOW) + F.lit(1)).cast("int"), F.lit(WINDOW)))
+    texts = near.select("lang", "order", windows.alias("windows")).groupBy("lang", "order").agg(F.min("windows").alias("windows"))
     order = Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 30)), "order")
     ranked = texts.withColumn("nth", F.row_number().over(order))
     sample = (
@@ -193,11 +199,12 @@ def train(docs: DataFrame, eligible: Column) -> Network | None:
     )
     if not sample:
         return None
-    return fit([bytes(r["raw"]) for r in sample], [r["lang"] for r in sample])
+    return fit([bytes(w) for r in sample for w in r["windows"]], [r["lang"] for r in sample for _ in r["windows"]])
 
 
 def predict(docs: DataFrame, net: Network | None, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its probability."""
+    lang, score, held = (fresh(docs, name) for name in (lang, score, "_langid"))
     if net is None:
         return docs.withColumn(lang, F.lit(UNKNOWN)).withColumn(score, F.lit(0.0))
     bounded_batches(docs.sparkSession)
@@ -215,7 +222,6 @@ def predict(docs: DataFrame, net: Network | None, lang: str = "lang_pred", score
         return pd.DataFrame({"lang": names, "score": 1 / share.sum(axis=1)})
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    held = "_langid"
     return (
         docs.withColumn(held, F.struct(lettered.alias("lettered"), scores(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).alias("found")))
         .withColumn(lang, F.when(F.col(f"{held}.lettered"), F.col(f"{held}.found.lang")).otherwise(F.lit(UNKNOWN)))

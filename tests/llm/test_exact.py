@@ -134,6 +134,22 @@ def test_warc_round_trip(spark):
         assert rest.endswith(b"\r\n\r\n") and f"Content-Length: {len(rest) - 4}".encode() in head
 
 
+def test_warc_files(spark, tmp_path):
+    rows = [(i, f"u{i}", ("é\r\n\r\n" * 200 if i % 3 else f"own {i}") if i else None) for i in range(40)]
+    headers, payloads = warc.write_archive(spark.createDataFrame(rows, PAGES), "2024-05-01T00:00:00Z")
+    warc.write_warc(headers, payloads, str(tmp_path / "warc"), 7)
+    got = {r.header: bytes(r.block) for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    want = {r.header: bytes(r.payload) if "response" in r.header else b"" for r in warc.read_archive(headers, payloads).collect()}
+    assert got == want and len(got) == 40 and all("WARC-Date: 2024-05-01T00:00:00Z\r\n" in h for h in got)
+    assert sum("revisit" in h for h in got) == 25
+
+
+def test_warc_of_one_hot_payload(spark):
+    rows = [(i, "u", "x" * 1200 if i % 2 else f"own {i}") for i in range(900)]
+    got = warc.archive_report(*warc.write_archive(spark.createDataFrame(rows, PAGES))).collect()
+    assert Counter(r.record_type for r in got) == {"revisit": 449, "response": 451} and {r.refers_to for r in got} == {None, 899}
+
+
 def test_warc_detects_damage(spark):
     headers, payloads = warc.write_archive(spark.createDataFrame([(1, "u", "page")], PAGES))
     with pytest.raises(Exception, match="does not match"):

@@ -11,9 +11,10 @@ overflow, so the state is kept in three limbs of 22, 22 and 20 bits.
 
 The id and the shard count alone decide the shard. A null id is a key like any
 other. Null text counts as empty. Slots count each shard's rows without a gap:
-rows are dealt to sub-groups of bounded size by a second hash of the id, counted
-from the id column alone, and numbered within the sub-group, so no task holds a
-whole shard. Repeated rows get slots of their own. An empty table gives none.
+rows are dealt to sub-groups of bounded size by a second hash, of id and text, so
+that rows that share an id are dealt too, and numbered within the sub-group, so no
+task holds a whole shard. Rows alike in both get slots of their own in any order.
+An empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def shard(docs: DataFrame, n_shards: int) -> DataFrame:
     n_groups = max(1, -(-docs.count() // (n_shards * GROUP_ROWS)))
     text = text_or_empty()
     jumped = jump_hash(stable_key(), n_shards)
-    group = F.pmod(F.xxhash64(F.lit("slot"), F.col("doc_id").cast("string")), F.lit(n_groups)).cast("int")
+    group = F.pmod(F.xxhash64(F.lit("slot"), F.col("doc_id").cast("string"), F.crc32(text)), F.lit(n_groups)).cast("int")
     offsets = (
         docs.select(jumped["shard"].alias("shard"), group.alias("part"))
         .groupBy("shard", "part")

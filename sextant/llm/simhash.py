@@ -16,9 +16,11 @@ or less share one of them. Of at most 4 differing bits in three segments, either
 
 For single errors it is enough that one side spreads its indices and the other
 gives its own, so each fingerprint spreads one segment at a time. Fingerprints
-that share a key meet; every link is verified by its distance. Within a key only
-a spanning forest of the links is passed on, which keeps all connections without
-listing the pairs of a group. Components are found by alternating star steps.
+that share a key meet, in blocks of bounded size where there are many; every link is
+verified by its distance. Within a block only a spanning forest of the links is
+passed on, which keeps all connections without listing the pairs of a group.
+Components are found by alternating star steps, over nodes in order of the smallest
+doc_id of their fingerprint, so that a component's lowest node also names it.
 
 Null text counts as empty: it has no words, fingerprint zero, and links like any
 other. Null ids never name a component if it has another id. Rows that repeat a
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sextant.llm.common import bounded_batches, stored
+from sextant.llm.common import bounded_batches, joined, stored
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -50,6 +52,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011
 #: Shingles whose bits are counted together.
 BATCH_SHINGLES = 200_000
+#: Fingerprints of a key that meet as one block; more are split, and all pairs of their blocks meet.
+BLOCK_FPS = 4096
 #: Rounds of the component search; each at least halves the depth of a tree.
 MAX_ROUNDS = 60
 
@@ -234,7 +238,14 @@ def links(classes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = classes.select("fp").repartition(width, "fp").mapInPandas(_emit_keys, "key long, fp long")
     shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where(F.col("n") > 1)
-    found = shared.select("key", "fp").sortWithinPartitions("key").mapInPandas(_linker(bits), "u long, v long")
+    small = shared.where(F.col("n") <= BLOCK_FPS).select("key", "fp").sortWithinPartitions("key")
+    found = small.mapInPandas(_linker(bits), "u long, v long")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK_FPS / 2))
+    own = shared.where(F.col("n") > BLOCK_FPS).select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("own"))
+    pairs = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1))).alias("other"))
+    block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    large = pairs.select(block, "fp").repartition(width, "key").sortWithinPartitions("key")
+    found = found.unionByName(large.mapInPandas(_linker(bits), "u long, v long"))
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -243,7 +254,7 @@ def _lowest(rows: DataFrame) -> DataFrame:
 
 
 def stars(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (u > v): each node u with the lowest node v.
+    """Connected components of edges (u > v) of any ordered type: each node u with the lowest node v.
 
     Large star: every neighbour above u moves to the lowest neighbour of u, or to
     u. Small star: the neighbours below u, and u, move to the lowest of them. The
@@ -271,11 +282,13 @@ def components(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX_BITS
     The component is named by the smallest doc_id that links reach.
     """
     rows = fingerprints(docs, width)
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low_id"))
-    roots = stars(links(classes, bits)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = placed.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    of_class = placed.join(names, "root").select("fp", "component_id")
-    return rows.join(of_class, "fp").select(
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("n_rows")), "simhash-classes")
+    node = F.struct(F.col("low_id").isNull().alias("unknown"), "low_id", "fp")
+    side = lambda name: classes.select(F.col("fp").alias(name), node.alias(f"{name}_node"))
+    met = links(classes, bits).join(side("u"), "u").join(side("v"), "v")
+    edges = met.select(F.greatest("u_node", "v_node").alias("u"), F.least("u_node", "v_node").alias("v"))
+    roots = stars(edges).select(F.col("u.fp").alias("fp"), F.col("v.low_id").alias("component_id"))
+    of_class = classes.join(roots, "fp", "left").withColumn("component_id", F.coalesce("component_id", "low_id")).drop("low_id")
+    return joined(rows, stored(of_class, "simhash-components"), "fp", "n_rows").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -1,6 +1,9 @@
 """The corpus pipeline: five stages over the documents, each reread from Parquet.
 
-Counted as part of the training-data operators: it goes where they go.
+Counted as part of the training-data operators: it goes where they go. Columns of
+documents pass through all stages as they came, whatever their names; the last
+stage adds ``token_ids`` and ``n_tokens`` (with underscores behind them where a
+column has that name). An empty table passes through all stages empty.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm import bpe, exact_dedup, langid, mixing, near_dedup
-from sextant.llm.common import id_remainder, stored, table
+from sextant.llm.common import fresh, id_remainder, scratch, stored, table
 from sextant.llm.queries import tokenizer_path
 
 #: A document stays if its language is known with at least this probability.
@@ -21,8 +24,9 @@ LEAST_LANGUAGE_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those whose language is uncertain."""
     net = langid.train(docs, id_remainder(4) != 2)
-    found = langid.predict(docs, net, "_lang", "_score")
-    sure = (F.col("_lang") != F.lit(langid.UNKNOWN)) & (F.col("_score") >= F.lit(LEAST_LANGUAGE_SCORE))
+    lang, score = fresh(docs, "_lang"), fresh(docs, "_score")
+    found = langid.predict(docs, net, lang, score)
+    sure = (F.col(lang) != F.lit(langid.UNKNOWN)) & (F.col(score) >= F.lit(LEAST_LANGUAGE_SCORE))
     return found.where(sure).select(*docs.columns)
 
 
@@ -38,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents until each source has its target of words."""
-    return mixing.repeat(docs, "_copy").select(*docs.columns)
+    return mixing.repeat(docs, fresh(docs, "_copy")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i + 1}")
+        with scratch(spark):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = stored(docs, f"stage-{i + 1}", keep=True)
     return docs

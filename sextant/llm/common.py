@@ -44,14 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    ``freed`` deletes the table, unless it is one to ``keep``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if not keep:
+        _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,7 +13,9 @@ of different components are tried, in blocks of bounded size.
 
 Of each component the smallest doc_id stays (null last, then the first row). Every
 stored row has a locator of its own, so rows that repeat a doc_id, or have none,
-are told apart. Null text counts as empty; empty texts are alike.
+are told apart. Null text counts as empty; empty texts are alike. Keys that many rows
+share are split over tasks. Other columns pass through, whatever their names; an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import simhash
-from sextant.llm.common import bounded_batches, stored, text_or_empty
+from sextant.llm.common import bounded_batches, fresh, joined, stored, text_or_empty
 
 SHINGLE_WORDS = 5
 #: Least Jaccard similarity of a link, as a fraction of whole numbers.
@@ -113,8 +115,8 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _fingerprint_pairs(signed: DataFrame) -> DataFrame:
     """Rows of one fingerprint against the first of them, and linked fingerprints' first rows."""
-    classes = stored(signed.groupBy("fp").agg(F.min(_ROW).alias("first")), "near-classes")
-    same = signed.join(classes, "fp").select(F.col(_ROW).alias("a"), F.col("first").alias("b"))
+    classes = stored(signed.groupBy("fp").agg(F.min(_ROW).alias("first"), F.count(F.lit(1)).alias("c")), "near-classes")
+    same = joined(signed.select("fp", _ROW), classes, "fp", "c").select(F.col(_ROW).alias("a"), F.col("first").alias("b"))
     of = lambda name, to: classes.select(F.col("fp").alias(name), F.col("first").alias(to))
     near = simhash.links(classes).join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
     return same.unionByName(near)
@@ -128,8 +130,8 @@ def _may_be_alike(one: str, two: str) -> Column:
 def _hub_pairs(members: DataFrame) -> DataFrame:
     """Each row of a band against one row of it."""
     pick = F.min(F.struct(F.col(_ROW).alias("hub"), F.col("n").alias("hub_n")))
-    hubs = members.groupBy("key").agg(pick.alias("h")).select("key", "h.hub", "h.hub_n")
-    met = members.join(hubs, "key").where(_may_be_alike("n", "hub_n"))
+    hubs = members.groupBy("key").agg(pick.alias("h"), F.count(F.lit(1)).alias("c")).select("key", "h.hub", "h.hub_n", "c")
+    met = joined(members, stored(hubs, "near-hubs"), "key", "c").where(_may_be_alike("n", "hub_n"))
     return met.select(F.col(_ROW).alias("a"), F.col("hub").alias("b"))
 
 
@@ -223,11 +225,15 @@ def components(rows: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, the smallest doc_id, with all its columns."""
-    rows = stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "near-rows")
+    row = fresh(docs, _ROW)
+    held = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    rows = held.select(F.col(row).alias(_ROW), "doc_id", "text")
     linked = components(rows)
     members = linked.select(F.col("u").alias(_ROW), "v").unionByName(linked.select(F.col("v").alias(_ROW), "v").distinct())
     known = rows.select(_ROW, F.col("doc_id").cast("long").alias("doc_id")).join(members, _ROW)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col(_ROW).alias("row"))
-    first = known.groupBy("v").agg(F.min(order)["row"].alias("first"))
-    gone = known.join(first, "v").where(F.col(_ROW) != F.col("first")).select(_ROW)
-    return rows.join(gone, _ROW, "left_anti").select(*docs.columns)
+    known = stored(known, "near-known")
+    first = known.groupBy("v").agg(F.min(order)["row"].alias("first"), F.count(F.lit(1)).alias("c"))
+    met = joined(known.select("v", _ROW), stored(first, "near-first"), "v", "c")
+    gone = met.where(F.col(_ROW) != F.col("first")).select(F.col(_ROW).alias(row))
+    return held.join(gone, row, "left_anti").select(*docs.columns)

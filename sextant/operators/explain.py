@@ -34,7 +34,7 @@ def explain_results(index: Index, queries: DataFrame, config: SearchConfig = DEF
     return rows.select("query_id", "rank", "chunk_id", "score", "raw", "matched", F.array_sort(F.array_except("query_tokens", "matched")).alias("missing"))
 
 
-def presented(index: Index, results: DataFrame, queries: DataFrame, total_lines: DataFrame, preview_lines: int = 3, preview_bytes: int = 80) -> DataFrame:
+def presented(index: Index, results: DataFrame, queries: DataFrame, total_lines: DataFrame, preview_lines: int = 3, preview_bytes: int | None = 80) -> DataFrame:
     """Results with percent, band, token coverage, context and preview, as a report shows them.
 
     ``results`` has query_id, rank, chunk_id, file_path and score. Contents are met
@@ -46,6 +46,8 @@ def presented(index: Index, results: DataFrame, queries: DataFrame, total_lines:
     of_best = F.col("score") / best * 100
     n_tokens = F.size("query_tokens")
     preview = F.slice(F.split("content", "\n"), 1, preview_lines)
+    if preview_bytes is not None:
+        preview = F.transform(preview, lambda x: utf8_prefix(x, preview_bytes))
     return rows.select(
         "query_id",
         "rank",
@@ -59,5 +61,5 @@ def presented(index: Index, results: DataFrame, queries: DataFrame, total_lines:
         confidence_band(of_best).alias("band"),
         F.when(n_tokens > 0, F.size("matched") / n_tokens * 100).otherwise(F.lit(0.0)).alias("coverage"),
         enclosing_context(F.col("content"), F.col("line_start")).alias("context"),
-        F.array_join(F.transform(preview, lambda x: utf8_prefix(x, preview_bytes)), "\n").alias("preview"),
+        F.array_join(preview, "\n").alias("preview"),
     )

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.config import DEFAULT, SearchConfig
-from sextant.operators.index import Index, document_frequency, meta, term_frequency
-from sextant.sources.files import chunk_lines
+from sextant.operators.index import Index, clustered, meta, term_frequency
+from sextant.operators.vector_search import embed_text, keyed, sweep
+from sextant.sources.files import chunk_lines, scan
 from sextant.sources.tables import stored
 
 
@@ -31,29 +32,45 @@ def compare(previous: DataFrame, current: DataFrame) -> DataFrame:
 def sync(index: Index, previous: DataFrame, files: DataFrame, config: SearchConfig = DEFAULT) -> tuple[Index, DataFrame]:
     """(index, changes): only added and changed files are cut and tokenised again.
 
-    Rows of touched files are replaced; the rest of the tables is copied, and the
-    counts are summed again from the postings.
+    Nothing that stays is written again: a table of the new index is the old table
+    without the rows of touched files, and a small stored table of new rows. Document
+    frequencies are the old ones and the sums of what came and went. After many syncs
+    ``compacted`` writes the tables anew.
     """
     changes = stored(compare(previous, snapshot(files)), "changes")
-    touched = changes.where("state <> 'unchanged'").select("file_path")
+    touched = stored(changes.where("state <> 'unchanged'").select("file_path"), "touched")
     fresh = changes.where("state IN ('added', 'changed')").select(F.col("file_path").alias("path"))
     new = stored(chunk_lines(files.join(fresh, "path", "left_semi"), config), "fresh-chunks")
-    chunks = stored(index.chunks.join(touched, "file_path", "left_anti").unionByName(new), "chunks")
-    gone = index.chunk_meta.join(touched, "file_path", "left_semi").select("chunk_id")
-    kept = index.postings.join(gone, "chunk_id", "left_anti").select("token", "chunk_id", "tf")
-    postings = stored(kept.unionByName(term_frequency(new, "chunk_id", "content").select("token", "chunk_id", "tf")), "postings")
+    came = stored(clustered(term_frequency(new, "chunk_id", "content").select("token", "chunk_id", "tf")), "fresh-postings")
+    gone = stored(index.chunk_meta.join(touched, "file_path", "left_semi").select("chunk_id"), "gone-chunks")
+    went = index.postings.join(gone, "chunk_id", "left_semi").select("token", F.lit(-1).cast("long").alias("df"))
+    deltas = came.select("token", F.lit(1).cast("long").alias("df")).unionByName(went).groupBy("token").agg(F.sum("df").alias("df"))
+    counts = index.doc_freq.unionByName(stored(deltas, "deltas")).groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+    n = new.agg(F.count(F.lit(1)).alias("n")).unionByName(gone.agg((-F.count(F.lit(1))).alias("n"))).unionByName(index.stats)
     return (
         Index(
-            chunks=chunks,
-            postings=postings,
-            doc_freq=stored(document_frequency(postings), "doc-freq"),
-            chunk_meta=stored(index.chunk_meta.join(touched, "file_path", "left_anti").unionByName(meta(new)), "chunk-meta"),
-            stats=stored(chunks.agg(F.count(F.lit(1)).alias("n")), "stats"),
+            chunks=index.chunks.join(touched, "file_path", "left_anti").unionByName(new),
+            postings=index.postings.join(gone, "chunk_id", "left_anti").select("token", "chunk_id", "tf").unionByName(came),
+            doc_freq=stored(counts, "doc-freq"),
+            chunk_meta=index.chunk_meta.join(touched, "file_path", "left_anti").unionByName(stored(meta(new), "fresh-meta")),
+            stats=stored(n.agg(F.sum("n").alias("n")), "stats"),
         ),
         changes,
     )
 
 
+def compacted(index: Index) -> Index:
+    """The same index with all tables written anew."""
+    return Index(**{name: stored(clustered(df) if name == "postings" else df, name) for name in Index.TABLES for df in [getattr(index, name)]})
+
+
+def sync_tree(index: Index, previous: DataFrame, files: DataFrame, cache: DataFrame, config: SearchConfig = DEFAULT) -> tuple[Index, DataFrame, DataFrame]:
+    """(index, changes, cache) after a scan: files that the scan drops count as removed, and cached vectors of texts that are gone are swept."""
+    synced, changes = sync(index, previous, scan(files, config), config)
+    texts = synced.chunks.select(embed_text(F.col("content"), config).alias("text"))
+    return synced, changes, sweep(cache, keyed(texts, "text", config))
+
+
 def summary(chunks: DataFrame) -> DataFrame:
     """One row: distinct files and chunks."""
     return chunks.agg(F.countDistinct("file_path").alias("files"), F.count(F.lit(1)).alias("chunks"))

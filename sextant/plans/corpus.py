@@ -15,9 +15,12 @@ from sextant.sources.files import chunk_lines, scan
 from sextant.sources.tables import table
 
 FIRST_MTIME = 1_704_067_200
-QUERY_WORDS = 6
-JUDGED_CHARS = 40
-QUERY_VECTORS = 10
+#: Vectors whose id this divides are queries.
+QUERY_STEP = 50
+#: Words of a passage by which documents that may hold it are found.
+KEY_WORDS = 5
+#: A blank query, which finds nothing, beside the passages.
+BLANK_QUERY = (-1, " \t")
 
 _indexes: dict[tuple[str, str], Index] = {}
 
@@ -73,19 +76,32 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.array_join(F.slice(F.split("text", " "), 1, QUERY_WORDS), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query"))
+    """Every benchmark passage as a query, and a blank one."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
+    return rows.unionByName(spark.createDataFrame([BLANK_QUERY], "query_id long, query string"))
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that hold a query item's first characters: relevance 1, and 1 more for good quality.
+    """Files that hold a whole query item: relevance 1, and 1 more for good quality.
 
-    The items are a stated query set of some hundred rows, tried on every document.
+    A document that holds an item holds the words inside it, without the first and
+    last, which may be parts of longer ones. So pairs are found by a run of KEY_WORDS
+    of them, and verified. Items of fewer words are tried on every document.
     """
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, JUDGED_CHARS).alias("start"))
+    words = lambda text: F.split(text, r"\s+")
+    run = lambda ws, at: F.xxhash64(F.array_join(F.slice(ws, at, F.lit(KEY_WORDS)), " "))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("item"))
+    items = items.where("item IS NOT NULL").withColumn("ws", words(F.trim("item")))
+    long = items.where(F.size("ws") >= KEY_WORDS + 2).select("query_id", "item", run(F.col("ws"), F.lit(2)).alias("run"))
+    short = items.where(F.size("ws") < KEY_WORDS + 2).select("query_id", "item")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", _path().alias("id"))
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(1.0))
-    held = docs.join(F.broadcast(items), F.contains("text", "start"))
+    last = F.size("ws") - F.lit(KEY_WORDS - 1)
+    runs = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: run(F.col("ws"), i)))
+    keyed = docs.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+    pairs = keyed.join(long, "run").select("doc_id", "query_id", "item")
+    held = docs.join(pairs, "doc_id").where(F.contains("text", "item")).select("doc_id", "id", "query_id").distinct()
+    held = held.unionByName(docs.join(short, F.contains("text", "item")).select("doc_id", "id", "query_id"))
     rel = F.lit(1.0) + F.coalesce("good", F.lit(0.0))
     return held.select("query_id", "id", "doc_id").join(good, "doc_id", "left").select("query_id", "id", rel.alias("rel"))
 
@@ -116,5 +132,5 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first vectors as a stated query set."""
-    return vectors(spark, sf_dir).where(F.col("id") < QUERY_VECTORS).select(F.col("id").alias("query_id"), "vec")
+    """Every vector whose id is divisible by QUERY_STEP, as a query."""
+    return vectors(spark, sf_dir).where(F.col("id") % QUERY_STEP == 0).select(F.col("id").alias("query_id"), "vec")

@@ -113,10 +113,11 @@ chunk_meta AS (
   FROM chunks)"""
 QUERIES = f"""
 queries AS (
-  SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:{corpus.QUERY_WORDS}], ' ') AS query FROM benchmark),
+  SELECT item_id::BIGINT AS query_id, text AS query FROM benchmark
+  UNION ALL SELECT {corpus.BLANK_QUERY[0]}, ' ' || chr(9)),
 terms AS (
   SELECT *, lower(query) AS lowered, {tokens('query')} AS query_tokens, {symbols('query')} AS query_symbols
-  FROM queries WHERE trim(query) <> '')"""
+  FROM queries WHERE regexp_matches(query, '[^\\s\\p{{Z}}]'))"""
 IDF = "ln((n + 1) / (df + 1)::DOUBLE) + 1"
 WEIGHT = "CASE WHEN strlen(token) > 4 THEN 1.5::DOUBLE ELSE 1 END * least(tf, 5) * idf"
 SEARCH_BASE = INDEX + "," + QUERIES + f""",
@@ -130,14 +131,14 @@ candidates AS (
   FROM weighted JOIN postings USING (token) GROUP BY ALL)"""
 
 
-def _search(cap: int | None = DEFAULT.candidate_cap) -> str:
+def _search(cap: int | None = DEFAULT.candidate_cap, boost: float = 1.2) -> str:
     limit = f"QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(idf_mass, 9) DESC, chunk_id) <= {cap}" if cap else ""
     return SEARCH_BASE + f""",
 pruned AS (SELECT * FROM candidates {limit}),
 scored AS (
   SELECT query_id, chunk_id, file_path, chunk_index, content, lowered, query_tokens, file_name_tokens,
          len(query_tokens) > 1 AND contains(lower(content), lowered) AS phrase,
-         1.2::DOUBLE * (CASE WHEN len(query_tokens) > 1 AND contains(lower(content), lowered) THEN 30 ELSE 0 END
+         {boost}::DOUBLE * (CASE WHEN len(query_tokens) > 1 AND contains(lower(content), lowered) THEN 30 ELSE 0 END
            + 10 * {_size('list_intersect(query_symbols, symbols)')}
            + 10 * {_size('list_intersect(query_tokens, file_name_tokens)')} + token_score) AS raw
   FROM pruned JOIN terms USING (query_id) JOIN chunk_meta USING (chunk_id)),
@@ -269,7 +270,7 @@ asked_code AS (SELECT query_id, '{DEFAULT.query_prefix}' || query AS text FROM q
 )
 VECTORS = f"""
 vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings),
-asked_vec AS (SELECT id AS query_id, vec, label FROM vecs WHERE id < {corpus.QUERY_VECTORS}),
+asked_vec AS (SELECT id AS query_id, vec, label FROM vecs WHERE id % {corpus.QUERY_STEP} = 0),
 near AS (
   SELECT query_id, id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank
   FROM (SELECT q.query_id, i.id, {_cosine('q.vec', 'i.vec')} AS cosine FROM asked_vec q, vecs i))"""
@@ -296,7 +297,7 @@ QRELS = f"""
 good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
 qrels AS (
   SELECT b.item_id AS query_id, f.path AS id, 1.0::DOUBLE + CASE WHEN g.doc_id IS NULL THEN 0 ELSE 1 END AS rel
-  FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, {corpus.JUDGED_CHARS})) JOIN files f USING (doc_id) LEFT JOIN good g USING (doc_id)),
+  FROM benchmark b JOIN documents d ON contains(d.text, b.text) JOIN files f USING (doc_id) LEFT JOIN good g USING (doc_id)),
 ranked_files AS (SELECT query_id, file_path AS id, rank FROM results)"""
 MEASURES = "round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr, round(recall, 6) AS recall, round(precision, 6) AS precision"
 KEYED = f"""
@@ -306,6 +307,45 @@ keyed AS (
 BANDS = "CASE WHEN p >= 80 THEN 'strong' WHEN p >= 50 THEN 'good' WHEN p >= 25 THEN 'weak' ELSE 'marginal' END"
 
 
+def preview(content: str, n_bytes: int | None, n_lines: int = 3) -> str:
+    head = f"{_split(content)}[1:{n_lines}]"
+    cut = f"list_transform({head}, lambda x: {prefix('x', n_bytes)})" if n_bytes else head
+    return f"array_to_string({cut}, {NL})"
+
+
+def _report(search: str, lines: int, n_bytes: int | None, columns: str | None) -> str:
+    def code(name: str, rows: str) -> str:
+        return f"""
+{name} AS (
+  SELECT '{name}' AS section, m.query_id, m.rank, m.chunk_id AS id, round(m.score * 100, 6) AS percent, {BANDS} AS band,
+         round(len(list_filter(t.query_tokens, lambda x: list_contains(c.own, x))) / len(t.query_tokens)::DOUBLE * 100, 6) AS coverage,
+         md5({preview('c.content', n_bytes, lines)}) AS preview_md5, {context('c.content', 'c.line_start')} AS context, c.line_start,
+         len({_split('s.content')}) AS total_lines
+  FROM (SELECT *, score / greatest(max(score) OVER (PARTITION BY query_id), 1e-9::DOUBLE) * 100 AS p FROM {rows}) m
+  JOIN terms t USING (query_id) JOIN (SELECT *, {tokens('content')} AS own FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM results)) c USING (chunk_id)
+  JOIN scanned s ON s.path = c.file_path)"""
+
+    def commit(name: str, rows: str, percent: str) -> str:
+        none = ", ".join(f"NULL AS {c}" for c in ("band", "coverage", "preview_md5", "context", "line_start", "total_lines"))
+        return f"SELECT '{name}' AS section, query_id, rank, id, round({percent}, 6) AS percent, {none}, short_hash, subject, files, plus, minus FROM {rows} JOIN info USING (id) WHERE rank <= {DEFAULT.top_k}"
+
+    return f"""{search}, {HYBRID}, {ITEMS}, {_items_search()}, {COMMIT_VECTORS},
+lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, id) AS rank FROM item_scored),
+hybrid_rows AS (SELECT query_id, rank, id AS chunk_id, score FROM reranked),{code('code_lexical', 'results')},{code('code_hybrid', 'hybrid_rows')},
+info AS (
+  SELECT hash AS id, left(hash, 12) AS short_hash, CASE WHEN length(head) > 100 THEN left(head, 100) || '…' ELSE head END AS subject,
+         len(list_filter(ls, lambda x: starts_with(x, 'diff --git'))) AS files,
+         len(list_filter(ls, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++ '))) AS plus,
+         len(list_filter(ls, lambda x: starts_with(x, '-') AND NOT starts_with(x, '--- '))) AS minus
+  FROM (SELECT *, {_split('diff_text')} AS ls, {_split('message')}[1] AS head FROM commits)),
+report AS (
+  SELECT *, NULL AS short_hash, NULL AS subject, NULL AS files, NULL AS plus, NULL AS minus FROM code_lexical
+  UNION ALL SELECT *, NULL, NULL, NULL, NULL, NULL FROM code_hybrid
+  UNION ALL {commit('commits_lexical', 'lex', 'score * 100')}
+  UNION ALL {commit('commits_vector', 'commit_near', '(score + 1) / 2 * 100')})
+SELECT {columns or '*'} FROM report"""
+
+
 def oracle_sql() -> dict[str, str]:
     search = "WITH " + _search()
     return {
@@ -329,7 +369,7 @@ def oracle_sql() -> dict[str, str]:
         "symbols": f"WITH {INDEX} SELECT chunk_id, array_to_string(list_sort(symbols), '|') AS symbols FROM chunk_meta",
         "enclosing_context": f"WITH {CHUNKS} SELECT chunk_id, {context('content', 'line_start')} AS context FROM chunks",
         "identifier_query": f"WITH {FILES} SELECT word, {identifier('word')} AS is_identifier FROM (SELECT DISTINCT unnest({words('content')}) AS word FROM files)",
-        "lexical_search": f"{search} SELECT {RESULT_COLUMNS} FROM results WHERE query_id = 0",
+        "lexical_search": f"WITH {_search(boost=1.0)} SELECT {RESULT_COLUMNS} FROM results".replace("text AS query FROM benchmark", "lower(text) AS query FROM benchmark"),
         "lexical_search_batch": f"{search} SELECT {RESULT_COLUMNS} FROM results",
         "lexical_search_uncapped": f"WITH {_search(None)} SELECT {RESULT_COLUMNS} FROM results",
         "lexical_search_items": f"""WITH items AS (SELECT conv_id || '/' || turn AS id, text FROM conversations), {QUERIES}, {_items_search()}
@@ -342,10 +382,10 @@ def oracle_sql() -> dict[str, str]:
         "mrl_truncate": f"""WITH {VECTORS}, s AS (SELECT id, vec[1:16] AS v FROM vecs)
             SELECT id, unnest(range(16)) AS at, round(unnest(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) AS x FROM s""",
         "rrf_merge": """WITH a AS (
-              SELECT lang AS query_id, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) AS ra,
-                     row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rb FROM documents),
-            f AS (SELECT query_id, id, CASE WHEN ra <= 50 THEN 1.5::DOUBLE / (60 + ra) ELSE 0 END + CASE WHEN rb <= 50 THEN 1.0::DOUBLE / (60 + rb) ELSE 0 END AS fused
-                  FROM a WHERE ra <= 50 OR rb <= 50)
+              SELECT concat_ws('/', source, lang) AS query_id, doc_id AS id, length(text) >= 100 AS long,
+                     row_number() OVER (PARTITION BY concat_ws('/', source, lang) ORDER BY length(text) DESC, doc_id) AS ra,
+                     row_number() OVER (PARTITION BY concat_ws('/', source, lang), length(text) >= 100 ORDER BY doc_id) AS rb FROM documents),
+            f AS (SELECT query_id, id, 1.5::DOUBLE / (60 + ra) + CASE WHEN long THEN 1.0::DOUBLE / (60 + rb) ELSE 0 END AS fused FROM a)
             SELECT query_id, id, round(fused / max(fused) OVER (PARTITION BY query_id), 6) AS fused FROM f""",
         "hybrid_rerank": f"""WITH {VECTORS}, l AS (
               SELECT q.query_id, i.id, row_number() OVER (PARTITION BY q.query_id ORDER BY i.id) AS rank FROM asked_vec q JOIN vecs i USING (label)),
@@ -389,12 +429,31 @@ def oracle_sql() -> dict[str, str]:
                    old_mtime, new_mtime FROM old FULL JOIN new USING (file_path)""",
         "sync_index": f"""WITH {FILES}, {_chunks('files')}, {_postings('chunks', 'chunk_id', 'content')}
             SELECT token, count(*) AS df, (SELECT count(*) FROM chunks) AS n FROM postings GROUP BY token""",
+        "vector_scores": f"WITH {VECTORS} SELECT query_id, id, round(cosine, 6) AS cosine FROM near",
+        "cache_upsert": f"""WITH {KEYED}, old AS (SELECT key, min(doc_id) AS x FROM keyed WHERE doc_id % 2 = 0 GROUP BY key),
+            new AS (SELECT key, -max(doc_id) AS x FROM keyed WHERE doc_id % 3 = 0 GROUP BY key)
+            SELECT key, coalesce(new.x, old.x)::DOUBLE AS x FROM old FULL JOIN new USING (key)""",
+        "embed_cached": f"""WITH {KEYED}, old AS (SELECT key, min(doc_id)::DOUBLE AS x FROM keyed WHERE doc_id % 2 = 0 GROUP BY key),
+            need AS (SELECT key, min('{DEFAULT.doc_prefix}' || {prefix('text', DEFAULT.embed_bytes)}) AS text FROM keyed JOIN documents USING (doc_id)
+                     WHERE key NOT IN (SELECT key FROM old) GROUP BY key), {_hashed('fresh', 'need', 'key', 'text')},
+            unit AS (SELECT key, list_transform(vec, lambda x: x / CASE WHEN list_dot_product(vec, vec) > 0 THEN sqrt(list_dot_product(vec, vec)) ELSE 1 END) AS v FROM fresh)
+            SELECT key, 4 AS n, round(x, 6) AS first, round(x, 6) AS fourth FROM old
+            UNION ALL SELECT key, len(v), round(v[1], 6), round(v[4], 6) FROM unit""",
+        "utf8_files": "SELECT 'page_' || page_id AS path, strlen(html) AS n_bytes, page_id::BIGINT AS mtime, md5(html) AS content_md5 FROM pages WHERE page_id % 5 <> 0",
+        "index_round_trip": f"{search} SELECT {RESULT_COLUMNS} FROM results",
+        "previews": f"{search} SELECT query_id, rank, md5({preview('content', 80)}) AS preview_md5 FROM results JOIN chunks USING (chunk_id)",
+        "few_commits": f"WITH {COMMITS} SELECT hash, seq FROM (SELECT * FROM recent ORDER BY seq DESC, hash LIMIT {queries.FEW_COMMITS}) WHERE message <> '' OR diff_text <> ''",
+        "sync_tree": f"""WITH {INDEX}, old AS (
+              SELECT CASE WHEN doc_id % 7 = 0 THEN 'old/' ELSE '' END || path AS path, content, CASE WHEN doc_id % 5 = 0 THEN mtime - 1 ELSE mtime END AS mtime
+              FROM scanned WHERE doc_id % 3 <> 0), {_chunks('old').replace('lines AS', 'old_lines AS').replace('FROM lines)', 'FROM old_lines)').replace('win AS', 'old_win AS').replace('FROM win)', 'FROM old_win)').replace('body AS', 'old_body AS').replace('FROM body', 'FROM old_body').replace('chunks AS', 'old_chunks AS')},
+            now AS (SELECT DISTINCT {prefix('content', DEFAULT.embed_bytes)} AS t FROM chunks),
+            then_ AS (SELECT DISTINCT {prefix('content', DEFAULT.embed_bytes)} AS t FROM old_chunks)
+            SELECT (SELECT count(*) FROM postings) AS postings, (SELECT sum(tf)::BIGINT FROM postings) AS tf, (SELECT count(DISTINCT token) FROM postings) AS tokens,
+                   (SELECT count(*) FROM then_ WHERE t IN (SELECT t FROM now)) AS cached, n FROM stats""",
+        "stream_ingest": f"WITH {INDEX} SELECT token, df, n FROM doc_freq, stats",
+        "stream_serve": f"{search} SELECT {RESULT_COLUMNS} FROM results",
         "corpus_summary": f"WITH {CHUNKS} SELECT count(DISTINCT file_path) AS files, count(*) AS chunks FROM chunks",
         "hybrid_search": f"{search}, {HYBRID} SELECT query_id, rank, id AS chunk_id, round(vector_score, 6) AS vector_score, round(score, 6) AS score FROM reranked",
-        "search_report": f"""{search}, {HYBRID}, {ITEMS}, {_items_search()}, {COMMIT_VECTORS},
-            lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, id) AS rank FROM item_scored)
-            SELECT 'code_lexical' AS section, query_id, rank, chunk_id AS id, round(score * 100, 6) AS percent FROM results
-            UNION ALL SELECT 'code_hybrid', query_id, rank, id, round(score * 100, 6) FROM reranked
-            UNION ALL SELECT 'commits_lexical', query_id, rank, id, round(score * 100, 6) FROM lex WHERE rank <= {DEFAULT.top_k}
-            UNION ALL SELECT 'commits_vector', query_id, rank, id, round((score + 1) / 2 * 100, 6) FROM commit_near WHERE rank <= {DEFAULT.top_k}""",
+        "search_report": _report(search, 3, 80, None),
+        "server_report": _report(search, 5, None, "section, query_id, rank, id, percent, line_start, preview_md5, short_hash, subject"),
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,10 +16,13 @@ from sextant.operators import index as ix
 from sextant.plans import corpus, report
 from sextant.sources import commits as commit_source
 from sextant.sources import files as file_source
-from sextant.sources.tables import table
+from sextant.sources.tables import shared_dir, table
+from sextant.streaming import ingest, serve
 
 IGNORE_TEXT = "# generated\n\nsrc3/\n*.rs\nsrc/src4/doc_*\n!src/keep.py\ndoc_61.py\n"
-RECENT = 500
+RECENT = 50_000
+#: A limit below the number of commits.
+FEW_COMMITS = 20
 RERANK_DEPTH = 10
 
 
@@ -91,8 +95,9 @@ def _results(df: DataFrame) -> DataFrame:
 
 
 def lexical_search(spark: SparkSession, d: str) -> DataFrame:
-    """One query: the first of the batch."""
-    return _results(lexical.search(corpus.index(spark, d), corpus.queries(spark, d).where("query_id = 0")))
+    """One query at a time would be the same plan; this asks all, in lower case and without a code boost."""
+    asked = corpus.queries(spark, d).withColumn("query", F.lower("query"))
+    return _results(lexical.search(corpus.index(spark, d), asked, SearchConfig(code_boost=1.0)))
 
 
 def lexical_search_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -138,16 +143,22 @@ def vector_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "id", "rank", r6("cosine").alias("cosine"))
 
 
+def vector_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The cosine of every vector to every query vector: the ranking without a limit."""
+    rows = vector_search.search(corpus.vectors(spark, d), corpus.query_vectors(spark, d), None)
+    return rows.select("query_id", "id", r6("cosine").alias("cosine"))
+
+
 def mrl_truncate(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.vectors(spark, d).select("id", F.posexplode(vectors.truncate_mrl(F.col("vec"), 16)).alias("at", "x"))
     return rows.select("id", "at", r6("x").alias("x"))
 
 
 def _two_rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Items by length and by id within each language, both cut at 50."""
-    docs = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"), F.length("text").alias("n"))
-    by = lambda *order: docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("rank <= 50")
-    return by(F.desc("n"), "id"), by("id")
+    """Items by length and by id within each source and language, the second without the very short."""
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("query_id"), F.col("doc_id").alias("id"), F.length("text").alias("n"))
+    by = lambda rows, *order: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return by(docs, F.desc("n"), "id"), by(docs.where("n >= 100"), "id")
 
 
 def rrf_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -193,6 +204,45 @@ def cache_sweep(spark: SparkSession, d: str) -> DataFrame:
     return vector_search.swept(_half_cache(spark, d), _keyed(spark, d).where("source <> 'src2'"))
 
 
+def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A stored cache of the even documents, into which vectors of every third document are put."""
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    vector_search.write_cache(_half_cache(spark, d), path)
+    new = _keyed(spark, d).where("doc_id % 3 = 0").groupBy("key").agg(F.max("doc_id").alias("doc_id"))
+    vector_search.write_cache(new.select("key", F.array(*[(-F.col("doc_id")).cast("float")] * 4).alias("vec")), path)
+    return vector_search.read_cache(spark, path).select("key", F.col("vec")[3].cast("double").alias("x"))
+
+
+def embed_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents: cached ones as they are, the others computed."""
+    cache = _half_cache(spark, d).select("key", F.col("vec").cast("array<double>").alias("vec"))
+    rows = vector_search.embed_missing(_keyed(spark, d), cache, lambda texts: vector_search.hashed_vectors(texts, "key", "text"))
+    return rows.select("key", F.size("vec").alias("n"), r6(F.col("vec")[0]).alias("first"), r6(F.col("vec")[3]).alias("fourth"))
+
+
+def utf8_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as binary files, every fifth with a byte that is not UTF-8."""
+    content = F.encode("html", "UTF-8")
+    broken = F.when(F.col("page_id") % 5 == 0, F.concat(content, F.unhex(F.lit("FF")))).otherwise(content)
+    raw = table(spark, d, "pages").select("page_id", broken.alias("content"), F.octet_length("html").cast("long").alias("length"), F.timestamp_seconds("page_id").alias("modificationTime"))
+    rows = file_source.text_files(raw, F.concat(F.lit("page_"), F.col("page_id").cast("string")))
+    return rows.select("path", "n_bytes", "mtime", F.md5("content").alias("content_md5"))
+
+
+def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A search on the index written to a folder and read back."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    corpus.index(spark, d).write(path)
+    return _results(lexical.search(ix.Index.read(spark, path), corpus.queries(spark, d)))
+
+
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    index, asked = corpus.index(spark, d), corpus.queries(spark, d)
+    lines = file_source.total_lines(file_source.scan(corpus.files(spark, d)))
+    rows = explain.presented(index, lexical.search(index, asked), asked, lines)
+    return rows.select("query_id", "rank", F.md5("preview").alias("preview_md5"))
+
+
 def diff_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = commit_source.recent(corpus.commits(spark, d), None)
     return rows.select("hash", F.octet_length("diff_text").cast("long").alias("n_bytes"), F.md5("diff_text").alias("diff_md5"))
@@ -202,6 +252,11 @@ def diff_stats(spark: SparkSession, d: str) -> DataFrame:
     return commit_source.described(commit_source.recent(corpus.commits(spark, d), None)).select("short_hash", "subject", "files", "plus", "minus")
 
 
+def few_commits(spark: SparkSession, d: str) -> DataFrame:
+    """The newest commits, under a limit below their number."""
+    return commit_source.recent(corpus.commits(spark, d), FEW_COMMITS).select("hash", "seq")
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return commit_source.searchable(commit_source.recent(corpus.commits(spark, d), DEFAULT.commit_limit))
 
@@ -251,7 +306,7 @@ def vector_eval(spark: SparkSession, d: str) -> DataFrame:
     """Nearest vectors judged by label: how many neighbours share the query's label."""
     items = corpus.vectors(spark, d)
     ranked = vector_search.search(items, corpus.query_vectors(spark, d), 100).select("query_id", "id", "rank")
-    own = items.where(F.col("id") < corpus.QUERY_VECTORS).select(F.col("id").alias("query_id"), "label")
+    own = items.where(F.col("id") % corpus.QUERY_STEP == 0).select(F.col("id").alias("query_id"), "label")
     judged = own.join(items.select("id", "label"), "label").select("query_id", "id", F.lit(1.0).alias("rel"))
     rows = ev.evaluate(ranked, judged)
     return rows.select("query_id", *[r6(c).alias(c) for c in ("ndcg", "mrr", "recall", "precision")])
@@ -280,6 +335,38 @@ def sync_index(spark: SparkSession, d: str) -> DataFrame:
     return synced.doc_freq.crossJoin(F.broadcast(synced.stats)).select("token", "df", "n")
 
 
+def sync_tree(spark: SparkSession, d: str) -> DataFrame:
+    """After a sync with scan: postings' sizes and the cached vectors that stay."""
+    old = file_source.scan(_previous(spark, d))
+    base = ix.build(file_source.chunk_lines(old))
+    cached = vector_search.keyed(base.chunks.select(vector_search.embed_text(F.col("content")).alias("text")), "text").select("key").distinct()
+    index, _, cache = state.sync_tree(base, state.snapshot(old), corpus.files(spark, d), cached)
+    whole = state.compacted(index)
+    sizes = whole.postings.agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tf"), F.countDistinct("token").alias("tokens"))
+    return sizes.crossJoin(cache.agg(F.count(F.lit(1)).alias("cached"))).crossJoin(F.broadcast(whole.stats))
+
+
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies of an index kept current by a stream: first the older tree, then the files of today."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = corpus.files(spark, d)
+    older = rows.where(F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long") % 2 == 0)
+    older = older.select("path", F.concat(F.lit("fn stale\n"), "content").alias("content"), (F.col("n_bytes") + 9).alias("n_bytes"), (F.col("mtime") - 1).alias("mtime"))
+    for part in (older, rows):
+        part.write.mode("append").parquet(f"{base}/in")
+        ingest.start(spark, f"{base}/in", f"{base}/out", f"{base}/progress").awaitTermination()
+    live = ingest.live_index(spark, f"{base}/out")
+    return live.doc_freq.crossJoin(F.broadcast(live.stats)).select("token", "df", "n")
+
+
+def stream_serve(spark: SparkSession, d: str) -> DataFrame:
+    """The batch of queries, answered as a stream."""
+    base = f"{shared_dir(spark)}/serve-{uuid.uuid4().hex}"
+    corpus.queries(spark, d).write.json(f"{base}/in")
+    serve.start(spark, corpus.index(spark, d), f"{base}/in", f"{base}/out", f"{base}/progress").awaitTermination()
+    return _results(spark.read.parquet(f"{base}/out"))
+
+
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     return state.summary(corpus.index(spark, d).chunks)
 
@@ -290,8 +377,16 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = report.search_report(corpus.index(spark, d), corpus.commits(spark, d), corpus.queries(spark, d))
-    return rows.select("section", "query_id", "rank", "id", r6("percent").alias("percent"))
+    lines = file_source.total_lines(file_source.scan(corpus.files(spark, d)))
+    rows = report.search_report(corpus.index(spark, d), corpus.commits(spark, d), corpus.queries(spark, d), lines)
+    same = ["context", "line_start", "total_lines", "short_hash", "subject", "files", "plus", "minus"]
+    return rows.select("section", "query_id", "rank", "id", r6("percent").alias("percent"), "band", r6("coverage").alias("coverage"), F.md5("preview").alias("preview_md5"), *same)
+
+
+def server_report(spark: SparkSession, d: str) -> DataFrame:
+    lines = file_source.total_lines(file_source.scan(corpus.files(spark, d)))
+    rows = report.server_report(corpus.index(spark, d), corpus.commits(spark, d), corpus.queries(spark, d), lines)
+    return rows.select("section", "query_id", "rank", "id", r6("percent").alias("percent"), "line_start", F.md5("preview").alias("preview_md5"), "short_hash", "subject")
 
 
 _ALL = (
@@ -300,7 +395,8 @@ _ALL = (
     lexical_search_items, candidate_prune, phrase_bonus, filename_bonus, vector_search_topk, mrl_truncate, rrf_merge,
     hybrid_rerank, embed_text, cache_misses, cache_sweep, diff_filter, diff_stats, commit_search, commit_vector_search,
     explain_tokens, explain_results, coverage_bands, eval_report, eval_mean, vector_eval, state_diff, sync_index,
-    corpus_summary, hybrid_search, search_report,
+    corpus_summary, hybrid_search, search_report, vector_scores, cache_upsert, embed_cached, utf8_files,
+    index_round_trip, previews, few_commits, sync_tree, stream_ingest, stream_serve, server_report,
 )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.config import DEFAULT, SearchConfig
@@ -10,23 +10,42 @@ from sextant.functions import rules
 from sextant.functions.text import is_blank, trimmed
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """A file tree as files(path, content, n_bytes, mtime); invalid UTF-8 is dropped.
-
-    Path filters and the size filter of ``scan`` run before contents are read.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _relative(root: str) -> Column:
     prefix = root.rstrip("/").removeprefix("file://")
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{prefix}/", "")
+    return rules.normal_path(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{prefix}/", ""))
+
+
+def text_files(raw: DataFrame, path: Column) -> DataFrame:
+    """files(path, content, n_bytes, mtime) of binary files (content, length, modificationTime); invalid UTF-8 is dropped."""
     text = F.col("content").cast("string")
     return raw.where(F.is_valid_utf8(text)).select(
-        rules.normal_path(path).alias("path"),
+        path.alias("path"),
         text.alias("content"),
         F.col("length").alias("n_bytes"),
         F.unix_seconds("modificationTime").alias("mtime"),
     )
 
 
+def read_tree(spark: SparkSession, root: str, config: SearchConfig = DEFAULT) -> DataFrame:
+    """A file tree as files(path, content, n_bytes, mtime), without those that ``scan`` drops.
+
+    Files are listed first, without their contents. Of those, the source then reads
+    files of kept endings and sizes only; ignored folders' files of such endings are
+    read too, as the source has no filter for them, but dropped before they are decoded.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listed = reader.load(root).select("path", "length").withColumn("relative", _relative(root))
+    keep = ~rules.in_ignored_dir(F.col("relative")) & rules.is_code_file(F.col("relative")) & ~rules.is_binary_file(F.col("relative"))
+    kept = listed.where(keep & (F.col("length") <= config.max_file_bytes))
+    endings = sorted(r[0] for r in kept.select(F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("e")).distinct().collect())
+    if not endings:
+        return spark.createDataFrame([], "path string, content string, n_bytes long, mtime long")
+    # the file name filter and the length are the source's own; the rest of the paths is tried before a content is decoded
+    names = "*{" + ",".join(endings) + "}"
+    raw = reader.option("pathGlobFilter", names).load(root).where(F.col("length") <= config.max_file_bytes)
+    return text_files(raw.join(kept.select("path"), "path", "left_semi"), _relative(root))
+
+
 def scan(files: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame:
     """The files that are indexed: no ignored directory, a known extension, not too large."""
     path = rules.normal_path(F.col("path"))
@@ -120,8 +139,3 @@ def newest(chunks: DataFrame, n: int | None) -> DataFrame:
 
 def total_lines(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), F.size(F.split("content", "\n", -1)).alias("total_lines"))
-
-
-def running_index(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``rows`` with their 0-based place within a file, for chunks that come as rows of their own."""
-    return rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)

@@ -6,9 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +32,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` wrote; only for when nothing that came of them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table below ``path``; empty before anything wrote it."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def replaced(spark: SparkSession, path: str, schema: str, new: DataFrame, touched: DataFrame, key: str, part: str) -> None:
+    """Put ``new`` into the table below ``path``, partitioned by ``part``, in place of the rows with a touched key.
+
+    Only partitions that ``new`` or touched keys fall into are written again. They are
+    read and written at once, so their new content is stored first; writing is
+    idempotent, so a run again after a failure leaves the same table.
+    """
+    old = read_or_empty(spark, path, schema)
+    hit = old.join(touched, key, "left_semi").select(part).unionByName(new.select(part)).distinct()
+    kept = old.join(F.broadcast(hit), part, "left_semi").join(touched, key, "left_anti")
+    rows = stored(kept.unionByName(new.select(*old.columns)), "replaced")
+    # partitions left without rows; their number is that of partitions at most
+    empty = [r[0] for r in hit.join(rows.select(part).distinct(), part, "left_anti").collect()]
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for value in empty:
+        fs_path = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}={value}")
+        fs_path.getFileSystem(conf).delete(fs_path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,8 +1,10 @@
 """Keeping chunks and postings current from a stream of files.
 
 Rows lie in buckets of the file path. A micro-batch rewrites only the buckets it
-touches: rows of its files are replaced, others copied. Writing a bucket is
-idempotent, so a batch that is run again after a failure leaves the same tables.
+touches, spread over tasks: rows of its files are replaced, others copied. The
+number of buckets is that of the first batch's call and stays with the table; more
+buckets make a batch of few files rewrite less. Writing a bucket is idempotent, so
+a batch that is run again after a failure leaves the same tables.
 """
 
 from __future__ import annotations
@@ -14,39 +16,20 @@ from pyspark.sql.streaming import StreamingQuery
 from sextant.config import DEFAULT, SearchConfig
 from sextant.operators.index import Index, document_frequency, meta, term_frequency
 from sextant.sources.files import chunk_lines, scan
-from sextant.sources.tables import stored
+from sextant.sources.tables import read_or_empty, replaced, stored
 
 FILE_SCHEMA = "path string, content string, n_bytes long, mtime long"
 CHUNK_SCHEMA = "chunk_id string, file_path string, chunk_index int, content string, line_start int, line_end int, mtime long, bucket int"
 POSTING_SCHEMA = "token string, chunk_id string, tf long, file_path string, bucket int"
+#: Buckets of a live index; for large ones choose about a file of some 100 MB for each.
 BUCKETS = 64
 
 
-def _bucket(path: str = "file_path") -> F.Column:
-    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int, path: str = "file_path") -> F.Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table below ``path``; empty before the first batch wrote it."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-def _replace(spark: SparkSession, path: str, schema: str, new: DataFrame, touched: DataFrame, buckets: list[int]) -> None:
-    old = _read(spark, path, schema).where(F.col("bucket").isin(*buckets)).join(touched, "file_path", "left_anti")
-    # a bucket is read and written at once, so its new content is stored first
-    rows = stored(old.unionByName(new.select(*old.columns)), "live")
-    (
-        rows.repartition("bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
-
-
-def apply_batch(files: DataFrame, out: str, config: SearchConfig = DEFAULT) -> None:
+def apply_batch(files: DataFrame, out: str, config: SearchConfig = DEFAULT, buckets: int = BUCKETS) -> None:
     """Put a batch of new or changed files into the tables below ``out``.
 
     If a batch has a path more than once, its newest version counts.
@@ -55,20 +38,19 @@ def apply_batch(files: DataFrame, out: str, config: SearchConfig = DEFAULT) -> N
     newest = files.groupBy("path").agg(F.max_by(F.struct("content", "n_bytes", "mtime"), F.struct("mtime", "content")).alias("f"))
     batch = stored(newest.select("path", "f.*"), "stream-files")
     touched = batch.select(F.col("path").alias("file_path"))
-    buckets = [r[0] for r in touched.select(_bucket()).distinct().collect()]  # at most BUCKETS
-    if not buckets:
+    if batch.isEmpty():
         return
-    chunks = stored(chunk_lines(scan(batch, config), config).withColumn("bucket", _bucket()), "stream-chunks")
+    chunks = stored(chunk_lines(scan(batch, config), config).withColumn("bucket", _bucket(buckets)), "stream-chunks")
     postings = term_frequency(chunks, "chunk_id", "content").join(chunks.select("chunk_id", "file_path", "bucket"), "chunk_id")
-    _replace(spark, f"{out}/chunks", CHUNK_SCHEMA, chunks, touched, buckets)
-    _replace(spark, f"{out}/postings", POSTING_SCHEMA, postings, touched, buckets)
+    replaced(spark, f"{out}/chunks", CHUNK_SCHEMA, chunks, touched, "file_path", "bucket")
+    replaced(spark, f"{out}/postings", POSTING_SCHEMA, postings, touched, "file_path", "bucket")
 
 
-def start(spark: SparkSession, source: str, out: str, checkpoint: str, config: SearchConfig = DEFAULT) -> StreamingQuery:
+def start(spark: SparkSession, source: str, out: str, checkpoint: str, config: SearchConfig = DEFAULT, buckets: int = BUCKETS) -> StreamingQuery:
     """Follow Parquet files with FILE_SCHEMA below ``source`` until no new ones are there."""
     stream = spark.readStream.schema(FILE_SCHEMA).parquet(source)
     return (
-        stream.writeStream.foreachBatch(lambda df, _: apply_batch(df, out, config))
+        stream.writeStream.foreachBatch(lambda df, _: apply_batch(df, out, config, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -77,6 +59,6 @@ def start(spark: SparkSession, source: str, out: str, checkpoint: str, config: S
 
 def live_index(spark: SparkSession, out: str) -> Index:
     """An index over the live tables; counts are summed from the postings."""
-    chunks = _read(spark, f"{out}/chunks", CHUNK_SCHEMA).drop("bucket")
-    postings = _read(spark, f"{out}/postings", POSTING_SCHEMA).select("token", "chunk_id", "tf")
+    chunks = read_or_empty(spark, f"{out}/chunks", CHUNK_SCHEMA).drop("bucket")
+    postings = read_or_empty(spark, f"{out}/postings", POSTING_SCHEMA).select("token", "chunk_id", "tf")
     return Index(chunks, postings, document_frequency(postings), meta(chunks), chunks.agg(F.count(F.lit(1)).alias("n")))

@@ -177,3 +177,74 @@ def test_streams(spark, index, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "answers")).orderBy("rank").collect()
     direct = lexical.search(live, asked).orderBy("rank").collect()
     assert [(r.file_path, r.raw) for r in rows] == [(r.file_path, r.raw) for r in direct] and rows
+
+
+def test_vector_passes_and_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "PASS_QUERIES", 3)
+    vecs = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "id long, vec array<double>")
+    asked = vecs.where("id < 10").withColumnRenamed("id", "query_id")
+    top = {(r.query_id, r["rank"]): r.id for r in vector_search.search(vecs.repartition(3), asked, 4).collect()}
+    pairs = vector_search.search(vecs, asked, None).collect()
+    assert len(pairs) == 600
+    for q in range(10):
+        best = sorted((-round(r.cosine, 9), r.id) for r in pairs if r.query_id == q)[:4]
+        assert [top[q, i + 1] for i in range(4)] == [i for _, i in best]
+
+
+def test_cache_on_disk_and_upsert(spark, tmp_path):
+    row = "key string, vec array<float>"
+    one = spark.createDataFrame([("ab", [1.0]), ("ac", [2.0]), ("b0", [3.0])], row)
+    two = spark.createDataFrame([("ab", [9.0]), ("ab", [9.0]), ("ff", [4.0])], row)
+    want = {("ab", 9.0), ("ac", 2.0), ("b0", 3.0), ("ff", 4.0)}
+    assert {(r.key, r.vec[0]) for r in vector_search.upsert(one, two).collect()} == want
+    for new in (one, two, two):
+        vector_search.write_cache(new, str(tmp_path / "cache"))
+    assert sorted((r.key, r.vec[0]) for r in vector_search.read_cache(spark, str(tmp_path / "cache")).collect()) == sorted(want)
+
+
+def test_sync_tree_drops_what_the_scan_drops(spark, index):
+    now = [*FILES[:2], ("node_modules/x.js", "var dropped", 11, 4), ("big.py", "x", 10**9, 4)]
+    cache = vector_search.keyed(spark.createDataFrame([("search_document: " + c,) for _, c, _, _ in FILES], "text string"), "text")
+    synced, changes, swept = state.sync_tree(index, state.snapshot(frame(spark)), frame(spark, now), cache)
+    assert {r.file_path: r.state for r in changes.collect()} == {"src/auth.rs": "unchanged", "src/db.rs": "unchanged", "docs/readme.txt": "removed"}
+    assert as_sets(state.compacted(synced)) == as_sets(build(files.chunk_lines(frame(spark, FILES[:2])))) and swept.count() == 2
+
+
+def test_deleted_rows_leave_no_partition(spark, tmp_path):
+    """A file that the scan drops in a later batch takes its old rows with it."""
+    out = str(tmp_path / "live")
+    ingest.apply_batch(frame(spark), out, buckets=8)
+    ingest.apply_batch(frame(spark, [("docs/readme.txt", "x", 10**9, 9)]), out, buckets=8)
+    assert as_sets(ingest.live_index(spark, out)) == as_sets(build(files.chunk_lines(frame(spark, FILES[:2]))))
+
+
+def test_tree_skips_ignored_and_unknown_files(spark, tmp_path):
+    for name, content in (("a/x.py", b"x"), ("node_modules/y.py", b"y"), ("a/z.bin", b"\x00"), ("a/bad.rs", b"\xff")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    assert [(r.path, r.content) for r in files.read_tree(spark, str(tmp_path)).collect()] == [("a/x.py", "x")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/q.bin").write_bytes(b"1")
+    assert files.read_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_report_previews_and_stored_tables(spark, index):
+    from sextant.plans import report
+    from sextant.sources import tables
+
+    log = spark.createDataFrame([("h" * 40, 1, "login fix\nmore", "diff --git a/x.py b/x.py\n+login\n")], "hash string, seq long, message string, raw_diff string")
+    asked = spark.createDataFrame([(0, "login user")], serve.QUERY_SCHEMA)
+    rows = report.search_report(index, log, asked, files.total_lines(frame(spark))).collect()
+    assert {r.section for r in rows} == set(report.SECTIONS)
+    first = next(r for r in rows if r.section == "code_lexical" and r["rank"] == 1)
+    assert (first.band, first.preview, first.total_lines, first.subject) == ("strong", "fn login user token\nuser user", 2, None)
+    mine = next(r for r in rows if r.section == "commits_lexical")
+    assert (mine.short_hash, mine.subject, mine.files, mine.plus, mine.minus) == ("h" * 12, "login fix", 1, 1, 0)
+    assert len(report.server_report(index, log, asked, files.total_lines(frame(spark))).columns) == 9
+    kept = list(tables._written)
+    tables._written.clear()
+    tables.stored(asked, "gone")
+    path = tables._written[-1]
+    tables.freed(spark)
+    assert tables.read_or_empty(spark, path, "query_id long").count() == 0 and not tables._written
+    tables._written.extend(kept)

@@ -6,36 +6,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The lists below decide which files are indexed, so they must be these.
-IGNORED_DIRS = """
-node_modules bower_components jspm_packages web_modules .git .svn .hg .bzr .claude .cursor .aider
-.vscode .idea .vs .atom dist dist-server dist-ssr dist-client build built out out-tsc target
-storybook-static .docusaurus .gatsby .vuepress .nuxt .next .tsc .cache .parcel-cache .vite .turbo
-.npm .yarn .pnp .pnpm-store .rush .lerna .nx coverage .nyc_output .coverage htmlcov test-results
-__tests__ __mocks__ __snapshots__ __fixtures__ cypress playwright .tox .eggs .hypothesis .pyre .pytype
-__pycache__ .pytest_cache .mypy_cache .venv venv .gradle .mvn Pods DerivedData .bundle xcuserdata
-pkg .terraform .terragrunt-cache .pulumi .serverless .firebase .aws .azure .gcloud .vercel .netlify
-temp tmp .tmp .temp .llamaindex .chroma .vectorstore .embeddings .langchain .autogen .semantic-kernel
-.openai-cache .anthropic-cache embeddings vector-db faiss-index chromadb pinecone-cache weaviate-data
-.pnpm .bun assets static public wwwroot www .plugkit-browser-profile
-cmake_build_debug cmake_build_release CMakeFiles .code-search .gm
-""".split()
-IGNORED_DIR_SUFFIXES = "-browser-profile -chrome-profile -firefox-profile -edge-profile .egg-info .dist-info".split()
-IGNORED_DIR_PREFIXES = "chromium- chrome-user-data- puppeteer- playwright-".split()
-CODE_EXTENSIONS = """
-.js .jsx .ts .tsx .mjs .cjs .mts .cts .py .pyw .pyi .java .c .cpp .cc .cxx .h .hpp .hh .hxx .cs .csx .go .rs
-.rb .erb .php .phtml .swift .kt .kts .scala .sc .pl .pm .sh .bash .zsh .fish .ps1 .psm1 .psd1 .lua .r .jl .dart
-.ex .exs .erl .hrl .hs .lhs .clj .cljs .cljc .lisp .lsp .scm .ss .rkt .f .for .f90 .f95 .f03 .asm .s .groovy .gvy
-.vb .vbs .fs .fsx .ml .mli .mm .ino .vue .svelte .coffee .re .rei .xml .xsd .html .htm .yml .yaml .toml .json
-.css .scss .sass .less .sql .md .markdown .txt .prd .pdf
-""".split()
-BINARY_EXTENSIONS = """
-.zip .tar .gz .rar .7z .iso .exe .dll .so .dylib .bin .jpg .jpeg .png .gif .bmp .svg .ico
-.mp3 .mp4 .mov .avi .flv .m4a .doc .docx .xls .xlsx .woff .woff2 .ttf .otf .eot
-""".split()
-BUILT_IN_PATTERNS = """
-package-lock.json yarn.lock pnpm-lock.yaml Gemfile.lock poetry.lock Pipfile.lock Cargo.lock composer.lock go.sum
-.DS_Store Thumbs.db desktop.ini .tern-port
-""".split()
+IGNORED_DIRS = (
+    "node_modules", "bower_components", "jspm_packages", "web_modules", ".git", ".svn", ".hg", ".bzr", ".claude",
+    ".cursor", ".aider", ".vscode", ".idea", ".vs", ".atom", "dist", "dist-server", "dist-ssr", "dist-client",
+    "build", "built", "out", "out-tsc", "target", "storybook-static", ".docusaurus", ".gatsby", ".vuepress", ".nuxt",
+    ".next", ".tsc", ".cache", ".parcel-cache", ".vite", ".turbo", ".npm", ".yarn", ".pnp", ".pnpm-store", ".rush",
+    ".lerna", ".nx", "coverage", ".nyc_output", ".coverage", "htmlcov", "test-results", "__tests__", "__mocks__",
+    "__snapshots__", "__fixtures__", "cypress", "playwright", ".tox", ".eggs", ".hypothesis", ".pyre", ".pytype",
+    "__pycache__", ".pytest_cache", ".mypy_cache", ".venv", "venv", ".gradle", ".mvn", "Pods", "DerivedData",
+    ".bundle", "xcuserdata", "pkg", ".terraform", ".terragrunt-cache", ".pulumi", ".serverless", ".firebase", ".aws",
+    ".azure", ".gcloud", ".vercel", ".netlify", "temp", "tmp", ".tmp", ".temp", ".llamaindex", ".chroma",
+    ".vectorstore", ".embeddings", ".langchain", ".autogen", ".semantic-kernel", ".openai-cache", ".anthropic-cache",
+    "embeddings", "vector-db", "faiss-index", "chromadb", "pinecone-cache", "weaviate-data", ".pnpm", ".bun",
+    "assets", "static", "public", "wwwroot", "www", ".plugkit-browser-profile", "cmake_build_debug",
+    "cmake_build_release", "CMakeFiles", ".code-search", ".gm",
+)
+IGNORED_DIR_SUFFIXES = (
+    "-browser-profile", "-chrome-profile", "-firefox-profile", "-edge-profile", ".egg-info", ".dist-info",
+)
+IGNORED_DIR_PREFIXES = (
+    "chromium-", "chrome-user-data-", "puppeteer-", "playwright-",
+)
+CODE_EXTENSIONS = (
+    ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".mts", ".cts", ".py", ".pyw", ".pyi", ".java", ".c", ".cpp",
+    ".cc", ".cxx", ".h", ".hpp", ".hh", ".hxx", ".cs", ".csx", ".go", ".rs", ".rb", ".erb", ".php", ".phtml",
+    ".swift", ".kt", ".kts", ".scala", ".sc", ".pl", ".pm", ".sh", ".bash", ".zsh", ".fish", ".ps1", ".psm1",
+    ".psd1", ".lua", ".r", ".jl", ".dart", ".ex", ".exs", ".erl", ".hrl", ".hs", ".lhs", ".clj", ".cljs", ".cljc",
+    ".lisp", ".lsp", ".scm", ".ss", ".rkt", ".f", ".for", ".f90", ".f95", ".f03", ".asm", ".s", ".groovy", ".gvy",
+    ".vb", ".vbs", ".fs", ".fsx", ".ml", ".mli", ".mm", ".ino", ".vue", ".svelte", ".coffee", ".re", ".rei", ".xml",
+    ".xsd", ".html", ".htm", ".yml", ".yaml", ".toml", ".json", ".css", ".scss", ".sass", ".less", ".sql", ".md",
+    ".markdown", ".txt", ".prd", ".pdf",
+)
+BINARY_EXTENSIONS = (
+    ".zip", ".tar", ".gz", ".rar", ".7z", ".iso", ".exe", ".dll", ".so", ".dylib", ".bin", ".jpg", ".jpeg", ".png",
+    ".gif", ".bmp", ".svg", ".ico", ".mp3", ".mp4", ".mov", ".avi", ".flv", ".m4a", ".doc", ".docx", ".xls", ".xlsx",
+    ".woff", ".woff2", ".ttf", ".otf", ".eot",
+)
+BUILT_IN_PATTERNS = (
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Gemfile.lock", "poetry.lock", "Pipfile.lock", "Cargo.lock",
+    "composer.lock", "go.sum", ".DS_Store", "Thumbs.db", "desktop.ini", ".tern-port",
+)
 
 
 def normal_path(path: Column) -> Column:

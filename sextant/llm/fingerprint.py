@@ -11,7 +11,7 @@ and gives a differing digest; taking it out of its other cells makes more cells
 pure, until all are empty.
 
 The fingerprint is a sketch in hex: number of digests, places of a sub-table (a
-power of two, at least the number of digests), a hash of the whole text, and the
+power of two, at least twice the number of digests), a hash of the whole text, and the
 cells that are not empty. It is doubled until it peels by itself, so that it can
 be listed. As places are powers of two, a sketch can be folded to any smaller size.
 Two fingerprints are compared at the larger size of both (the smaller is listed and
@@ -47,7 +47,7 @@ PIECE_CHARS = 256
 #: Places of the smallest sub-table.
 LEAST_PLACES = 8
 #: Rounds of peeling in a try, and tries; a pair that fails all of them fails the job.
-ROUNDS = 10
+ROUNDS = 7
 TRIES = 12
 #: Digests of a task in peeling, on average.
 TASK_DIGESTS = 300_000
@@ -74,8 +74,8 @@ def paragraphs(text: Column) -> Column:
 
 
 def places_for(n: Column) -> Column:
-    """The power of two, LEAST_PLACES at least, that is not below n."""
-    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(LEAST_PLACES)).cast("double")))).cast("int")
+    """The power of two, LEAST_PLACES at least, that is not below 2 n: then few rounds peel it."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n * F.lit(2), F.lit(LEAST_PLACES)).cast("double")))).cast("int")
 
 
 def _check(digest: Column) -> Column:
@@ -313,24 +313,25 @@ _PAIRS = ((0, 1), (0, 2), (0, None), (1, None))
 
 def _items(table: DataFrame, width: int, asked: DataFrame | None) -> DataFrame:
     """Items of the pairs _PAIRS of each row of ``table`` (rid, hashes of three sides), or of those asked for."""
-    n = [F.size(F.element_at("sides", i + 1)) for i in range(3)]
-    if asked is not None:
-        table = table.join(asked.groupBy("rid").agg(F.collect_set("pair").alias("open")), "rid")
-    spread = table.repartition(width, "rid")
-
-    def roles(side: int) -> Column:
-        found = []
-        for i, (a, b) in enumerate(_PAIRS):
-            if side in (a, b):
-                most = n[a] if b is None else F.greatest(n[a], n[b])
-                found.append(F.struct(F.lit(i).alias("pair"), F.lit(1 if side == a else -1).alias("n"), places_for(most).alias("places")))
-        every = F.array(*found)
-        return every if asked is None else F.filter(every, lambda r: F.array_contains("open", r["pair"]))
-
-    sides = F.array(*[F.struct(F.lit(i).alias("side"), roles(i).alias("roles"), F.element_at("sides", i + 1).alias("ks")) for i in range(3)])
-    each = spread.select("rid", F.explode(sides).alias("s")).where(F.size("s.roles") > 0)
-    each = numbered(each.select("rid", "s.side", "s.roles", F.explode("s.ks").alias("k")), ["rid", "side", "roles"])
-    return each.select("rid", F.explode("roles").alias("r"), "k").select("rid", "r.pair", "r.places", "r.n", "k")
+    every = (1 << len(_PAIRS)) - 1
+    if asked is None:
+        table = table.withColumn("open", F.lit(every))
+    else:  # a bit for each pair
+        table = table.join(asked.groupBy("rid").agg(F.sum(F.pow(F.lit(2.0), "pair")).cast("int").alias("open")), "rid")
+    sizes = [F.size(F.element_at("sides", i + 1)).alias(f"n{i}") for i in range(3)]
+    spread = table.repartition(width, "rid").select("rid", "open", *sizes, F.posexplode("sides").alias("side", "ks"))
+    key = ["rid", "open", "n0", "n1", "n2", "side"]
+    each = numbered(spread.select(*key, F.explode("ks").alias("k")), key)
+
+    def role(i: int) -> Column:
+        a, b = _PAIRS[i]
+        most = F.col(f"n{a}") if b is None else F.greatest(f"n{a}", f"n{b}")
+        mine = (F.col("side") == a) if b is None else F.col("side").isin(a, b)
+        is_open = F.col("open").bitwiseAND(F.lit(1 << i)) != 0
+        return F.when(mine & is_open, F.struct(F.lit(i).alias("pair"), F.when(F.col("side") == a, 1).otherwise(-1).alias("n"), places_for(most).alias("places")))
+
+    roles = F.array_compact(F.array(*[role(i) for i in range(len(_PAIRS))]))
+    return each.select("rid", "k", F.explode(roles).alias("r")).select("rid", "r.pair", "r.places", "r.n", "k")
 
 
 def fingerprints(table: DataFrame, places: list[str], sides: list[int], width: int) -> DataFrame:

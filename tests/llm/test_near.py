@@ -254,3 +254,23 @@ def test_pipeline(spark, tmp_path):
     assert Counter(seen[3]) == Counter({i: n for i, n in copies.items() if n}) and seen[4] == seen[3]
     coder = bpe.tokenizer(corpus_pipeline.tokenizer_path())
     assert all(coder.decode(bytes(r.token_ids)) == r.text and r.n_tokens == len(r.token_ids) // 4 for r in df.collect())
+
+
+def test_pipeline_of_nothing_and_of_clashing_names(spark, tmp_path):
+    """Every stage passes an empty table, and columns that bear the names of helpers, as they came."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    names = ["_lang", "_score", "_langid", "_copy", "_mix_row", "_words", "_id", "_size", "_copies", "_exact_row", "_near_row", "token_ids", "n_tokens", "row", "kept", "size"]
+    words = "the and ship thing over water of to in".split()
+    rng = random.Random(3)
+    rows = [(i if i % 5 else None, " ".join(rng.choices(words, k=30)) if i % 7 else None, "en", f"s{i % 2}" if i % 3 else None, 1) for i in range(60)] * 2
+    for given in ([], rows):
+        df = spark.createDataFrame(given, schema)
+        for name in names:
+            df = df.withColumn(name, F.lit(f"own {name}"))
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns == (df.columns if i < 4 else [*df.columns, "token_ids_", "n_tokens_"])
+            out.write.mode("overwrite").parquet(str(tmp_path / f"{len(given)}-{i}"))
+            df = spark.read.parquet(str(tmp_path / f"{len(given)}-{i}"))
+            assert all(r[n] == f"own {n}" for r in df.select(*names).collect() for n in names)
+        assert df.isEmpty() == (not given)

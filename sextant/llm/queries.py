@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import bpe, exact_dedup, fingerprint, langid, line_dedup, lm, mixing, sharding, simhash, warc
+from sextant.llm import bpe, divergence, exact_dedup, fingerprint, langid, line_dedup, lm, mixing, sharding, simhash, warc
 from sextant.llm.common import table
 
 N_SHARDS = 24
@@ -60,6 +60,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_simhash": op9_simhash,
         "op10_fingerprints": op10_fingerprints,
+        "op11_divergence": op11_divergence,
     }
 
 
@@ -99,6 +104,39 @@ FROM m
 """
 
 
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT row, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d)),
+k AS (
+  SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= {divergence.MIN_DOCS}),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+l AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY lang),
+g AS (
+  SELECT lang, source, coalesce(any_value(s.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) AS s USING (lang, source)
+  GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + ({divergence.SCALE}::HUGEINT * (coalesce(c.n, 0) + {divergence.PRIOR})) // (g.n + {divergence.PRIOR} * v) AS p,
+         1 + ({divergence.SCALE}::HUGEINT * (total + {divergence.PRIOR})) // (lang_n + {divergence.PRIOR} * v) AS q
+  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+
 def _op7_sql() -> str:
     sql = rf"""
 WITH d AS (
@@ -170,4 +208,4 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target, ((certain + cho
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_mixing": _op7_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_mixing": _op7_sql(), "op11_divergence": OP11_SQL}

@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
@@ -54,7 +54,7 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not keep:
         _written.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import bpe, divergence, exact_dedup, fingerprint, langid, line_dedup, lm, mixing, resampling, sharding, simhash, warc
+from sextant.llm import bpe, divergence, exact_dedup, fingerprint, langid, line_dedup, lm, mixing, passages, resampling, sharding, simhash, warc
 from sextant.llm.common import table
 
 N_SHARDS = 24
@@ -64,6 +64,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_fingerprints": op10_fingerprints,
         "op11_divergence": op11_divergence,
+        "op12_passages": op12_passages,
         "op13_resampling": op13_resampling,
     }
 

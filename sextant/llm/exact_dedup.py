@@ -31,11 +31,11 @@ LOAD = 1.5
 
 _INDEX_SCHEMA = (
     "bucket long, level_bits array<int>, bits binary, digests binary, "
-    "win_ids array<long>, win_lens array<long>, win_rows array<long>"
+    "win_ids array<long>, win_known array<boolean>, win_lens array<long>, win_rows array<long>"
 )
 _GROUP_SCHEMA = (
     "digest binary, bucket long, slot long, member boolean, "
-    "keep_id long, keep_len long, group_size long"
+    "keep_id long, keep_known boolean, keep_len long, group_size long"
 )
 
 
@@ -58,19 +58,21 @@ def digests(docs: DataFrame, *more: Column | str) -> DataFrame:
 def winners(rows: DataFrame) -> DataFrame:
     """One row per digest: the longest original, then the smallest doc_id.
 
-    A null doc_id loses against any other.
+    A null doc_id loses against any other. Ids go on without nulls, as 0 where ``known``
+    is false, because pandas would turn longs beside nulls into doubles.
     """
     order = F.struct(
         F.col("n_points"),
         F.col("doc_id").isNotNull().alias("known"),
-        (-F.coalesce(F.col("doc_id"), F.lit(0))).alias("low"),
+        F.bitwise_not(F.coalesce(F.col("doc_id"), F.lit(0))).alias("low"),
     )
     best = rows.groupBy("text_sha256").agg(
         F.max(order).alias("best"), F.count(F.lit(1)).alias("n_rows")
     )
     return best.select(
         F.unhex("text_sha256").alias("digest"),
-        F.when(F.col("best.known"), -F.col("best.low")).alias("win_id"),
+        F.bitwise_not("best.low").alias("win_id"),
+        F.col("best.known").alias("known"),
         F.col("best.n_points").alias("win_len"),
         "n_rows",
     )
@@ -133,7 +135,7 @@ def _build_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     sizes, bits = build_hash(words)
     order = np.empty(len(keys), dtype=np.int64)
     order[slots_of(words, sizes, bits)] = np.arange(len(keys))
-    column = lambda name: [None if pd.isna(x) else int(x) for x in pdf[name].iloc[order]]
+    column = lambda name: pdf[name].to_numpy()[order].tolist()
     return pd.DataFrame(
         {
             "bucket": [int(pdf["bucket"].iloc[0])],
@@ -141,6 +143,7 @@ def _build_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
             "bits": [np.packbits(bits).tobytes()],
             "digests": [b"".join(keys[i] for i in order)],
             "win_ids": [column("win_id")],
+            "win_known": [column("known")],
             "win_lens": [column("win_len")],
             "win_rows": [column("n_rows")],
         }
@@ -153,15 +156,11 @@ def build_index(history: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def _better(a: tuple, b: tuple) -> tuple:
-    """Of two (id, length): the longer, then the smaller id, null last."""
-    rank = lambda x: (x[1], x[0] is not None, -(x[0] or 0))
+    """Of two (id, known, length): the longer, then the smaller id, an unknown one last."""
+    rank = lambda x: (x[2], x[1], -x[0])
     return a if rank(a) >= rank(b) else b
 
 
-def _whole(values: pd.Series) -> list:
-    return [None if pd.isna(x) else int(x) for x in values]
-
-
 def _lookup_bucket(incoming: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     rows: list[tuple] = []
     slots: list[list] = []
@@ -173,30 +172,23 @@ def _lookup_bucket(incoming: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         sizes = [int(x) for x in entry["level_bits"]]
         bits = np.unpackbits(np.frombuffer(entry["bits"], np.uint8), count=sum(sizes)).astype(bool)
         held = [entry["digests"][i : i + 32] for i in range(0, len(entry["digests"]), 32)]
-        slots = [
-            [*w]
-            for w in zip(
-                _whole(pd.Series(entry["win_ids"], dtype=object)),
-                _whole(pd.Series(entry["win_lens"], dtype=object)),
-                _whole(pd.Series(entry["win_rows"], dtype=object)),
-            )
-        ]
+        held_facts = ("win_ids", "win_known", "win_lens", "win_rows")
+        slots = [[*x] for x in zip(*(entry[name].tolist() for name in held_facts))]
         if keys:
             hit = slots_of(_as_words(keys), sizes, bits)
             hit = np.array([s if s >= 0 and held[s] == k else -1 for s, k in zip(hit, keys)], dtype=np.int64)
     if keys:
-        found = zip(keys, hit, _whole(incoming["win_id"]), _whole(incoming["win_len"]), _whole(incoming["n_rows"]))
-        for key, slot, doc, length, n in found:
+        found = zip(keys, hit, *(incoming[name].tolist() for name in ("win_id", "known", "win_len", "n_rows")))
+        for key, slot, doc, known, length, n in found:
             if slot < 0:
-                rows.append((key, bucket, None, False, doc, length, n))
+                rows.append((key, bucket, -1, False, doc, known, length, n))
             else:
-                old = slots[slot]
-                slots[slot] = [*_better((old[0], old[1]), (doc, length)), old[2] + n]
+                *old, old_n = slots[slot]
+                slots[slot] = [*_better(tuple(old), (doc, known, length)), old_n + n]
     rows += [(held[s], bucket, s, True, *slots[s]) for s in range(len(slots))]
-    names = ["digest", "bucket", "slot", "member", "keep_id", "keep_len", "group_size"]
-    return pd.DataFrame(rows, columns=names).astype(
-        {"slot": "Int64", "keep_id": "Int64", "keep_len": "Int64", "group_size": "Int64"}
-    )
+    names = ["digest", "bucket", "slot", "member", "keep_id", "keep_known", "keep_len", "group_size"]
+    out = pd.DataFrame(rows, columns=names)
+    return out.assign(slot=out["slot"].astype("Int64").where(out["member"].astype(bool)))
 
 
 def group(index: DataFrame, incoming: DataFrame, n_buckets: int) -> DataFrame:
@@ -225,7 +217,7 @@ def dedup(docs: DataFrame, in_history: Column | None = None, *more: str) -> Data
     n_buckets = max(1, -(-rows.where("past").count() // BUCKET_KEYS))
     index = stored(build_index(winners(rows.where("past")), n_buckets), "exact-index")
     groups = group(index, winners(rows.where("NOT past")), n_buckets).select(
-        F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "keep_len", "group_size", "member"
+        F.lower(F.hex("digest")).alias("text_sha256"), F.when(F.col("keep_known"), F.col("keep_id")).alias("keep_id"), "keep_len", "group_size", "member"
     )
     return joined(rows, stored(groups, "exact-groups"), "text_sha256", "group_size").select(
         "doc_id",

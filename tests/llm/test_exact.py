@@ -49,6 +49,20 @@ def test_all_or_nothing_in_history(spark, past):
     assert [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got] == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
 
 
+@pytest.mark.parametrize("past", [None, True, False])
+def test_large_ids_beside_none(spark, past):
+    """Ids that a double cannot hold, in one bucket with rows without an id: every group keeps a document."""
+    low, high = -(2**63), 2**63 - 1
+    ids = [high, high - 2, low, low + 1, 2**53 + 1, 2**53 + 3]
+    rows = [(i, f"text {k // 2}", "s") for k, i in enumerate(ids)] + [(None, "bbb", "s"), (None, "ddd", "s"), (None, "text 0", "s"), (high - 4, "ddd", "s")]
+    df = docs(spark, rows)
+    want = {"text 0": high - 2, "text 1": low, "text 2": 2**53 + 1, "bbb": None, "ddd": high - 4}
+    in_history = None if past is None else F.lit(past)
+    got = exact_dedup.dedup(df, in_history, "text").collect()
+    assert all(r.keep_id == want[r.text] and r.kept == (r.doc_id == want[r.text]) for r in got) and len(got) == len(rows)
+    assert {(r.doc_id, r.text) for r in exact_dedup.keep_first(df).collect()} == {(i, t) for t, i in want.items()}
+
+
 def test_dedup_of_nothing(spark):
     assert exact_dedup.dedup(docs(spark, [])).count() == 0
 

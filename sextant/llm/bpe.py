@@ -15,7 +15,8 @@ are first cut there, and the pattern runs only on cuts that were not seen before
 Ids equal those of the tokenizers library on the same file with
 ``add_special_tokens=False``; the strings of added tokens in a text are cut out
 as that library does. Null text counts as empty and gives no ids. Texts are
-processed whole, whatever their length; a worker keeps a bounded cache of words.
+processed whole, whatever their length; a worker keeps a cache of CACHE_WORDS cuts and
+CACHE_BYTES of their bytes at most, found by a hash and compared byte for byte.
 Other columns pass through untouched; where one has the name of a new column, the
 new one gets underscores behind it. Repeated rows are encoded alike. An empty table
 gives none.
@@ -39,8 +40,10 @@ from sextant.llm.common import bounded_batches, fresh
 
 #: Fixed value: the byte-level tokenizer's word pattern, letters first as they are commonest.
 WORD_PATTERN = r" ?\p{L}++|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
-#: Cuts of text that a worker remembers before it starts afresh.
+#: Cuts of text that a worker remembers before it starts afresh, their bytes, and the longest of them.
 CACHE_WORDS = 500_000
+CACHE_BYTES = 16 << 20
+CACHED_CUT = 256
 #: Characters of text whose new words are encoded together.
 BATCH_CHARS = 1_000_000
 
@@ -50,7 +53,9 @@ LONG_WORD = 64
 MERGE_WIDTHS = (7, 10, 14, 24, LONG_WORD)
 
 _NEVER = np.int64(1) << 40
-_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_FACTOR = 0x9E3779B97F4A7C15
+#: The end of a run of letters is the end of a word wherever it is.
+_LETTERS_END = regex.compile(r"\p{L}(?!\p{L})")
 #: Bytes that begin a visible character for certain: ASCII, and lead bytes that no white space has.
 _CUTS_BEFORE = np.array([33 <= b <= 126 or (b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3)) for b in range(256)])
 
@@ -337,10 +342,10 @@ class Tokenizer:
         return word_of[order], flat[order]
 
     def forget(self) -> None:
-        """Start the cache of cuts afresh: by hash its number, by number its check, tokens and their places."""
+        """Start the cache of cuts afresh: by hash its number; by number the places of its bytes and tokens."""
         self.known, self.n_known = Lookup(CACHE_WORDS), 0
-        self.checks, self.starts = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS + 1, np.int64)
-        self.tokens = np.zeros(4 * CACHE_WORDS, np.uint32)
+        self.starts, self.byte_starts = np.zeros(CACHE_WORDS + 1, np.int64), np.zeros(CACHE_WORDS + 1, np.int64)
+        self.tokens, self.cut_bytes = np.zeros(1 << 20, np.uint32), np.zeros(CACHE_BYTES, np.uint8)
 
     def _encode_cuts(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, number of them for each cut)."""
@@ -357,26 +362,43 @@ class Tokenizer:
         word_of, flat = self.encode_words(words)
         return flat, np.bincount(np.array(of, np.int64)[word_of], minlength=len(cuts))
 
-    def _numbers(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """The number of each cut in the cache, new ones put in; -1 where another cut has its hash."""
-        at = self.known(hashes)
-        new = np.flatnonzero(at < 0)
+    def _put(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Put cuts with distinct hashes, which are not in the cache yet, into it."""
+        flat, lengths = self._encode_cuts([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+        first, last = self.n_known, self.n_known + len(starts)
+        for places, sizes, held, new in (("starts", lengths, "tokens", flat), ("byte_starts", ends - starts, "cut_bytes", b"".join(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())))):
+            at = getattr(self, places)
+            at[first + 1 : last + 1] = at[first] + np.cumsum(sizes)
+            while at[last] > len(getattr(self, held)):  # tokens are no more than bytes
+                setattr(self, held, np.concatenate([getattr(self, held)] * 2))
+            getattr(self, held)[at[first] : at[last]] = np.frombuffer(new, np.uint8) if isinstance(new, bytes) else new
+        self.known.add(hashes, np.arange(first, last))
+        self.n_known = last
+
+    def _numbers(self, raw: bytes, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each cut in the cache, new ones put in; -1 for long cuts and where another cut has the hash."""
+        short = ends - starts <= CACHED_CUT
+        at = np.where(short, self.known(hashes), -1)
+        new = np.flatnonzero(short & (at < 0))
         if len(new):
             new = new[np.unique(hashes[new], return_index=True)[1]]
-            if self.n_known + len(new) > CACHE_WORDS:
+            if self.n_known + len(new) > CACHE_WORDS or self.byte_starts[self.n_known] + (ends - starts)[new].sum() > CACHE_BYTES:
                 self.forget()
-                new = np.unique(hashes, return_index=True)[1][:CACHE_WORDS]
-            flat, lengths = self._encode_cuts([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
-            first, last = self.n_known, self.n_known + len(new)
-            self.checks[first:last] = checks[new]
-            self.starts[first + 1 : last + 1] = self.starts[first] + np.cumsum(lengths)
-            while self.starts[last] > len(self.tokens):
-                self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
-            self.tokens[self.starts[first] : self.starts[last]] = flat
-            self.known.add(hashes[new], np.arange(first, last))
-            self.n_known = last
-            at = self.known(hashes)
-        return np.where((at >= 0) & (self.checks[at] == checks), at, -1)
+                new = np.flatnonzero(short)
+                new = new[np.unique(hashes[new], return_index=True)[1]][:CACHE_WORDS]
+                new = new[np.cumsum((ends - starts)[new]) <= CACHE_BYTES]
+            self._put(raw, starts[new], ends[new], hashes[new])
+            at = np.where(short, self.known(hashes), -1)
+        # equal in length, and then in each byte
+        at[self.byte_starts[at + 1] - self.byte_starts[at] != ends - starts] = -1
+        has = np.flatnonzero(at >= 0)
+        if len(has):
+            size = (ends - starts)[has]
+            before = np.cumsum(size) - size
+            inner = np.arange(int(size.sum())) - np.repeat(before, size)
+            like = self.cut_bytes[np.repeat(self.byte_starts[at[has]], size) + inner] == buffer[np.repeat(starts[has], size) + inner]
+            at[has[~np.logical_and.reduceat(like, before)]] = -1
+        return at
 
     def _encode_buffer(self, raw: bytes, firsts: np.ndarray) -> list[bytes]:
         """The ids of each part of a buffer, given where the parts begin; none is empty.
@@ -392,39 +414,39 @@ class Tokenizer:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(buffer))
         place = np.arange(len(buffer)) - np.repeat(starts, ends - starts)
-        longest = int((ends - starts).max())
-        bytes_ = buffer.astype(np.uint64) + np.uint64(1)
-        one, two = (
-            (np.add.reduceat(bytes_ * np.multiply.accumulate(np.full(longest, f, np.uint64))[place], starts) & np.uint64((1 << 63) - 1)).astype(np.int64)
-            for f in _FACTORS
-        )
-        at = self._numbers(raw, starts, ends, one, two)
-        part_of = np.searchsorted(firsts, starts, side="right") - 1
+        powers = np.multiply.accumulate(np.full(int((ends - starts).max()), _FACTOR, np.uint64))
+        hashes = np.add.reduceat((buffer.astype(np.uint64) + np.uint64(1)) * powers[place], starts)
+        at = self._numbers(raw, buffer, starts, ends, (hashes & np.uint64((1 << 63) - 1)).astype(np.int64))
         lengths = np.where(at >= 0, self.starts[at + 1] - self.starts[at], 0)
+        # cuts that the cache does not hold are encoded for this buffer alone
+        other = np.flatnonzero(at < 0)
+        fresh, lengths[other] = self._encode_cuts([raw[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist())]) if len(other) else (np.zeros(0, np.uint32), 0)
         before = np.cumsum(lengths) - lengths
-        flat = self.tokens[np.repeat(self.starts[at] - before, lengths) + np.arange(int(lengths.sum()))].tobytes()
+        held = np.repeat(at >= 0, lengths)
+        ids = np.zeros(int(lengths.sum()), np.uint32)
+        ids[held] = self.tokens[(np.repeat(self.starts[at] - before, lengths) + np.arange(len(ids)))[held]]
+        ids[~held] = fresh
+        flat = ids.tobytes()
+        part_of = np.searchsorted(firsts, starts, side="right") - 1
         sizes = 4 * np.cumsum(np.bincount(part_of, weights=lengths, minlength=len(firsts)).astype(np.int64))
-        out = [flat[a:b] for a, b in zip([0, *sizes.tolist()], sizes.tolist())]
-        # a part with a cut that the cache could not hold is encoded by itself
-        for i in np.unique(part_of[at < 0]).tolist():
-            stop = firsts[i + 1] if i + 1 < len(firsts) else len(raw)
-            out[i] = self._encode_cuts([raw[firsts[i] : stop]])[0].astype("<u4").tobytes()
-        return out
+        return [flat[a:b] for a, b in zip([0, *sizes.tolist()], sizes.tolist())]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self._pieces(t) for t in texts]
-        parts = [x.encode() for found in pieces for x, _ in found if x]
-        coded = iter(())
-        if parts:
-            ends = np.cumsum([len(x) for x in parts])
-            coded = iter(self._encode_buffer(b"".join(parts), np.r_[0, ends[:-1]]))
-        return [b"".join([ids for x, added in found for ids in (next(coded) if x else b"", added)]) for found in pieces]
+        coded: list[bytes] = []
+        for parts in _portions([x for found in pieces for x, _ in found if x]):
+            raw = [x.encode() for x in parts]
+            ends = np.cumsum([len(x) for x in raw])
+            coded += self._encode_buffer(b"".join(raw), np.r_[0, ends[:-1]])
+        ids = iter(coded)
+        return [b"".join([x for part, added in found for x in (next(ids) if part else b"", added)]) for found in pieces]
 
     def _pieces(self, text: str) -> list[tuple[str, bytes]]:
         """The parts between added tokens, each with the id of the added token that follows.
 
-        A long text is also parted at spaces, so that a buffer stays small.
+        A long text is also parted at spaces, or else behind letters, so that a buffer
+        stays small; one run of letters is one word and stays together.
         """
         hits = [m.span() for m in self.added_pattern.finditer(text)] if self.added_pattern else []
         out, at = [], 0
@@ -434,6 +456,9 @@ class Tokenizer:
                 while cut >= 0 and not "!" <= text[cut + 1] <= "~":
                     cut = text.find(" ", cut + 1, a - 1)
                 if cut < 0:
+                    end = _LETTERS_END.search(text, at + BATCH_CHARS, a)
+                    cut = end.end() if end else a
+                if cut >= a:
                     break
                 out.append((text[at:cut], b""))
                 at = cut

@@ -62,6 +62,33 @@ def test_bpe_forgets_words(spark, monkeypatch):
         assert [coder.encode_all([t])[0] for t in texts] == library_ids(texts)
 
 
+def test_bpe_tells_cuts_of_one_hash_apart():
+    """The Thue-Morse word and its complement have equal sums under any odd powers modulo 2**64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    texts = [x for n in (128, 256, 1024, 2048) for x in (word[:n], word[:n].translate({97: 98, 98: 97}))]
+    for size in (bpe.CACHED_CUT, 4096):
+        coder = bpe.Tokenizer(PATH)
+        bpe.CACHED_CUT, kept = size, bpe.CACHED_CUT
+        assert coder.encode_all(texts) == library_ids(texts) and coder.encode_all(texts[::-1]) == library_ids(texts[::-1])
+        bpe.CACHED_CUT = kept
+
+
+def test_bpe_cache_is_bounded_by_bytes(monkeypatch):
+    """Distinct texts without a space: the worker's cache stays within its bytes, ids stay right."""
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x5000)] + list("abcdefgh")
+    texts = ["".join(rng.choices(letters, k=rng.randint(20, 40))) for _ in range(100_000)]
+    texts += ["".join(rng.choices(letters, k=3000)) for _ in range(50)] + ["、".join("".join(rng.choices(letters, k=30)) for _ in range(300))]
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1 << 20)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 5000)
+    coder = bpe.Tokenizer(PATH)
+    got = [ids for part in bpe._portions(texts) for ids in coder.encode_all(part)]
+    assert got == library_ids(texts)
+    assert coder.byte_starts[coder.n_known] <= len(coder.cut_bytes) == 1 << 20 and len(coder.tokens) <= 2 << 20
+
+
 WORDS = {"en": "the and ship thing over water", "fr": "le été où garçon mer eau", "de": "der und schön straße über wasser"}
 
 

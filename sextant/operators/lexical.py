@@ -82,20 +82,24 @@ def ranking(*parts: str) -> tuple[Column, ...]:
     return (F.desc(F.round(parts[0], 9)), *map(F.col, parts[1:]))
 
 
-def search(index: Index, queries: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame:
-    """(query_id, rank, chunk_id, file_path, chunk_index, raw, score): the best chunk of the top files."""
+def ranked(scored: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame:
+    """The best chunk of each query's top files, of chunks with their ``raw`` scores."""
     per_query = Window.partitionBy("query_id")
-    scored = score(index, query_terms(queries), config)
     best = Window.partitionBy("query_id", "file_path").orderBy(*ranking("raw", "chunk_index"))
     files = scored.withColumn("_nth", F.row_number().over(best)).where("_nth = 1").drop("_nth")
     top = per_query.orderBy(*ranking("raw", "file_path", "chunk_index"))
-    ranked = files.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= config.top_k)
+    first = files.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= config.top_k)
     # the largest raw score is always among the top
-    return ranked.withColumn("score", F.col("raw") / F.max("raw").over(per_query)).select(
+    return first.withColumn("score", F.col("raw") / F.max("raw").over(per_query)).select(
         "query_id", "rank", "chunk_id", "file_path", "chunk_index", "raw", "score"
     )
 
 
+def search(index: Index, queries: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame:
+    """(query_id, rank, chunk_id, file_path, chunk_index, raw, score): the best chunk of the top files."""
+    return ranked(score(index, query_terms(queries), config), config)
+
+
 def search_items(items: DataFrame, queries: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame:
     """(query_id, id, raw, score) of (id, text) items: phrase and tokens only, no pruning, no limit."""
     terms = query_terms(queries)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.operators import blocks
 from sextant.operators.index import Index, build
 from sextant.sources.files import chunk_lines, scan
 from sextant.sources.tables import table
@@ -23,6 +24,7 @@ KEY_WORDS = 5
 BLANK_QUERY = (-1, " \t")
 
 _indexes: dict[tuple[str, str], Index] = {}
+_block_indexes: dict[tuple[str, str], blocks.BlockIndex] = {}
 
 
 def _path() -> F.Column:
@@ -75,6 +77,14 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     return _indexes[key]
 
 
+def block_index(spark: SparkSession, sf_dir: str) -> blocks.BlockIndex:
+    """The block index over ``index``, built once likewise."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _block_indexes:
+        _block_indexes[key] = blocks.build(index(spark, sf_dir))
+    return _block_indexes[key]
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage as a query, and a blank one."""
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))

@@ -372,6 +372,8 @@ def oracle_sql() -> dict[str, str]:
         "lexical_search": f"WITH {_search(boost=1.0)} SELECT {RESULT_COLUMNS} FROM results".replace("text AS query FROM benchmark", "lower(text) AS query FROM benchmark"),
         "lexical_search_batch": f"{search} SELECT {RESULT_COLUMNS} FROM results",
         "lexical_search_uncapped": f"WITH {_search(None)} SELECT {RESULT_COLUMNS} FROM results",
+        "lexical_search_blocks": f"WITH {_search(None)} SELECT {RESULT_COLUMNS} FROM results",
+        "block_lists": f"WITH {INDEX} SELECT token, count(*) AS postings, count(*) AS listed, max(least(tf, {DEFAULT.max_tf})) AS max_tf FROM postings GROUP BY token",
         "lexical_search_items": f"""WITH items AS (SELECT conv_id || '/' || turn AS id, text FROM conversations), {QUERIES}, {_items_search()}
             SELECT query_id, id, round(raw, 6) AS raw, round(score, 6) AS score FROM item_scored""",
         "candidate_prune": f"{search} SELECT query_id, chunk_id, round(idf_mass, 6) AS idf_mass FROM pruned",

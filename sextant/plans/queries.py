@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sextant.config import DEFAULT, SearchConfig
 from sextant.functions import text, vectors
 from sextant.operators import evaluate as ev
-from sextant.operators import explain, fusion, lexical, state, vector_search
+from sextant.operators import blocks, explain, fusion, lexical, state, vector_search
 from sextant.operators import index as ix
 from sextant.plans import corpus, report
 from sextant.sources import commits as commit_source
@@ -108,6 +108,19 @@ def lexical_search_uncapped(spark: SparkSession, d: str) -> DataFrame:
     return _results(lexical.search(corpus.index(spark, d), corpus.queries(spark, d), SearchConfig(candidate_cap=None)))
 
 
+def lexical_search_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The search without a cap, by block bounds: most postings are not scored."""
+    return _results(blocks.search(corpus.block_index(spark, d), corpus.queries(spark, d))[0])
+
+
+def block_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Each token's postings and largest frequency, from the block lists written to buckets and read back."""
+    path = f"{shared_dir(spark)}/block-index-{uuid.uuid4().hex}"
+    blocks.write(corpus.block_index(spark, d), path)
+    lists = blocks.read(spark, path).lists
+    return lists.groupBy("token").agg(F.sum("n").alias("postings"), F.sum(F.size("postings")).alias("listed"), F.max("max_tf").alias("max_tf"))
+
+
 def lexical_search_items(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
     rows = lexical.search_items(items, corpus.queries(spark, d))
@@ -396,7 +409,7 @@ _ALL = (
     hybrid_rerank, embed_text, cache_misses, cache_sweep, diff_filter, diff_stats, commit_search, commit_vector_search,
     explain_tokens, explain_results, coverage_bands, eval_report, eval_mean, vector_eval, state_diff, sync_index,
     corpus_summary, hybrid_search, search_report, vector_scores, cache_upsert, embed_cached, utf8_files,
-    index_round_trip, previews, few_commits, sync_tree, stream_ingest, stream_serve, server_report,
+    lexical_search_blocks, block_lists, index_round_trip, previews, few_commits, sync_tree, stream_ingest, stream_serve, server_report,
 )
 
 

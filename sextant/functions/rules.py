@@ -81,3 +81,18 @@ def is_code_file(path: Column) -> Column:
 
 def is_binary_file(path: Column) -> Column:
     return extension(path).isin(*BINARY_EXTENSIONS)
+
+
+def ignored_dir_name(name: str) -> bool:
+    """``is_ignored_dir`` for a source that walks folders."""
+    return name in _IGNORED or name.endswith(IGNORED_DIR_SUFFIXES) or name.startswith(IGNORED_DIR_PREFIXES)
+
+
+def indexed_ending(path: str) -> bool:
+    """``is_code_file`` and not ``is_binary_file``, likewise."""
+    _, dot, ending = path.lower().rpartition(".")
+    return dot + ending in _INDEXED
+
+
+_IGNORED = frozenset(IGNORED_DIRS)
+_INDEXED = frozenset(CODE_EXTENSIONS) - frozenset(BINARY_EXTENSIONS)

@@ -374,6 +374,9 @@ def oracle_sql() -> dict[str, str]:
         "lexical_search_uncapped": f"WITH {_search(None)} SELECT {RESULT_COLUMNS} FROM results",
         "lexical_search_blocks": f"WITH {_search(None)} SELECT {RESULT_COLUMNS} FROM results",
         "block_lists": f"WITH {INDEX} SELECT token, count(*) AS postings, count(*) AS listed, max(least(tf, {DEFAULT.max_tf})) AS max_tf FROM postings GROUP BY token",
+        "tree_scan": f"""SELECT coalesce(source, 'none') AS folder, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS n_bytes,
+                   sum(len({_split("coalesce(text, '')")}))::BIGINT AS n_lines
+            FROM documents WHERE source IS NULL OR source NOT IN ('src3', 'src7') GROUP BY ALL""",
         "lexical_search_items": f"""WITH items AS (SELECT conv_id || '/' || turn AS id, text FROM conversations), {QUERIES}, {_items_search()}
             SELECT query_id, id, round(raw, 6) AS raw, round(score, 6) AS score FROM item_scored""",
         "candidate_prune": f"{search} SELECT query_id, chunk_id, round(idf_mass, 6) AS idf_mass FROM pruned",

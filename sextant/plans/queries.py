@@ -242,6 +242,17 @@ def utf8_files(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("path", "n_bytes", "mtime", F.md5("content").alias("content_md5"))
 
 
+def tree_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes and lines of the files of each folder, documents being written as a tree; src7's folder is an ignored one."""
+    path = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    folder = F.when(F.col("source") == "src7", "src7.egg-info").otherwise(F.coalesce("source", F.lit("none")))
+    table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value"), folder.alias("folder")).write.partitionBy("folder").text(path)
+    rows = file_source.read_tree(spark, path).where(~F.startswith("path", F.lit("folder=src3/")))
+    name = F.regexp_extract("path", "^folder=([^/]*)/", 1).alias("folder")
+    lines = F.size(F.split("content", "\n", -1)) - F.lit(1)
+    return rows.groupBy(name).agg(F.sum("n_bytes").alias("n_bytes"), F.sum(lines).alias("n_lines"))
+
+
 def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A search on the index written to a folder and read back."""
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
@@ -409,7 +420,7 @@ _ALL = (
     hybrid_rerank, embed_text, cache_misses, cache_sweep, diff_filter, diff_stats, commit_search, commit_vector_search,
     explain_tokens, explain_results, coverage_bands, eval_report, eval_mean, vector_eval, state_diff, sync_index,
     corpus_summary, hybrid_search, search_report, vector_scores, cache_upsert, embed_cached, utf8_files,
-    lexical_search_blocks, block_lists, index_round_trip, previews, few_commits, sync_tree, stream_ingest, stream_serve, server_report,
+    tree_scan, lexical_search_blocks, block_lists, index_round_trip, previews, few_commits, sync_tree, stream_ingest, stream_serve, server_report,
 )
 
 

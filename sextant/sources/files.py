@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from sextant.config import DEFAULT, SearchConfig
 from sextant.functions import rules
 from sextant.functions.text import is_blank, trimmed
-
-
-def _relative(root: str) -> Column:
-    prefix = root.rstrip("/").removeprefix("file://")
-    return rules.normal_path(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{prefix}/", ""))
+from sextant.sources import tree
 
 
 def text_files(raw: DataFrame, path: Column) -> DataFrame:
@@ -26,24 +22,10 @@ def text_files(raw: DataFrame, path: Column) -> DataFrame:
     )
 
 
-def read_tree(spark: SparkSession, root: str, config: SearchConfig = DEFAULT) -> DataFrame:
-    """A file tree as files(path, content, n_bytes, mtime), without those that ``scan`` drops.
-
-    Files are listed first, without their contents. Of those, the source then reads
-    files of kept endings and sizes only; ignored folders' files of such endings are
-    read too, as the source has no filter for them, but dropped before they are decoded.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    listed = reader.load(root).select("path", "length").withColumn("relative", _relative(root))
-    keep = ~rules.in_ignored_dir(F.col("relative")) & rules.is_code_file(F.col("relative")) & ~rules.is_binary_file(F.col("relative"))
-    kept = listed.where(keep & (F.col("length") <= config.max_file_bytes))
-    endings = sorted(r[0] for r in kept.select(F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("e")).distinct().collect())
-    if not endings:
-        return spark.createDataFrame([], "path string, content string, n_bytes long, mtime long")
-    # the file name filter and the length are the source's own; the rest of the paths is tried before a content is decoded
-    names = "*{" + ",".join(endings) + "}"
-    raw = reader.option("pathGlobFilter", names).load(root).where(F.col("length") <= config.max_file_bytes)
-    return text_files(raw.join(kept.select("path"), "path", "left_semi"), _relative(root))
+def read_tree(spark: SparkSession, root: str, config: SearchConfig = DEFAULT, tasks: int = tree.TASKS) -> DataFrame:
+    """A file tree as files(path, content, n_bytes, mtime), without those that ``scan`` drops: they are not opened."""
+    tree.register(spark)
+    return spark.read.format(tree.FORMAT).option("maxBytes", config.max_file_bytes).option("tasks", tasks).load(root)
 
 
 def scan(files: DataFrame, config: SearchConfig = DEFAULT) -> DataFrame:

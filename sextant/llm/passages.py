@@ -21,9 +21,14 @@ bytes (or the largest power of two that divides MIN_BYTES), and each piece is en
 once for every remainder of its places, so that the suffixes of all places are in the
 transform and a common prefix of MIN_BYTES / 16 symbols is one of MIN_BYTES.
 
-**Hot groups.** A group of more than GROUP_PIECES pieces is dealt over several. Each
-says which windows recur within it, and sends on one window of each content by its
-digest; what meets there from two of them recurs as well.
+Before, each piece is cut to the bytes around its anchor that some other piece of the
+group has as well, as far to each side as any of them; less than MIN_BYTES can hold no
+recurring window and is left out.
+
+**Hot groups.** A group of more than GROUP_PIECES pieces is dealt over several parts.
+Each says which windows recur within it, and sends on one window of each content, as
+pieces with anchors by another hash, which meet those of the other parts in smaller
+groups. What is in groups that hot at LEVELS hashes meets window by window, by digests.
 
 Null text counts as empty. Texts shorter than MIN_BYTES stay whole. Repeated rows and
 copies are texts that recur. Rows without doc_id are treated like any other. Very long
@@ -34,6 +39,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import tempfile
 from collections.abc import Iterator
 
@@ -50,8 +56,9 @@ GRAM_BYTES = 96
 #: Text scanned at a time; pieces that a transform is built of at a time.
 SLICE_BYTES = 1 << 20
 COLLECTION_BYTES = 1 << 20
-#: Pieces of one anchor hash that are looked at together.
-GROUP_PIECES = 2048
+#: Pieces of one anchor hash that are looked at together, and hashes that hot groups are dealt by in turn.
+GROUP_PIECES = 4096
+LEVELS = 3
 #: Places in a block of common prefixes whose least is kept.
 BLOCK = 64
 
@@ -60,9 +67,11 @@ BASE = 0x9E3779B97F4A7C15
 MIX = 0xBF58476D1CE4E5B9
 
 _SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-_SCANNED = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("n_bytes", pa.int64()), ("anchors", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("hash", pa.int64())]))), ("own", _SPANS)])
-_SCANNED_SQL = "doc_id long, sha binary, n_bytes long, anchors array<struct<lo: long, hi: long, hash: long>>, own array<struct<lo: long, hi: long>>"
-_FOUND = pa.schema([("sha", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64()), ("content", pa.binary())])
+_SCANNED = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("n_bytes", pa.int64()), ("anchors", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("at", pa.int64()), ("hash", pa.int64())]))), ("own", _SPANS)])
+_SCANNED_SQL = "doc_id long, sha binary, n_bytes long, anchors array<struct<lo: long, hi: long, at: long, hash: long>>, own array<struct<lo: long, hi: long>>"
+#: What a search gives: a span that recurs; or a window with its content's digest; or a piece of the next level.
+_FOUND = pa.schema([("kind", pa.string()), ("sha", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64()), ("at", pa.int64()), ("hash", pa.int64()), ("content", pa.binary())])
+_FOUND_SQL = "kind string, sha binary, lo long, hi long, at long, hash long, content binary"
 
 
 # --- anchors -------------------------------------------------------------------------------------
@@ -75,13 +84,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, size: int, level: int = 0) -> np.ndarray:
     """A 64-bit hash of the ``size`` bytes from each place on: the bytes weighed by powers, summed, and the place's power divided out."""
     n = len(data)
     room = 1 << n.bit_length()
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, room)[:n], out=sums[1:])
     x = (sums[size:] - sums[:-size]) * _powers(pow(BASE, -1, 1 << 64), room)[: n - size + 1]
+    x ^= np.uint64(level * MIX & (1 << 64) - 1)
     x ^= x >> np.uint64(31)
     x *= np.uint64(MIX)
     return x ^ (x >> np.uint64(29))
@@ -98,14 +108,14 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchored(data: np.ndarray, ends: np.ndarray, min_bytes: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lo, hi, hash) of runs of windows, from start ``lo`` to ``hi``, that have an anchor in common.
+def anchored(data: np.ndarray, ends: np.ndarray, min_bytes: int, gram: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lo, hi, at, hash) of runs of windows, from start ``lo`` to ``hi``, that have their anchor at ``at``.
 
     Windows lie within one of the texts that end at ``ends``. Equal windows have equal hashes.
     """
     if len(data) < min_bytes:
-        return (np.zeros(0, np.int64),) * 3
-    hashes = gram_hashes(data, gram)
+        return (np.zeros(0, np.int64),) * 4
+    hashes = gram_hashes(data, gram, level)
     place = np.arange(len(hashes), dtype=np.uint64)
     low = np.uint64((1 << 24) - 1)
     anchor = (low - (window_minima((hashes & ~low) | (low - place), min_bytes - gram + 1) & low)).astype(np.int64)
@@ -117,7 +127,7 @@ def anchored(data: np.ndarray, ends: np.ndarray, min_bytes: int, gram: int) -> t
     last = fits.copy()
     last[:-1] &= new[1:] | ~fits[1:]
     lo = np.flatnonzero(new)
-    return lo, np.flatnonzero(last), hashes[anchor[lo]].view(np.int64)
+    return lo, np.flatnonzero(last), anchor[lo], hashes[anchor[lo]].view(np.int64)
 
 
 def _without_repeats(data: bytes, lo: np.ndarray, hi: np.ndarray, hashes: np.ndarray, min_bytes: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -135,20 +145,20 @@ def _without_repeats(data: bytes, lo: np.ndarray, hi: np.ndarray, hashes: np.nda
     return stay, spans
 
 
-def _scan_long(raw: bytes, min_bytes: int, gram: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+def _scan_long(raw: bytes, min_bytes: int, gram: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
     anchors, own = [], []
     for at in range(0, max(1, len(raw) - min_bytes + 1), SLICE_BYTES):
         part = raw[at : at + SLICE_BYTES + min_bytes - 1]
-        lo, hi, hashes = anchored(np.frombuffer(part, np.uint8), np.array([len(part)]), min_bytes, gram)
+        lo, hi, place, hashes = anchored(np.frombuffer(part, np.uint8), np.array([len(part)]), min_bytes, gram)
         stay, spans = _without_repeats(part, lo, hi, hashes, min_bytes)
-        anchors += zip((lo[stay] + at).tolist(), (hi[stay] + at).tolist(), hashes[stay].tolist())
+        anchors += zip(*((x[stay] + at).tolist() for x in (lo, hi, place)), hashes[stay].tolist())
         own += [(a + at, b + at) for a, b in spans]
     return anchors, own
 
 
 def _scan(batches: Iterator[pa.RecordBatch], min_bytes: int, gram: int) -> Iterator[pa.RecordBatch]:
     def out(ids: list, texts: list[bytes], found: list) -> pa.RecordBatch:
-        anchors = [[{"lo": a, "hi": b, "hash": h} for a, b, h in x] for x, _ in found]
+        anchors = [[{"lo": a, "hi": b, "at": c, "hash": h} for a, b, c, h in x] for x, _ in found]
         own = [[{"lo": a, "hi": b} for a, b in x] for _, x in found]
         columns = [ids, [hashlib.sha256(t).digest() for t in texts], [len(t) for t in texts], anchors, own]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCANNED)], schema=_SCANNED)
@@ -156,7 +166,7 @@ def _scan(batches: Iterator[pa.RecordBatch], min_bytes: int, gram: int) -> Itera
     def together(texts: list[bytes]) -> list:
         data = b"".join(texts)
         ends = np.cumsum([len(t) for t in texts])
-        lo, hi, hashes = anchored(np.frombuffer(data, np.uint8), ends, min_bytes, gram)
+        lo, hi, place, hashes = anchored(np.frombuffer(data, np.uint8), ends, min_bytes, gram)
         text = np.searchsorted(ends, lo, side="right")
         border = np.searchsorted(text, np.arange(len(texts) + 1))
         found = []
@@ -164,7 +174,8 @@ def _scan(batches: Iterator[pa.RecordBatch], min_bytes: int, gram: int) -> Itera
             one = slice(border[i], border[i + 1])
             at = int(ends[i]) - len(texts[i])
             stay, spans = _without_repeats(data, lo[one], hi[one], hashes[one], min_bytes)
-            found.append((list(zip((lo[one][stay] - at).tolist(), (hi[one][stay] - at).tolist(), hashes[one][stay].tolist())), [(a - at, b - at) for a, b in spans]))
+            own = zip(*((x[one][stay] - at).tolist() for x in (lo, hi, place)), hashes[one][stay].tolist())
+            found.append((list(own), [(a - at, b - at) for a, b in spans]))
         return found
 
     ids, texts, held = [], [], 0
@@ -189,11 +200,15 @@ def _scan(batches: Iterator[pa.RecordBatch], min_bytes: int, gram: int) -> Itera
 class _Files:
     """Columns in files of a temporary folder of the task; each has two, read and written in turn."""
 
-    def __init__(self, folder: str):
-        self.folder, self.turn = folder, 0
+    def __init__(self, folder: str, room: int):
+        self.turn = 0
+        self.held = {
+            name: [np.memmap(f"{folder}/{name}-{i}", dtype=kind, mode="w+", shape=max(room, 1)) for i in range(2)]
+            for name, kind in (("before", np.uint32), ("common", np.uint8), ("start", np.uint32))
+        }
 
-    def new(self, name: str, n: int, kind: type) -> np.ndarray:
-        return np.memmap(f"{self.folder}/{name}-{self.turn}", dtype=kind, mode="w+", shape=max(n, 1))[:n]
+    def new(self, name: str, n: int) -> np.ndarray:
+        return self.held[name][self.turn][:n]
 
 
 class _Least:
@@ -251,9 +266,7 @@ def transform(code: np.ndarray, first: np.ndarray, count: np.ndarray, step: int,
     """
     n_strings, n_codes = len(first), int(code.max(initial=0)) + 1
     open_ = n_codes  # nothing stands before the suffix yet
-    before = files.new("before", n_strings, np.uint32)
-    common = files.new("common", n_strings, np.uint8)
-    start = files.new("start", n_strings, np.int64)
+    before, common, start = (files.new(name, n_strings) for name in ("before", "common", "start"))
     before[:], common[:], start[:] = open_, 0, first + step * count
     at = np.arange(n_strings)
     totals = np.zeros(n_codes, np.int64)
@@ -289,7 +302,7 @@ def transform(code: np.ndarray, first: np.ndarray, count: np.ndarray, step: int,
         string = string[np.searchsorted(at[string], old[fresh])]
         columns = []
         for name, column, new in (("before", before, open_), ("common", common, 0), ("start", start, first[string] + step * (count[string] - nth))):
-            out = files.new(name, n, column.dtype.type)
+            out = files.new(name, n)
             out[stays] = column
             out[came] = new
             columns.append(out)
@@ -310,7 +323,7 @@ def recurring(pieces: list[bytes], min_bytes: int) -> tuple[list[np.ndarray], np
     first = (base[:, None] + np.arange(step)).ravel()
     count = (np.maximum(length[:, None] - np.arange(step), 0) // step).ravel()
     with tempfile.TemporaryDirectory(prefix="passages-") as folder:
-        start, common = transform(symbols(data, step), first, count, step, min_bytes // step, _Files(folder))
+        start, common = transform(symbols(data, step), first, count, step, min_bytes // step, _Files(folder, len(first) + int(count.sum())))
         start, common = np.array(start[len(first) :]), np.array(common[len(first) :])  # the empty suffixes come first
     window = np.zeros(len(data) + 1, bool)
     for b, n in zip(base, length):
@@ -331,29 +344,74 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _search(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Spans of bytes that recur, and of groups that are dealt over several one window of each content."""
-    pieces, keys, dealt, held, last = [], [], [], 0, None
+def _alike(a: bytes, b: bytes) -> int:
+    """Bytes that two strings have in common from the front on."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
+
+
+def _most_alike(strings: list[bytes]) -> list[int]:
+    """For each string, the most bytes it has in common with any other from the front on: with a neighbour in order."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out = [0] * len(strings)
+    for i, j in itertools.pairwise(order):
+        n = _alike(strings[i], strings[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def _in_common(group: list[tuple[bytes, int, int, bytes]], min_bytes: int) -> list[tuple[bytes, int, bytes]]:
+    """(sha, lo, piece) of a group, cut to the bytes around the anchor that some other piece has as well."""
+    right = _most_alike([piece[at - lo :] for _, lo, at, piece in group])
+    left = _most_alike([piece[: at - lo][::-1] for _, lo, at, piece in group])
+    cut = ((sha, at - a, piece[at - lo - a : at - lo + b]) for (sha, lo, at, piece), a, b in zip(group, left, right))
+    return [x for x in cut if len(x[2]) >= min_bytes]
+
+
+def _search(batches: Iterator[pa.RecordBatch], min_bytes: int, gram: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Spans that recur; of parts of hot groups one window of each content, as pieces of the next level or digests."""
+    held: list[tuple[bytes, int, bytes]] = []
+    dealt: list[bool] = []
+    group: list[tuple[bytes, int, int, bytes]] = []
 
     def found() -> pa.RecordBatch:
-        flags, piece, place = recurring(pieces, min_bytes)
+        flags, piece, place = recurring([x[2] for x in held], min_bytes)
         rows: list[tuple] = []
-        for (sha, lo), own in zip(keys, flags):
-            rows += [(sha, lo + int(a), lo + int(b) + min_bytes, None) for a, b in zip(*_runs(own))]
-        for i, at in zip(piece[np.array(dealt)[piece]].tolist(), place[np.array(dealt)[piece]].tolist()):
-            sha, lo = keys[i]
-            rows.append((sha, lo + at, lo + at + min_bytes, hashlib.sha256(pieces[i][at : at + min_bytes]).digest()))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _FOUND)], schema=_FOUND)
-
+        for (sha, lo, _), own in zip(held, flags):
+            rows += [("span", sha, lo + a, lo + b + min_bytes, None, None, None) for a, b in zip(*(x.tolist() for x in _runs(own)))]
+        open_ = np.flatnonzero(np.array(dealt)[piece])
+        for i in np.unique(piece[open_]).tolist():
+            sha, lo, raw = held[i]
+            ones = np.zeros(len(raw) - min_bytes + 1, bool)
+            ones[place[open_][piece[open_] == i]] = True
+            for a, b in zip(*(x.tolist() for x in _runs(ones))):
+                own = raw[a : b + min_bytes]
+                if level + 1 == LEVELS:
+                    rows += [("window", sha, lo + a + k, lo + a + k + min_bytes, None, None, hashlib.sha256(own[k : k + min_bytes]).digest()) for k in range(b - a + 1)]
+                    continue
+                for c, d, at, key in zip(*(x.tolist() for x in anchored(np.frombuffer(own, np.uint8), np.array([len(own)]), min_bytes, gram, level + 1))):
+                    rows.append(("piece", sha, lo + a + c, lo + a + d, lo + a + at, key, own[c : d + min_bytes]))
+        held.clear(), dealt.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_FOUND), _FOUND)], schema=_FOUND)
+
+    def close(split: bool) -> None:
+        own = [(sha, lo, piece) for sha, lo, _, piece in group] if split else _in_common(group, min_bytes)
+        held.extend(own)
+        dealt.extend([split] * len(own))
+        group.clear()
+
+    last, last_split = None, False
     for batch in batches:
-        for key, sha, lo, split, piece in zip(zip(batch["hash"].to_pylist(), batch["part"].to_pylist()), batch["sha"].to_pylist(), batch["lo"].to_pylist(), batch["split"].to_pylist(), batch["piece"]):
-            if key != last and held >= COLLECTION_BYTES:
-                yield found()
-                pieces, keys, dealt, held = [], [], [], 0
-            last = key
-            pieces.append(piece.as_buffer().to_pybytes()), keys.append((sha, lo)), dealt.append(split)
-            held += len(pieces[-1])
-    if pieces:
+        columns = (batch[c].to_pylist() for c in ("hash", "part", "split", "sha", "lo", "at", "piece"))
+        for key, part, split, sha, lo, at, piece in zip(*columns):
+            if (key, part) != last:
+                close(last_split)
+                last, last_split = (key, part), split
+                if sum(len(x[2]) for x in held) >= COLLECTION_BYTES:
+                    yield found()
+            group.append((sha, lo, at, piece))
+    close(last_split)
+    if held:
         yield found()
 
 
@@ -380,6 +438,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- the operator --------------------------------------------------------------------------------
 
 
+def _met(pieces: DataFrame) -> DataFrame:
+    """The rows of stored ``pieces`` whose hash recurs, with ``n``, its number."""
+    counts = stored(pieces.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "passages-hashes")
+    return joined(pieces, counts, "hash", "n")
+
+
 def spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, sha, n_bytes, n_removed, n_spans, kept (digest of what is left), runs [lo, hi) of each document."""
     if min_bytes < 2:
@@ -393,25 +457,30 @@ def spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     texts = stored(texts, "passages-texts", compression="zstd")
 
     anchors = texts.select("sha", F.explode("anchors").alias("a")).select("sha", "a.*")
-    counts = stored(anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "passages-hashes")
-    wanted = joined(anchors, counts, "hash", "n").groupBy("sha").agg(F.collect_list(F.struct("lo", "hi", "hash", "n")).alias("wanted"))
+    wanted = _met(anchors).groupBy("sha").agg(F.collect_list(F.struct("lo", "hi", "at", "hash", "n")).alias("wanted"))
     wanted = wanted.join(texts.where(F.size("own") > 0).select("sha", "own"), "sha", "full_outer")
     contents = docs.select(text).where(F.octet_length("text") >= min_bytes).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text")
     contents = stored(contents.groupBy("sha").agg(F.first("text").alias("text")).join(wanted, "sha"), "passages-contents", compression="zstd")
 
-    parts = F.ceil(F.col("w.n") / F.lit(GROUP_PIECES)).cast("long")
     piece = F.substring(F.col("text").cast("binary"), (F.col("w.lo") + F.lit(1)).cast("int"), (F.col("w.hi") - F.col("w.lo") + F.lit(min_bytes)).cast("int"))
-    pieces = contents.select("sha", "text", F.explode("wanted").alias("w")).select(
-        "sha", "w.lo", "w.hash", (parts > 1).alias("split"), F.pmod(F.xxhash64("sha", "w.lo"), parts).alias("part"), piece.alias("piece")
-    )
-    found = pieces.repartition("hash", "part").sortWithinPartitions("hash", "part").mapInArrow(lambda b: _search(b, min_bytes), "sha binary, lo long, hi long, content binary")
-    found = stored(found, "passages-found", compression="zstd")
+    pieces = contents.select("sha", "text", F.explode("wanted").alias("w")).select("sha", "w.*", piece.alias("piece"))
+    found = []
+    for level in range(LEVELS):
+        parts = F.ceil(F.col("n") / F.lit(GROUP_PIECES)).cast("long")
+        dealt = pieces.select("*", (parts > 1).alias("split"), F.pmod(F.xxhash64("sha", "lo"), parts).alias("part"))
+        dealt = dealt.repartition("hash", "part").sortWithinPartitions("hash", "part")
+        found.append(stored(dealt.mapInArrow(lambda b, i=level: _search(b, min_bytes, gram, i), _FOUND_SQL), "passages-found", compression="zstd"))
+        again = found[-1].where("kind = 'piece'").select("sha", "lo", "hi", "at", "hash", F.col("content").alias("piece"))
+        if again.isEmpty():
+            break
+        pieces = _met(again)
 
     span = F.struct("lo", "hi")
-    met = found.where("content IS NOT NULL").groupBy("content").agg(F.collect_list(F.struct("sha", "lo", "hi")).alias("met")).where(F.size("met") > 1)
+    found = functools.reduce(DataFrame.unionByName, found)
+    met = found.where("kind = 'window'").groupBy("content").agg(F.collect_list(F.struct("sha", "lo", "hi")).alias("met")).where(F.size("met") > 1)
     met = met.select(F.explode("met").alias("m")).select("m.*")
     own = texts.select("sha", F.explode("own").alias("o")).select("sha", "o.*")
-    covered = found.where("content IS NULL").select("sha", "lo", "hi").unionByName(met).unionByName(own)
+    covered = found.where("kind = 'span'").select("sha", "lo", "hi").unionByName(met).unionByName(own)
     covered = covered.groupBy("sha").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     once = texts.where("copies = 1").select("sha")
     cut = contents.select("sha", "text").join(covered, "sha").join(once, "sha", "left_semi")

@@ -55,8 +55,10 @@ def test_report_by_brute_force(spark, n, seed):
     assert Counter(map(tuple, got.collect())) == brute(rows, n)
 
 
-def test_hot_groups_are_dealt(spark, monkeypatch):
-    monkeypatch.setattr(passages, "GROUP_PIECES", 3)
+@pytest.mark.parametrize("size", [2, 3, 20])
+def test_hot_groups_are_dealt(spark, monkeypatch, size):
+    """Small parts: groups go through all hashes, and what is left meets by digests."""
+    monkeypatch.setattr(passages, "GROUP_PIECES", size)
     rows = corpus(32, 7) + [(1000 + i, f"{i:07d}" + "common words that stand in a great many texts, " + f"{i * 7:09d}") for i in range(60)]
     assert Counter(map(tuple, passages.report(docs(spark, rows), 32).collect())) == brute(rows, 32)
 
@@ -74,7 +76,7 @@ def test_anchors_do_not_depend_on_the_place():
         where = {}
         for before in (0, 1, 777):
             data = np.concatenate([rng.integers(97, 100, before, dtype=np.uint8), common])
-            lo, hi, hashes = passages.anchored(data, np.array([len(data)]), n, gram)
+            lo, hi, _, hashes = passages.anchored(data, np.array([len(data)]), n, gram)
             covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])
             assert (covered == np.arange(len(data) - n + 1)).all()
             of = np.repeat(hashes, hi - lo + 1)[before:]
@@ -86,7 +88,7 @@ def test_long_texts_in_slices(monkeypatch):
     monkeypatch.setattr(passages, "SLICE_BYTES", 100)
     raw = ("abc" * 200 + "defgh" * 50 + "x" * 130).encode()
     anchors, own = passages._scan_long(raw, 16, 8)
-    starts = sorted(i for a, b, _ in anchors for i in range(a, b + 1))
+    starts = sorted(i for a, b, _, _ in anchors for i in range(a, b + 1))
     assert len(starts) == len(set(starts))
     gone = {i for a, b in own for i in range(a, b)}
     assert set(range(len(raw) - 15)) - set(starts) <= gone  # what is not in a piece is known to recur
@@ -101,7 +103,7 @@ def test_transform_orders_suffixes(tmp_path, step):
     length = np.array([len(p) for p in pieces])
     base = np.cumsum(length) - length
     count = length // step
-    start, common = passages.transform(passages.symbols(data, step), base, count, step, 255, passages._Files(str(tmp_path)))
+    start, common = passages.transform(passages.symbols(data, step), base, count, step, 255, passages._Files(str(tmp_path), len(pieces) + int(count.sum())))
     units = [[] for _ in pieces]  # the empty suffixes come first
     for s in np.array(start)[len(pieces) :]:
         i = int(np.searchsorted(base, s, side="right")) - 1
@@ -112,6 +114,14 @@ def test_transform_orders_suffixes(tmp_path, step):
         assert n == same
 
 
+def test_most_alike():
+    rng = np.random.default_rng(4)
+    strings = [bytes(rng.integers(97, 99, rng.integers(0, 12), dtype=np.uint8)) for _ in range(60)]
+    same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert passages._most_alike(strings) == [max(same(a, b) for j, b in enumerate(strings) if j != i) for i, a in enumerate(strings)]
+    assert passages._most_alike([b"x"]) == [0] and passages._most_alike([]) == []
+
+
 def test_least_of_ranges():
     rng = np.random.default_rng(1)
     numbers = rng.integers(0, 200, 5000).astype(np.uint8)

@@ -16,10 +16,10 @@ symbol, from the end on, in front of the latest suffix of every string; the suff
 new place is the number of smaller symbols plus those of its own before the old place,
 and its common prefix with the neighbours is one more than the least common prefix
 between their old places. The transform, the common prefixes and the suffixes' starts
-lie in files that each round reads from front to end and writes anew. A symbol has 16
-bytes (or the largest power of two that divides MIN_BYTES), and each piece is entered
-once for every remainder of its places, so that the suffixes of all places are in the
-transform and a common prefix of MIN_BYTES / 16 symbols is one of MIN_BYTES.
+lie in files that each round reads from front to end and writes anew. A symbol stands
+for some bytes, 50 if MIN_BYTES is 400 (a WINDOW_SYMBOLS-th at most, and a divisor),
+and each piece is entered once for every remainder of its places, so that the suffixes
+of all places are in the transform and a common prefix of 8 symbols is one of 400 bytes.
 
 Before, each piece is cut to the bytes around its anchor that some other piece of the
 group has as well, as far to each side as any of them; less than MIN_BYTES can hold no
@@ -59,8 +59,10 @@ COLLECTION_BYTES = 1 << 20
 #: Pieces of one anchor hash that are looked at together, and hashes that hot groups are dealt by in turn.
 GROUP_PIECES = 4096
 LEVELS = 3
+#: Symbols of a window, at least (if it has as many bytes).
+WINDOW_SYMBOLS = 8
 #: Places in a block of common prefixes whose least is kept.
-BLOCK = 64
+BLOCK = 16
 
 #: An odd multiplier whose powers weigh the bytes of a gram, and one that mixes the sum.
 BASE = 0x9E3779B97F4A7C15
@@ -245,17 +247,23 @@ class _Least:
 
 
 def symbols(data: np.ndarray, size: int) -> np.ndarray:
-    """A number for the ``size`` bytes (a power of two) from each place on: equal for equal bytes, larger for larger ones."""
-    code, width = data.astype(np.uint64), 1
-    while width < size:
+    """A number for the ``size`` bytes from each place on: equal for equal bytes, larger for larger ones."""
+
+    def paired(code: np.ndarray, away: int, bits: int) -> np.ndarray:
         follow = np.zeros_like(code)
-        follow[:-width] = code[width:]
-        code = (code << np.uint64(8 * width if width < 8 else 32)) | follow
-        width *= 2
-        if width >= 8:  # from here on numbers, so that two of them fit into a word
-            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
-    if size < 8:
-        code = np.unique(code, return_inverse=True)[1]
+        follow[: max(0, len(code) - away)] = code[away:]
+        return (code << np.uint64(bits)) | follow
+
+    def numbered(code: np.ndarray) -> np.ndarray:
+        return np.unique(code, return_inverse=True)[1].astype(np.uint64)
+
+    code, width = data.astype(np.uint64), 1  # up to 8 bytes as they are, from then on numbers for them
+    while width < size:
+        away = min(width, size - width)  # the last two may overlap
+        code = paired(code, away, 8 * width if width < 8 else 32)
+        width += away
+        if width >= 8 or width == size:
+            code = numbered(code)
     return code.astype(np.uint32)
 
 
@@ -314,9 +322,7 @@ def transform(code: np.ndarray, first: np.ndarray, count: np.ndarray, step: int,
 
 def recurring(pieces: list[bytes], min_bytes: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each piece, whether the window from each place recurs in the pieces; then (piece, place) of one window of each content."""
-    step = 1
-    while min_bytes % (2 * step) == 0 and step < 16:
-        step *= 2
+    step = max(d for d in range(1, max(1, min_bytes // WINDOW_SYMBOLS) + 1) if min_bytes % d == 0)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     length = np.array([len(p) for p in pieces])
     base = np.cumsum(length) - length
@@ -373,6 +379,7 @@ def _search(batches: Iterator[pa.RecordBatch], min_bytes: int, gram: int, level:
     held: list[tuple[bytes, int, bytes]] = []
     dealt: list[bool] = []
     group: list[tuple[bytes, int, int, bytes]] = []
+    size = 0  # bytes held
 
     def found() -> pa.RecordBatch:
         flags, piece, place = recurring([x[2] for x in held], min_bytes)
@@ -394,21 +401,23 @@ def _search(batches: Iterator[pa.RecordBatch], min_bytes: int, gram: int, level:
         held.clear(), dealt.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_FOUND), _FOUND)], schema=_FOUND)
 
-    def close(split: bool) -> None:
+    def close(split: bool) -> int:
         own = [(sha, lo, piece) for sha, lo, _, piece in group] if split else _in_common(group, min_bytes)
         held.extend(own)
         dealt.extend([split] * len(own))
         group.clear()
+        return sum(len(x[2]) for x in own)
 
     last, last_split = None, False
     for batch in batches:
         columns = (batch[c].to_pylist() for c in ("hash", "part", "split", "sha", "lo", "at", "piece"))
         for key, part, split, sha, lo, at, piece in zip(*columns):
             if (key, part) != last:
-                close(last_split)
+                size += close(last_split)
                 last, last_split = (key, part), split
-                if sum(len(x[2]) for x in held) >= COLLECTION_BYTES:
+                if size >= COLLECTION_BYTES:
                     yield found()
+                    size = 0
             group.append((sha, lo, at, piece))
     close(last_split)
     if held:

@@ -95,7 +95,7 @@ def test_long_texts_in_slices(monkeypatch):
     assert max(starts, default=0) <= len(raw) - 16
 
 
-@pytest.mark.parametrize("step", [1, 2, 4, 8, 16])
+@pytest.mark.parametrize("step", [1, 2, 3, 5, 8, 11, 16, 50])
 def test_transform_orders_suffixes(tmp_path, step):
     rng = np.random.default_rng(step)
     pieces = [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in (40, 1, 33, 64, 40, 17)] + [b"a" * 50, b"a" * 50]

@@ -456,6 +456,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT (SELECT count(*) FROM postings) AS postings, (SELECT sum(tf)::BIGINT FROM postings) AS tf, (SELECT count(DISTINCT token) FROM postings) AS tokens,
                    (SELECT count(*) FROM then_ WHERE t IN (SELECT t FROM now)) AS cached, n FROM stats""",
         "stream_ingest": f"WITH {INDEX} SELECT token, df, n FROM doc_freq, stats",
+        "stream_versions": f"""WITH {FILES}, left_files AS (
+              SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'fn again' || {NL} || content ELSE content END AS content, mtime
+              FROM scanned WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0), {_chunks("left_files")}, {_postings("chunks", "chunk_id", "content")},
+            doc_freq AS (SELECT token, count(*) AS df FROM postings GROUP BY token)
+            SELECT token, df, n FROM doc_freq, (SELECT count(*) AS n FROM chunks)""",
         "stream_serve": f"{search} SELECT {RESULT_COLUMNS} FROM results",
         "corpus_summary": f"WITH {CHUNKS} SELECT count(DISTINCT file_path) AS files, count(*) AS chunks FROM chunks",
         "hybrid_search": f"{search}, {HYBRID} SELECT query_id, rank, id AS chunk_id, round(vector_score, 6) AS vector_score, round(score, 6) AS score FROM reranked",

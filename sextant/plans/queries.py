@@ -383,6 +383,24 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return live.doc_freq.crossJoin(F.broadcast(live.stats)).select("token", "df", "n")
 
 
+def stream_versions(spark: SparkSession, d: str) -> DataFrame:
+    """What a stream of versions leaves: files of today, then late versions and deletions, then some files again."""
+    base = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    number = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long")
+    rows = corpus.files(spark, d).withColumn("deleted", F.lit(False)).withColumn("k", number)
+    later = lambda of, n, head, deleted=False: of.select("path", F.concat(F.lit(head), "content").alias("content"), "n_bytes", (F.col("mtime") + n).alias("mtime"), F.lit(deleted).alias("deleted"))
+    batches = [
+        rows.drop("k"),
+        later(rows.where("k % 2 = 0"), -1, "fn stale\n").unionByName(later(rows.where("k % 5 = 0"), 5, "", True)),
+        later(rows.where("k % 10 = 0"), 6, "fn again\n").unionByName(later(rows.where("k % 15 = 0 AND k % 10 <> 0"), 4, "fn toolate\n")),
+    ]
+    for part in batches:
+        part.write.mode("append").parquet(f"{base}/in")
+        ingest.start(spark, f"{base}/in", f"{base}/out", f"{base}/progress").awaitTermination()
+    live = ingest.live_index(spark, f"{base}/out")
+    return live.doc_freq.crossJoin(F.broadcast(live.stats)).select("token", "df", "n")
+
+
 def stream_serve(spark: SparkSession, d: str) -> DataFrame:
     """The batch of queries, answered as a stream."""
     base = f"{shared_dir(spark)}/serve-{uuid.uuid4().hex}"
@@ -420,7 +438,7 @@ _ALL = (
     hybrid_rerank, embed_text, cache_misses, cache_sweep, diff_filter, diff_stats, commit_search, commit_vector_search,
     explain_tokens, explain_results, coverage_bands, eval_report, eval_mean, vector_eval, state_diff, sync_index,
     corpus_summary, hybrid_search, search_report, vector_scores, cache_upsert, embed_cached, utf8_files,
-    tree_scan, lexical_search_blocks, block_lists, index_round_trip, previews, few_commits, sync_tree, stream_ingest, stream_serve, server_report,
+    tree_scan, lexical_search_blocks, block_lists, index_round_trip, previews, few_commits, sync_tree, stream_ingest, stream_versions, stream_serve, server_report,
 )
 
 

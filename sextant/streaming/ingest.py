@@ -1,56 +1,130 @@
-"""Keeping chunks and postings current from a stream of files.
+"""Keeping chunks and postings current from a stream of versions of files.
 
-Rows lie in buckets of the file path. A micro-batch rewrites only the buckets it
-touches, spread over tasks: rows of its files are replaced, others copied. The
-number of buckets is that of the first batch's call and stays with the table; more
-buckets make a batch of few files rewrite less. Writing a bucket is idempotent, so
-a batch that is run again after a failure leaves the same tables.
+Each path has a state: the mark of its newest version, its mtime, whether it was
+deleted, and the digest of its content. A version goes on only if its mark is above
+that of the state, whatever batch it comes in; late versions are dropped, and a
+tombstone (``deleted``) stays, so that a late version does not bring a file back. In a
+stream the state is Spark's (``transformWithState``, by path, in RocksDB); a batch
+applied by itself compares with the marks that the tables hold.
+
+The tables are generations (``sources.generations``): a micro-batch appends the chunks
+and postings of its files, the keys it touches, and what document frequencies gain and
+lose. Rows are merged when read, and compacted when half of them are dead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sextant.config import DEFAULT, SearchConfig
-from sextant.operators.index import Index, document_frequency, meta, term_frequency
+from sextant.operators.index import Index, meta, term_frequency
 from sextant.sources.files import chunk_lines, scan
-from sextant.sources.tables import read_or_empty, replaced, stored
+from sextant.sources.generations import Generations, Merged
+from sextant.sources.tables import stored
 
 FILE_SCHEMA = "path string, content string, n_bytes long, mtime long"
-CHUNK_SCHEMA = "chunk_id string, file_path string, chunk_index int, content string, line_start int, line_end int, mtime long, bucket int"
-POSTING_SCHEMA = "token string, chunk_id string, tf long, file_path string, bucket int"
-#: Buckets of a live index; for large ones choose about a file of some 100 MB for each.
-BUCKETS = 64
+#: Versions of files: a deleted one needs no content.
+VERSION_SCHEMA = f"{FILE_SCHEMA}, deleted boolean"
+#: Mark of a version: later ones are larger.
+MARK = ("mtime", "deleted", "digest")
+SCHEMAS = {
+    "chunks": "chunk_id string, file_path string, chunk_index int, content string, line_start int, line_end int, mtime long",
+    "postings": "token string, chunk_id string, tf long, file_path string",
+    "doc_freq": "token string, df long",
+    "touched": "file_path string, mtime long, deleted boolean, digest string",
+}
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def versions(files: DataFrame) -> DataFrame:
+    """Files as versions with their mark; null mtime counts as 0, null ``deleted`` as false, null content as empty."""
+    deleted = F.coalesce("deleted", F.lit(False)) if "deleted" in files.columns else F.lit(False)
+    content = F.coalesce("content", F.lit(""))
+    return files.select("path", content.alias("content"), "n_bytes", F.coalesce("mtime", F.lit(0)).cast("long").alias("mtime"), deleted.alias("deleted"), F.md5(content).alias("digest"))
+
+
+def _mark() -> Column:
+    return F.struct(*MARK)
+
+
+class NewestVersion(StatefulProcessor):
+    """Passes on a path's version if it is newer than all before."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "mtime long, deleted boolean, digest string")
 
-def _bucket(buckets: int, path: str = "file_path") -> F.Column:
-    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest = max(rows, key=lambda r: tuple(r[c] for c in MARK))
+        mark = tuple(newest[c] for c in MARK)
+        if not self.seen.exists() or mark > tuple(self.seen.get()):
+            self.seen.update(mark)
+            yield newest
 
+    def close(self) -> None:
+        pass
 
-def apply_batch(files: DataFrame, out: str, config: SearchConfig = DEFAULT, buckets: int = BUCKETS) -> None:
-    """Put a batch of new or changed files into the tables below ``out``.
 
-    If a batch has a path more than once, its newest version counts.
+def newest_versions(stream: DataFrame) -> DataFrame:
+    """The versions of a stream that are newer than all that came before for their path."""
+    rows = versions(stream)
+    return rows.groupBy("path").transformWithState(NewestVersion(), rows.schema, "Update", "None")
+
+
+def tables(spark: SparkSession, out: str) -> Generations:
+    return Generations(spark, out, "file_path", SCHEMAS)
+
+
+def apply_batch(files: DataFrame, out: str, config: SearchConfig = DEFAULT, batch: int | None = None, newest: bool = False) -> None:
+    """Put a batch of new, changed or deleted files into the tables below ``out``.
+
+    Of a path's versions the newest counts, in the batch and beside what the tables
+    hold; ``newest`` says that the batch has newer versions only. A numbered batch that
+    was applied already is passed over.
     """
-    spark = files.sparkSession
-    newest = files.groupBy("path").agg(F.max_by(F.struct("content", "n_bytes", "mtime"), F.struct("mtime", "content")).alias("f"))
-    batch = stored(newest.select("path", "f.*"), "stream-files")
-    touched = batch.select(F.col("path").alias("file_path"))
-    if batch.isEmpty():
+    live = tables(files.sparkSession, out)
+    now = live.now()
+    gen = 2 * batch + 1 if batch is not None else (now.last or -1) // 2 * 2 + 3  # even ones are compactions
+    if now.last is not None and gen <= now.last:
+        return
+    rows = versions(files) if "digest" not in files.columns else files
+    one = rows.groupBy("path").agg(F.max_by(F.struct("content", "n_bytes", *MARK), _mark()).alias("f")).select("path", "f.*")
+    if not newest:
+        held = now.known().select(F.col("file_path").alias("path"), _mark().alias("held"))
+        one = one.join(held, "path", "left").where(F.col("held").isNull() | (_mark() > F.col("held"))).drop("held")
+    one = stored(one, "stream-files")
+    if one.isEmpty():
         return
-    chunks = stored(chunk_lines(scan(batch, config), config).withColumn("bucket", _bucket(buckets)), "stream-chunks")
-    postings = term_frequency(chunks, "chunk_id", "content").join(chunks.select("chunk_id", "file_path", "bucket"), "chunk_id")
-    replaced(spark, f"{out}/chunks", CHUNK_SCHEMA, chunks, touched, "file_path", "bucket")
-    replaced(spark, f"{out}/postings", POSTING_SCHEMA, postings, touched, "file_path", "bucket")
+    touched = one.select(F.col("path").alias("file_path"), *MARK)
+    chunks = stored(chunk_lines(scan(one.where("NOT deleted").select("path", "content", "n_bytes", "mtime"), config), config), "stream-chunks")
+    postings = stored(term_frequency(chunks, "chunk_id", "content").join(chunks.select("chunk_id", "file_path"), "chunk_id").select("token", "chunk_id", "tf", "file_path"), "stream-postings")
+    keys = touched.select("file_path")
+    dead = now.live("chunks").join(keys, "file_path", "left_semi").count() if now.commits else 0
+    changes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    if dead:
+        went = now.live("postings").join(keys, "file_path", "left_semi").groupBy("token").agg((-F.count(F.lit(1))).alias("df"))
+        changes = changes.unionByName(went).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
+    new = {"chunks": chunks, "postings": postings.sortWithinPartitions("token"), "doc_freq": changes, "touched": touched}
+    now = live.append(now, gen, new, chunks.count(), dead)
+    if now.due:
+        live.compacted(now, gen + 1, {"doc_freq": document_frequency(now)})
+
+
+def document_frequency(now: Merged) -> DataFrame:
+    """The sums of what generations gained and lost."""
+    return now.rows("doc_freq").groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
 
 
-def start(spark: SparkSession, source: str, out: str, checkpoint: str, config: SearchConfig = DEFAULT, buckets: int = BUCKETS) -> StreamingQuery:
-    """Follow Parquet files with FILE_SCHEMA below ``source`` until no new ones are there."""
-    stream = spark.readStream.schema(FILE_SCHEMA).parquet(source)
+def start(spark: SparkSession, source: str, out: str, checkpoint: str, config: SearchConfig = DEFAULT) -> StreamingQuery:
+    """Follow Parquet files with VERSION_SCHEMA (``deleted`` may be missing) below ``source`` until no new ones are there."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream = newest_versions(spark.readStream.schema(VERSION_SCHEMA).parquet(source))
     return (
-        stream.writeStream.foreachBatch(lambda df, _: apply_batch(df, out, config, buckets))
+        stream.writeStream.outputMode("update")
+        .foreachBatch(lambda df, batch: apply_batch(df, out, config, batch, newest=True))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -58,7 +132,7 @@ def start(spark: SparkSession, source: str, out: str, checkpoint: str, config: S
 
 
 def live_index(spark: SparkSession, out: str) -> Index:
-    """An index over the live tables; counts are summed from the postings."""
-    chunks = read_or_empty(spark, f"{out}/chunks", CHUNK_SCHEMA).drop("bucket")
-    postings = read_or_empty(spark, f"{out}/postings", POSTING_SCHEMA).select("token", "chunk_id", "tf")
-    return Index(chunks, postings, document_frequency(postings), meta(chunks), chunks.agg(F.count(F.lit(1)).alias("n")))
+    """An index over the rows that count; frequencies are sums over generations."""
+    now = tables(spark, out).now()
+    chunks, n = now.live("chunks"), spark.range(1).select(F.lit(now.n_live).cast("long").alias("n"))
+    return Index(chunks, now.live("postings").select("token", "chunk_id", "tf"), document_frequency(now), meta(chunks), n)

@@ -213,8 +213,8 @@ def test_sync_tree_drops_what_the_scan_drops(spark, index):
 def test_deleted_rows_leave_no_partition(spark, tmp_path):
     """A file that the scan drops in a later batch takes its old rows with it."""
     out = str(tmp_path / "live")
-    ingest.apply_batch(frame(spark), out, buckets=8)
-    ingest.apply_batch(frame(spark, [("docs/readme.txt", "x", 10**9, 9)]), out, buckets=8)
+    ingest.apply_batch(frame(spark), out)
+    ingest.apply_batch(frame(spark, [("docs/readme.txt", "x", 10**9, 9)]), out)
     assert as_sets(ingest.live_index(spark, out)) == as_sets(build(files.chunk_lines(frame(spark, FILES[:2]))))
 
 

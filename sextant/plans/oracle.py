@@ -462,6 +462,8 @@ def oracle_sql() -> dict[str, str]:
             doc_freq AS (SELECT token, count(*) AS df FROM postings GROUP BY token)
             SELECT token, df, n FROM doc_freq, (SELECT count(*) AS n FROM chunks)""",
         "stream_serve": f"{search} SELECT {RESULT_COLUMNS} FROM results",
+        "stream_serve_live": f"""SELECT 1::BIGINT AS version, * FROM ({search.replace("FROM documents)", "FROM documents WHERE doc_id % 2 = 0)")} SELECT {RESULT_COLUMNS} FROM results) WHERE query_id % 2 = 0
+            UNION ALL SELECT 3::BIGINT, * FROM ({search} SELECT {RESULT_COLUMNS} FROM results) WHERE query_id % 2 <> 0""",
         "corpus_summary": f"WITH {CHUNKS} SELECT count(DISTINCT file_path) AS files, count(*) AS chunks FROM chunks",
         "hybrid_search": f"{search}, {HYBRID} SELECT query_id, rank, id AS chunk_id, round(vector_score, 6) AS vector_score, round(score, 6) AS score FROM reranked",
         "search_report": _report(search, 3, 80, None),

@@ -409,6 +409,20 @@ def stream_serve(spark: SparkSession, d: str) -> DataFrame:
     return _results(spark.read.parquet(f"{base}/out"))
 
 
+def stream_serve_live(spark: SparkSession, d: str) -> DataFrame:
+    """Even queries asked when half of the files are in, odd ones when all are: results name their version."""
+    base = f"{shared_dir(spark)}/serve-live-{uuid.uuid4().hex}"
+    rows, asked = corpus.files(spark, d), corpus.queries(spark, d)
+    half = F.regexp_extract("path", r"doc_(\d+)\.", 1).cast("long") % 2 == 0
+    for files, batch in ((rows.where(half), asked.where("query_id % 2 = 0")), (rows.where(~half), asked.where("query_id % 2 <> 0"))):
+        files.write.mode("append").parquet(f"{base}/files")
+        ingest.start(spark, f"{base}/files", f"{base}/live", f"{base}/ingested").awaitTermination()
+        batch.write.mode("append").json(f"{base}/asked")
+        serve.start_live(spark, f"{base}/live", f"{base}/asked", f"{base}/out", f"{base}/served").awaitTermination()
+    found = spark.read.parquet(f"{base}/out")
+    return found.select("version", "query_id", "rank", "chunk_id", r6("raw").alias("raw"), r6("score").alias("score"))
+
+
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     return state.summary(corpus.index(spark, d).chunks)
 
@@ -438,7 +452,7 @@ _ALL = (
     hybrid_rerank, embed_text, cache_misses, cache_sweep, diff_filter, diff_stats, commit_search, commit_vector_search,
     explain_tokens, explain_results, coverage_bands, eval_report, eval_mean, vector_eval, state_diff, sync_index,
     corpus_summary, hybrid_search, search_report, vector_scores, cache_upsert, embed_cached, utf8_files,
-    tree_scan, lexical_search_blocks, block_lists, index_round_trip, previews, few_commits, sync_tree, stream_ingest, stream_versions, stream_serve, server_report,
+    tree_scan, lexical_search_blocks, block_lists, index_round_trip, previews, few_commits, sync_tree, stream_ingest, stream_versions, stream_serve, stream_serve_live, server_report,
 )
 
 

@@ -94,9 +94,15 @@ class Generations:
         rows = read_or_empty(self.spark, f"{self.path}/commits", COMMIT_SCHEMA).select("gen", "base", "rows", "dead").collect()
         return sorted((Commit(*r) for r in rows), key=lambda c: c.gen)
 
-    def now(self) -> Merged:
+    def now(self, version: int | None = None) -> Merged:
+        """The tables as of the last generation, or as of a given one that is still there."""
         found = self._commits()
-        return Merged(self.spark, self.path, self.key, self.schemas, [c for c in found if c.gen >= found[-1].base])
+        if any(c.gen == version for c in found):
+            found = [c for c in found if c.gen <= version]
+        own = [c for c in found if c.gen >= found[-1].base]
+        if own and own[0].gen != own[0].base:  # its base has been deleted
+            return self.now()
+        return Merged(self.spark, self.path, self.key, self.schemas, own)
 
     def append(self, now: Merged, gen: int, tables: dict[str, DataFrame], rows: int, dead: int) -> Merged:
         """Write a generation: ``rows`` new rows that count, ``dead`` older ones that no longer do."""

@@ -131,8 +131,12 @@ def start(spark: SparkSession, source: str, out: str, checkpoint: str, config: S
     )
 
 
-def live_index(spark: SparkSession, out: str) -> Index:
+def index_of(now: Merged) -> Index:
     """An index over the rows that count; frequencies are sums over generations."""
-    now = tables(spark, out).now()
-    chunks, n = now.live("chunks"), spark.range(1).select(F.lit(now.n_live).cast("long").alias("n"))
+    chunks, n = now.live("chunks"), now.spark.range(1).select(F.lit(now.n_live).cast("long").alias("n"))
     return Index(chunks, now.live("postings").select("token", "chunk_id", "tf"), document_frequency(now), meta(chunks), n)
+
+
+def live_index(spark: SparkSession, out: str) -> Index:
+    """The index as of the last generation."""
+    return index_of(tables(spark, out).now())

@@ -6,7 +6,7 @@ import pytest
 
 from sextant.operators.index import build
 from sextant.sources import files, generations
-from sextant.streaming import ingest
+from sextant.streaming import ingest, serve
 
 
 def frame(spark, rows):
@@ -108,3 +108,16 @@ def test_nothing(spark, tmp_path, rows):
     out = str(tmp_path / "live")
     ingest.apply_batch(frame(spark, rows), out)
     assert ingest.live_index(spark, out).postings.count() == 0
+
+
+def test_answers_name_the_version_they_come_from(spark, tmp_path):
+    """An index that changes between two batches shows in the results; a version asked for again is the same."""
+    live, asked, out = (str(tmp_path / x) for x in ("live", "asked", "out"))
+    for i, content in enumerate(("alpha beta", "gamma beta")):
+        ingest.apply_batch(frame(spark, [("a.py", content, i, False), ("b.py", "other text", 0, False), ("c.py", "more", 0, False)]), live)
+        spark.createDataFrame([(i, "alpha"), (10 + i, "beta")], serve.QUERY_SCHEMA).write.mode("append").json(asked)
+        serve.start_live(spark, live, asked, out, str(tmp_path / "progress")).awaitTermination()
+    got = {(r.query_id, r.version) for r in spark.read.parquet(out).collect()}
+    assert got == {(0, 1), (10, 1), (11, 3)}
+    assert ingest.tables(spark, live).now(1).last == 1 and ingest.tables(spark, live).now(77).last == 3
+    assert {r.content for r in ingest.index_of(ingest.tables(spark, live).now(1)).chunks.collect()} == {"alpha beta", "other text", "more"}

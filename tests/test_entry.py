@@ -1,5 +1,6 @@
 """The driver's contract: names, and importing without the optional part."""
 
+import hashlib
 import shutil
 import subprocess
 import sys
@@ -15,6 +16,18 @@ ROOT = Path(__file__).resolve().parent.parent
 SMALL = Path("/root/testdata/sf0.001")
 SIZES = (112, 100, 13)
 PATTERNS = (6, 7)
+#: The first digits of SHA-256 over each list's and pattern's text.
+PINS = {
+    "IGNORED_DIRS": "ccafd5e111953a21",
+    "IGNORED_DIR_SUFFIXES": "00e468d3b7df445e",
+    "IGNORED_DIR_PREFIXES": "0fae534e334c60a5",
+    "CODE_EXTENSIONS": "ab1ac67dacdcb019",
+    "BINARY_EXTENSIONS": "c708d3a96661ee30",
+    "BUILT_IN_PATTERNS": "5cce62c31fd88487",
+    "SYMBOL_PATTERNS": "baa0494e3cb1104f",
+    "CONTEXT_PATTERN": "214229c660a25da0",
+    "CONTEXT_SKIP": "17d25d566b8af35e",
+}
 
 
 def test_every_retrieval_query_has_sql():
@@ -64,3 +77,6 @@ def test_fixed_lists():
     assert (len(rules.IGNORED_DIRS), len(rules.CODE_EXTENSIONS), len(rules.BUILT_IN_PATTERNS)) == SIZES
     assert ".py" in rules.CODE_EXTENSIONS and "node_modules" in rules.IGNORED_DIRS and "Cargo.lock" in rules.BUILT_IN_PATTERNS
     assert (len(text.SYMBOL_PATTERNS), text.CONTEXT_GROUPS) == PATTERNS
+    for name, pin in PINS.items():
+        value = getattr(rules, name, None) or getattr(text, name)
+        assert hashlib.sha256(repr(value).encode()).hexdigest()[:16] == pin, name

@@ -63,10 +63,22 @@ def freed(spark: SparkSession, since: int = 0) -> None:
 
     Only for when no DataFrame that came of them is needed any more.
     """
+    deleted(spark, _written[since:])
+
+
+def written(since: int = 0) -> list[str]:
+    """The tables that ``stored`` wrote and that are not deleted, from the given one on."""
+    return _written[since:]
+
+
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these tables of ``stored``."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for path in paths:
+        if path in _written:
+            _written.remove(path)
+            fs_path = jvm.org.apache.hadoop.fs.Path(path)
+            fs_path.getFileSystem(conf).delete(fs_path, True)
 
 
 @contextmanager

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,35 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def located(docs: DataFrame, name: str) -> DataFrame | None:
+    """``docs`` with a locator of each row, the same in every read, in the column ``name``.
+
+    The locator is a hash of the file's path above the row's place in the file; as many
+    bits are the place's as the longest file needs. None if the rows do not come from
+    Parquet files, have a column named ``_metadata``, or two files share a hash.
+    ``docs`` may be filtered and projected, but a file's row may be in it once at most.
+    """
+    if "_metadata" in {c.lower() for c in docs.columns}:
+        return None
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        files = docs.groupBy(path.alias("path")).agg(F.max(place).alias("last"))
+    except AnalysisException:
+        return None
+    bits = (files.agg(F.max("last")).first()[0] or 0).bit_length()
+    hashed = lambda x: F.shiftrightunsigned(F.xxhash64(x), bits + 1)
+    one = files.agg(F.count(F.lit(1)).alias("files"), F.countDistinct(hashed("path")).alias("hashes")).first()
+    if one.files != one.hashes:
+        return None
+    return docs.withColumn(name, F.shiftleft(hashed(path), bits).bitwiseOR(place))
+
+
+def numbered(docs: DataFrame, name: str, table_name: str, from_files: bool) -> DataFrame:
+    """``docs`` with a locator that stays: of the files' rows where the caller says that they are such, else of a stored copy."""
+    found = located(docs, name) if from_files else None
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), table_name) if found is None else found
+
+
 def joined(rows: DataFrame, facts: DataFrame, on: str, count: str) -> DataFrame:
     """``rows`` joined with ``facts``, a stored table with one row for each key and ``count``, its number of rows.
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import SPACE_CLASS, fresh, id_remainder, joined, stored, text_or_empty
+from sextant.llm.common import SPACE_CLASS, fresh, id_remainder, joined, numbered, stored, text_or_empty
 
 #: Digests that one bucket of the index holds on average.
 BUCKET_KEYS = 2048
@@ -230,14 +230,17 @@ def dedup(docs: DataFrame, in_history: Column | None = None, *more: str) -> Data
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, from_files: bool = False) -> DataFrame:
     """One row of each group, with all its columns as they came.
 
     Rows that repeat the doc_id (or have none) and text of the one that stays are
     told apart by a locator; the first of them stays.
+
+    ``from_files`` says that ``docs`` are a Parquet table as read, at most filtered and
+    projected. Its rows are then known by file and place, and no copy of them is stored.
     """
     row = fresh(docs, "_exact_row")
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "exact-rows")
+    rows = numbered(docs, row, "exact-rows", from_files)
     kept = dedup(rows, None, row).where("kept")
     stay = kept.groupBy("text_sha256").agg(F.min(row).alias(row)).select(row)
     return rows.join(stay, row, "left_semi").select(*docs.columns)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import WORD_CLASS, fresh, stored
+from sextant.llm.common import WORD_CLASS, fresh, numbered, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: The mix's words over all words, and the most copies of a document.
@@ -162,15 +162,18 @@ def mix(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def repeat(docs: DataFrame, copies: str = "mix_copies") -> DataFrame:
+def repeat(docs: DataFrame, copies: str = "mix_copies", from_files: bool = False) -> DataFrame:
     """``docs`` with each document as often as the mix takes it, none if never.
 
     Documents without words are never taken. The number of a copy is in the column
     named, which must be new; the other columns are as they came.
+
+    ``from_files`` says that ``docs`` are a Parquet table as read, at most filtered and
+    projected. Its rows are then known by file and place, and no copy of them is stored.
     """
     if copies.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs already has a column named {copies}")
     row, n = fresh(docs, "_mix_row"), fresh(docs, "_mix_copies")
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    rows = numbered(docs, row, "mix-rows", from_files)
     kept = taken(rows, F.col(row)).where("copies > 0 AND size > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(n))
     return rows.join(kept, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(row, n)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType
 
 from sextant.llm import simhash
-from sextant.llm.common import bounded_batches, fresh, joined, stored, text_or_empty
+from sextant.llm.common import bounded_batches, fresh, joined, numbered, stored, text_or_empty
 
 SHINGLE_WORDS = 5
 #: Least Jaccard similarity of a link, as a fraction of whole numbers.
@@ -268,10 +268,14 @@ def components(rows: DataFrame) -> DataFrame:
     return simhash.stars(found.unionByName(more))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the smallest doc_id, with all its columns."""
+def keep_first(docs: DataFrame, from_files: bool = False) -> DataFrame:
+    """One document of each component, the smallest doc_id, with all its columns.
+
+    ``from_files`` says that ``docs`` are a Parquet table as read, at most filtered and
+    projected. Its rows are then known by file and place, and no copy of them is stored.
+    """
     row = fresh(docs, _ROW)
-    held = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    held = numbered(docs, row, "near-rows", from_files)
     rows = held.select(F.col(row).alias(_ROW), "doc_id", "text")
     linked = components(rows)
     members = linked.select(F.col("u").alias(_ROW), "v").unionByName(linked.select(F.col("v").alias(_ROW), "v").distinct())

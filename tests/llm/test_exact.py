@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.llm import exact_dedup, mixing, sharding, warc
+from sextant.llm import common, exact_dedup, mixing, near_dedup, sharding, warc
 
 DOCS = "doc_id long, text string, source string, digest string, bucket string"
 PAGES = "page_id long, url string, html string"
@@ -251,3 +251,26 @@ def test_repeat_of_equal_rows_and_clashing_names(spark):
     assert out.count() == sum(r.taken // r.size for r in mixing.mix(df).collect() if r.size)
     with pytest.raises(ValueError):
         mixing.repeat(df, "U")
+
+
+def test_rows_of_files_have_locators(spark, tmp_path):
+    """Locators of file rows are unique and stay; rows that have none are stored instead."""
+    path = str(tmp_path / "rows.parquet")
+    df = docs(spark, [(i % 40 if i % 9 else None, f"text {i % 50}", "s") for i in range(300)])
+    df.repartition(7).write.parquet(path)
+    files = spark.read.parquet(path)
+    at = lambda: {(r.row, r.text) for r in common.located(files, "row").collect()}
+    first = at()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    assert at() == first and len({row for row, _ in first}) == 300 and min(first)[0] >= 0
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert common.located(df, "row") is None
+    assert common.located(files.withColumn("_metadata", F.lit("own")), "row") is None
+    empty = spark.read.schema(files.schema).parquet(path).where("doc_id > 1000")
+    assert common.located(empty, "row").count() == 0
+    for keep in (exact_dedup.keep_first, near_dedup.keep_first):
+        kept = [sorted(map(str, keep(x, from_files=True).collect())) for x in (files, df)]
+        assert kept[0] and kept[0] == kept[1]
+        assert keep(empty, from_files=True).count() == 0
+    m1, m2 = (Counter(r.doc_id for r in mixing.repeat(x, "copy", from_files=True).collect()) for x in (files, df))
+    assert sum(m1.values()) == sum(m2.values()) > 0

@@ -51,19 +51,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the longest original, then the smallest doc_id."""
-    return exact_dedup.keep_first(docs)
+    return exact_dedup.keep_first(docs, from_files=True)
 
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group linked by five-word shingles alike to 0.8."""
-    return near_dedup.keep_first(docs)
+    return near_dedup.keep_first(docs, from_files=True)
 
 
 @_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents until each source has its target of words."""
-    return mixing.repeat(docs, fresh(docs, "_copy")).select(*docs.columns)
+    return mixing.repeat(docs, fresh(docs, "_copy"), from_files=True).select(*docs.columns)
 
 
 @_stage

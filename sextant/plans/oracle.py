@@ -384,6 +384,7 @@ def oracle_sql() -> dict[str, str]:
         "filename_bonus": f"""WITH {INDEX}, f AS (SELECT file_path, {tokens("string_split(file_path, '/')[-1]")} AS q FROM chunk_meta WHERE chunk_index = 0)
             SELECT chunk_id, {_size('list_intersect(q, file_name_tokens)')} AS matches FROM f JOIN chunk_meta USING (file_path)""",
         "vector_search_topk": f"WITH {VECTORS} SELECT query_id, id, rank, round(cosine, 6) AS cosine FROM near WHERE rank <= {DEFAULT.top_k}",
+        "vector_search_pruned": f"WITH {VECTORS} SELECT query_id, id, rank, round(cosine, 6) AS cosine FROM near WHERE rank <= {DEFAULT.top_k}",
         "mrl_truncate": f"""WITH {VECTORS}, s AS (SELECT id, vec[1:16] AS v FROM vecs)
             SELECT id, unnest(range(16)) AS at, round(unnest(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) AS x FROM s""",
         "rrf_merge": """WITH a AS (

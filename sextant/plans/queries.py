@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sextant.config import DEFAULT, SearchConfig
 from sextant.functions import text, vectors
 from sextant.operators import evaluate as ev
-from sextant.operators import blocks, explain, fusion, lexical, state, vector_search
+from sextant.operators import blocks, explain, fusion, lexical, pivots, state, vector_search
 from sextant.operators import index as ix
 from sextant.plans import corpus, report
 from sextant.sources import commits as commit_source
@@ -156,6 +156,12 @@ def vector_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "id", "rank", r6("cosine").alias("cosine"))
 
 
+def vector_search_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same nearest vectors by cells around pivots, of which only those in reach are scored."""
+    rows, _ = pivots.search(pivots.build(corpus.vectors(spark, d)), corpus.query_vectors(spark, d), DEFAULT.top_k)
+    return rows.select("query_id", "id", "rank", r6("cosine").alias("cosine"))
+
+
 def vector_scores(spark: SparkSession, d: str) -> DataFrame:
     """The cosine of every vector to every query vector: the ranking without a limit."""
     rows = vector_search.search(corpus.vectors(spark, d), corpus.query_vectors(spark, d), None)
@@ -448,7 +454,7 @@ def server_report(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     scan_filter, ignore_rules, recency_cap, chunk_lines, chunk_pages, camel_split, tokenize_tf, doc_freq_idf, symbols,
     enclosing_context, identifier_query, lexical_search, lexical_search_batch, lexical_search_uncapped,
-    lexical_search_items, candidate_prune, phrase_bonus, filename_bonus, vector_search_topk, mrl_truncate, rrf_merge,
+    lexical_search_items, candidate_prune, phrase_bonus, filename_bonus, vector_search_topk, vector_search_pruned, mrl_truncate, rrf_merge,
     hybrid_rerank, embed_text, cache_misses, cache_sweep, diff_filter, diff_stats, commit_search, commit_vector_search,
     explain_tokens, explain_results, coverage_bands, eval_report, eval_mean, vector_eval, state_diff, sync_index,
     corpus_summary, hybrid_search, search_report, vector_scores, cache_upsert, embed_cached, utf8_files,

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.config import DEFAULT, SearchConfig
-from sextant.operators.index import Index, clustered, meta, term_frequency
+from sextant.operators.index import Index, dealt, meta, parts, term_frequency
 from sextant.operators.vector_search import embed_text, keyed, sweep
 from sextant.sources.files import chunk_lines, scan
-from sextant.sources.tables import stored
+from sextant.sources.tables import shared_dir, stored
 
 
 def snapshot(files: DataFrame) -> DataFrame:
@@ -41,7 +43,8 @@ def sync(index: Index, previous: DataFrame, files: DataFrame, config: SearchConf
     touched = stored(changes.where("state <> 'unchanged'").select("file_path"), "touched")
     fresh = changes.where("state IN ('added', 'changed')").select(F.col("file_path").alias("path"))
     new = stored(chunk_lines(files.join(fresh, "path", "left_semi"), config), "fresh-chunks")
-    came = stored(clustered(term_frequency(new, "chunk_id", "content").select("token", "chunk_id", "tf")), "fresh-postings")
+    tf = term_frequency(dealt(new, parts(new)), "chunk_id", "content")
+    came = stored(tf.select("token", "chunk_id", "tf").sortWithinPartitions("token"), "fresh-postings")
     gone = stored(index.chunk_meta.join(touched, "file_path", "left_semi").select("chunk_id"), "gone-chunks")
     went = index.postings.join(gone, "chunk_id", "left_semi").select("token", F.lit(-1).cast("long").alias("df"))
     deltas = came.select("token", F.lit(1).cast("long").alias("df")).unionByName(went).groupBy("token").agg(F.sum("df").alias("df"))
@@ -61,7 +64,10 @@ def sync(index: Index, previous: DataFrame, files: DataFrame, config: SearchConf
 
 def compacted(index: Index) -> Index:
     """The same index with all tables written anew."""
-    return Index(**{name: stored(clustered(df) if name == "postings" else df, name) for name in Index.TABLES for df in [getattr(index, name)]})
+    spark = index.chunks.sparkSession
+    path = f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
+    index.write(path)
+    return Index.read(spark, path)
 
 
 def sync_tree(index: Index, previous: DataFrame, files: DataFrame, cache: DataFrame, config: SearchConfig = DEFAULT) -> tuple[Index, DataFrame, DataFrame]:

@@ -248,3 +248,33 @@ def test_report_previews_and_stored_tables(spark, index):
     tables.freed(spark)
     assert tables.read_or_empty(spark, path, "query_id long").count() == 0 and not tables._written
     tables._written.extend(kept)
+
+
+def test_uncapped_search_shuffles_no_postings(spark, index):
+    """Only rows that may lead are dealt out; postings, contents and candidates stay in their buckets."""
+    queries = spark.createDataFrame([(1, "user token"), (2, "fn login")], serve.QUERY_SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = lexical.search(index, queries, SearchConfig(candidate_cap=None))._jdf.queryExecution().executedPlan().toString().splitlines()
+        scans = [i for i, line in enumerate(lines) if "Bucketed: true" in line]
+        shuffles = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+        assert len(scans) == 3 and all(i < scans[0] for i in shuffles)
+        assert any("WindowGroupLimit" in line for line in lines[shuffles[-1] :])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_uncapped_search_with_files_of_many_chunks(spark):
+    """Chunks of one file that fill the first places leave room for the other files."""
+    long = "\n".join(["user token user"] * 400)
+    rows = [("a/long.py", long, len(long), 1), *[(f"b/{i}.py", "user" if i % 2 else "user token", 4, i) for i in range(8)]]
+    many = build(files.chunk_lines(frame(spark, rows)), 3)
+    got = found(many, spark, "user token", candidate_cap=None, top_k=6)
+    assert len(got) == 6 and got == found(many, spark, "user token", candidate_cap=1000, top_k=6)
+
+
+def test_parts_of_words_are_cleaned_of_all_signs(spark):
+    from sextant.functions.text import word_tokens
+
+    rows = spark.createDataFrame([("it's_a(b)",), ("don't",), ("<name>.x1",), ("Word,",), ("OK.",), ("é",), ("x",)], "w string")
+    assert [r[0] for r in rows.select(word_tokens(F.col("w"))).collect()] == [["its", "ab", "its_ab"], ["dont"], ["name", "x1", "namex1"], ["word,", "word"], ["ok.", "ok"], ["é"], []]

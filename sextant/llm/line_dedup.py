@@ -6,7 +6,7 @@ form that lines of at least MIN_TEXTS different texts have is a template of its
 own. In a leaf of several forms of at least LEAF_TEXTS different texts, further
 fields are generalised: the commonest token of each place makes a template, and
 the forms that agree with it in enough places belong to it; from those left over
-comes the leaf's next template, up to LEAF_TEMPLATES. Lines of templates that recur
+comes the leaf's next template, until they are too few or none agrees. Lines of templates that recur
 (generalised ones in LEAF_TEXTS different texts) are dropped from all documents,
 the first time too; the rest of each text stays as it was.
 
@@ -24,6 +24,11 @@ table gives none.
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +39,10 @@ DEPTH = 4
 #: Different texts that a form must recur in to be dropped, and a generalised template.
 MIN_TEXTS = 2
 LEAF_TEXTS = 5
-#: Generalised templates of a leaf.
+#: Generalised templates of every leaf that are made by passes over all leaves.
 LEAF_TEMPLATES = 3
+#: Forms of a leaf up to which one task makes all its further templates.
+TASK_FORMS = 2048
 #: Share of places in which a line must agree with its leaf's template.
 AGREE = 0.8
 FIELD = "<*>"
@@ -83,17 +90,52 @@ def _counted(rows: DataFrame, *key: str) -> DataFrame:
     return by_text.groupBy(*key).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_lines"))
 
 
+def _further(first: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """All templates of what is left of one leaf, numbered from ``first`` on, by the rule of a pass."""
+
+    def further(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left = [(k, int(n), list(tokens)) for k, n, tokens in zip(rows["form_key"], rows["texts"], rows["tokens"])]
+        forms, templates, number = [], [], first
+        while len(left) > 1 and sum(n for _, n, _ in left) >= LEAF_TEXTS:
+            votes = [Counter() for _ in range(max(len(tokens) for *_, tokens in left))]
+            for _, n, tokens in left:
+                for at, token in enumerate(tokens):
+                    votes[at][token] += n
+            common = [max(v.items(), key=lambda x: (x[1], x[0].encode()))[0] for v in votes]
+            agree = [sum(map(str.__eq__, tokens, common)) >= len(common) * AGREE for *_, tokens in left]
+            if not any(agree):
+                break
+            mine = [k for (k, *_), a in zip(left, agree) if a]
+            forms += mine
+            templates += [number] * len(mine)
+            left = [x for x, a in zip(left, agree) if not a]
+            number += 1
+        # the leaf's number and the template's make one
+        mixed = [((int(key[0]) * 0x9E3779B97F4A7C15 + t * 0xBF58476D1CE4E5B9 + (1 << 63)) % (1 << 64)) - (1 << 63) for t in templates]
+        return pd.DataFrame({"form_key": pd.Series(forms, dtype=object), "template": pd.Series(mixed, dtype="int64")})
+
+    return further
+
+
 def leaf_templates(forms: DataFrame) -> DataFrame:
     """(form_key, template) of the forms that belong to a template of their leaf with other forms.
 
     ``forms`` has leaf, form_key, form and texts. Each pass makes a template of
-    every leaf that has forms of enough texts left.
+    every leaf that has forms of enough texts left. After LEAF_TEMPLATES of them, what is
+    left of a leaf is finished in one task if it has TASK_FORMS forms at most; larger
+    leaves take further passes until they are as small, or done.
     """
     found = None
     left = forms.select("leaf", "form_key", "texts", F.split("form", " ").alias("tokens"))
-    for i in range(LEAF_TEMPLATES):
+    for i in itertools.count():
         wide = left.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("texts").alias("all")).where((F.col("forms") > 1) & (F.col("all") >= LEAF_TEXTS))
         wide = stored(wide.select("leaf", "forms"), "line-wide-leaves")
+        if i >= LEAF_TEMPLATES:
+            few = left.join(wide.where(F.col("forms") <= TASK_FORMS), "leaf", "left_semi")
+            found = found.unionByName(stored(few.groupBy("leaf").applyInPandas(_further(i), "form_key binary, template long"), "line-further"))
+            wide = stored(wide.where(F.col("forms") > TASK_FORMS), "line-large-leaves")
+            if wide.isEmpty():
+                return found
         left = stored(joined(left, wide, "leaf", "forms"), "line-leaf-forms")
         places = left.select("leaf", "texts", F.posexplode("tokens").alias("at", "token"))
         votes = places.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("votes"))
@@ -105,8 +147,9 @@ def leaf_templates(forms: DataFrame) -> DataFrame:
         placed = stored(met.withColumn("in", F.size(same) >= F.size("common") * F.lit(AGREE)), "line-agreeing")
         mine = placed.where("in").select("form_key", F.xxhash64("leaf", F.lit(i)).alias("template"))
         found = mine if found is None else found.unionByName(mine)
-        left = placed.where("NOT in").select("leaf", "form_key", "texts", "tokens")
-    return found
+        # where none agreed, none would in the next pass
+        moved = placed.where("in").select("leaf").distinct()
+        left = placed.where("NOT in").select("leaf", "form_key", "texts", "tokens").join(moved, "leaf", "left_semi")
 
 
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

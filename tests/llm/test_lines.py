@@ -120,3 +120,14 @@ def test_many_lines_and_clashing_names(spark):
     assert out.columns == [*df.columns, "n_lines_", "n_dropped_"]
     for r in out.collect():
         assert (r.n_lines, r.n_dropped, r.n_lines_, r.n_dropped_) == ("a", "d", 80_000, 40_000) and "shared" not in r.text and r.text.count("own") == 40_000
+
+
+@pytest.mark.parametrize("task_forms", [2048, 1])
+def test_a_leaf_has_as_many_templates_as_recur(spark, monkeypatch, task_forms):
+    """Seven kinds of lines with the same beginning: all go, not those of three templates alone."""
+    monkeypatch.setattr(line_dedup, "TASK_FORMS", task_forms)
+    kinds = ["abcdefgh"[i] for i in range(7)]
+    body = lambda k: " ".join(f"{k}{c}" for c in "pqrstuvwxyzpqrstuvwxyz")
+    texts = [f"the same four words {body(k)} {'mnoqrs'[i]}end\nkept {k} {'mnoqrs'[i]}" for k in kinds for i in range(6)]
+    got = [r.text for r in line_dedup.clean(frame(spark, texts)).collect()]
+    assert sorted(got) == sorted(f"kept {k} {'mnoqrs'[i]}" for k in kinds for i in range(6))

@@ -278,3 +278,14 @@ def test_parts_of_words_are_cleaned_of_all_signs(spark):
 
     rows = spark.createDataFrame([("it's_a(b)",), ("don't",), ("<name>.x1",), ("Word,",), ("OK.",), ("é",), ("x",)], "w string")
     assert [r[0] for r in rows.select(word_tokens(F.col("w"))).collect()] == [["its", "ab", "its_ab"], ["dont"], ["name", "x1", "namex1"], ["word,", "word"], ["ok.", "ok"], ["é"], []]
+
+
+def test_rerank_lists_no_more_of_a_label_than_it_shows(spark, tmp_path):
+    """The join of queries with the items of their label has a few rows for each query, however large the label is."""
+    from sextant.plans import queries as plan_queries
+
+    spark.createDataFrame([(i, [1.0, float(i)], "a") for i in range(1000)], "vec_id long, embedding array<double>, label string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = plan_queries.hybrid_rerank(spark, str(tmp_path))
+    assert found.count() == 20 * plan_queries.RERANK_DEPTH
+    lines = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(label" in lines  # cut by label before queries meet it

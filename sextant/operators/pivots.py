@@ -34,9 +34,10 @@ MOST_CELLS = 1024
 ROUNDS = 6
 #: Rings that the angles from 0 to pi fall into.
 RINGS = 64
-#: Vectors of a part of a ring, on average, and queries bounded at once.
+#: Vectors of a part of a ring, on average, queries scored at once, and bounds (of queries to rings) worked out at once.
 PART_ROWS = 8192
 QUERY_BLOCK = 64
+BOUNDS = 1 << 20
 #: What angles and cosines may be off by.
 ANGLE_SLACK = 1e-6
 COSINE_SLACK = 1e-8
@@ -125,16 +126,17 @@ def _bounds(units: np.ndarray, pivots: np.ndarray, rings: pd.DataFrame) -> np.nd
 
 
 def _wanted(asked: DataFrame, index: PivotIndex, k: int, first: bool) -> DataFrame:
-    """(query_id, unit, block): the parts that hold k vectors at the best bounds, or all others that reach ``least``."""
+    """(block, at): parts with the places of the queries that want them: those that hold k vectors at the best bounds, or all others that reach ``least``."""
     shared = asked.sparkSession.sparkContext.broadcast((index.pivots, index.rings.orderBy("cell", "ring").toPandas()))
 
     def want(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivots, rings = shared.value
         n, parts = rings["n"].to_numpy(), rings["parts"].to_numpy()
         base = _block(rings["cell"].to_numpy(np.int64), rings["ring"].to_numpy(), 0)
+        step = max(1, BOUNDS // max(1, len(rings)))
         for pdf in batches:
-            for at in range(0, len(pdf) if len(rings) else 0, QUERY_BLOCK):
-                some = pdf.iloc[at : at + QUERY_BLOCK]
+            for at in range(0, len(pdf) if len(rings) else 0, step):
+                some = pdf.iloc[at : at + step]
                 bounds = _bounds(np.stack(some["unit"].to_numpy()), pivots, rings)
                 order = np.argsort(-bounds, axis=1, kind="stable")
                 before = np.cumsum(n[order], axis=1) - n[order]
@@ -142,32 +144,49 @@ def _wanted(asked: DataFrame, index: PivotIndex, k: int, first: bool) -> DataFra
                 np.put_along_axis(take, order, before < k, axis=1)
                 if not first:
                     take = ~take & (bounds >= some["least"].to_numpy()[:, None] - COSINE_SLACK)
-                q, r = np.nonzero(take)
-                place = np.repeat(np.arange(len(q)), parts[r])
-                nth = np.arange(len(place)) - np.repeat(np.cumsum(parts[r]) - parts[r], parts[r])
-                held = some.iloc[q[place]]
-                yield pd.DataFrame({"query_id": held["query_id"].to_numpy(), "unit": held["unit"].to_numpy(), "block": base[r[place]] + nth})
+                r, q = np.nonzero(take.T)
+                r, starts = np.unique(r, return_index=True)
+                places = np.split(some["at"].to_numpy()[q], starts[1:]) if len(r) else []
+                nth = np.arange(parts[r].sum()) - np.repeat(np.cumsum(parts[r]) - parts[r], parts[r])
+                held = np.repeat(np.arange(len(r)), parts[r])
+                yield pd.DataFrame({"block": base[r[held]] + nth, "at": [places[i] for i in held]})
+
+    return asked.mapInPandas(want, "block long, at array<long>")
 
-    kind = asked.schema["query_id"].dataType.simpleString()
-    return asked.mapInPandas(want, f"query_id {kind}, unit array<double>, block long")
 
+def _scored(wanted: DataFrame, asked: DataFrame, index: PivotIndex, k: int) -> DataFrame:
+    """(query_id, id, cosine): the best k of each part for each query that wants it, stored.
 
-def _scored(wanted: DataFrame, index: PivotIndex, k: int) -> DataFrame:
-    """(query_id, id, cosine): the best k of each part for each query that wants it, stored."""
+    The queries of a pass go to all tasks; of those with a ``least``, only what reaches it is kept.
+    """
+    rows = asked.orderBy("at").collect()
+    least = np.array([r["least"] if "least" in asked.columns else -np.inf for r in rows])
+    units = np.array([r["unit"] for r in rows], dtype=np.float64)
+    shared = asked.sparkSession.sparkContext.broadcast((np.array([r["at"] for r in rows]), np.array([r["query_id"] for r in rows], dtype=object), units, least))
 
     def score(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(items):
             return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
-        cosines = np.stack(asked["unit"].to_numpy()) @ np.stack(items["unit"].to_numpy()).T
-        near = np.round(cosines, 9)
-        last = min(k, len(items)) - 1
-        q, i = np.nonzero(near >= -np.partition(-near, last, axis=1)[:, last : last + 1])
-        found = pd.DataFrame({"query_id": asked["query_id"].to_numpy()[q], "id": items["id"].to_numpy()[i], "cosine": cosines[q, i]})
-        return _trimmed([found], k)[0]
-
-    query, item = (frame.schema[name].dataType.simpleString() for frame, name in ((wanted, "query_id"), (index.items, "id")))
+        places, names, queries, enough = shared.value
+        every = np.searchsorted(places, np.concatenate(asked["at"].to_numpy()))
+        own, vectors = items["id"].to_numpy(), np.stack(items["unit"].to_numpy()).T
+        last, best = min(k, len(items)) - 1, []
+        for start in range(0, len(every), QUERY_BLOCK):
+            some = every[start : start + QUERY_BLOCK]
+            cosines = queries[some] @ vectors
+            near = np.round(cosines, 9)
+            kth = -np.partition(-near, last, axis=1)[:, last : last + 1]
+            q, i = np.nonzero(near >= np.maximum(kth, enough[some][:, None]))
+            best.append(pd.DataFrame({"query_id": names[some[q]], "id": own[i], "cosine": cosines[q, i]}))
+            if sum(map(len, best)) > 8 * k * len(every):
+                best = _trimmed(best, k)
+        return _trimmed(best, k)[0]
+
+    query, item = (frame.schema[name].dataType.simpleString() for frame, name in ((asked, "query_id"), (index.items, "id")))
     items = index.items.join(wanted.select("block").distinct(), "block", "left_semi")
-    met = wanted.groupBy("block").cogroup(items.groupBy("block"))
+    # a number of tasks given, as their work is in the products and not in the bytes they read
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = wanted.repartition(tasks, "block").groupBy("block").cogroup(items.repartition(tasks, "block").groupBy("block"))
     return stored(met.applyInPandas(score, f"query_id {query}, id {item}, cosine double"), "pivot-scores")
 
 
@@ -190,16 +209,18 @@ def search(index: PivotIndex, query_vectors: DataFrame, k: int) -> tuple[DataFra
                 yield pd.DataFrame({"query_id": pdf["query_id"], "unit": list(_unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64)))})
 
     kind = asked.schema["query_id"].dataType.simpleString()
-    asked = stored(asked.mapInPandas(units, f"query_id {kind}, unit array<double>"), "pivot-queries")
+    asked = asked.mapInPandas(units, f"query_id {kind}, unit array<double>").withColumn("at", F.monotonically_increasing_id())
+    asked = stored(asked, "pivot-queries")  # numbered once
     found, wanted = [], []
     for i in range(passes):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
         first = stored(_wanted(part, index, k, True), "pivot-first")
-        near = _scored(first, index, k)
+        near = _scored(first, part, index, k)
         least = _ranked(near, k).where(F.col("rank") == k).select("query_id", F.round("cosine", 9).alias("least"))
         # a query that has met fewer than k vectors has met all
-        more = stored(_wanted(part.join(least, "query_id"), index, k, False), "pivot-more")
-        found += [near, _scored(more, index, k)]
-        wanted += [first.select("query_id", "block"), more.select("query_id", "block")]
-    both = reduce(DataFrame.unionByName, wanted).join(index.items.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block")
+        part = stored(part.join(least, "query_id"), "pivot-least")
+        more = stored(_wanted(part, index, k, False), "pivot-more")
+        found += [near, _scored(more, part, index, k)]
+        wanted += [first, more]
+    both = reduce(DataFrame.unionByName, wanted).select("block", F.explode("at").alias("at")).join(asked.select("query_id", "at"), "at").join(index.items.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block")
     return _ranked(reduce(DataFrame.unionByName, found), k), both.groupBy("query_id").agg(F.sum("n").alias("scored"))

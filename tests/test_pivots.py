@@ -1,6 +1,7 @@
 import numpy as np
 
 from sextant.operators import pivots, vector_search
+from sextant.sources import tables
 
 ITEMS = "id long, vec array<double>"
 QUERIES = "query_id long, vec array<double>"
@@ -33,3 +34,26 @@ def test_few_and_none(spark):
     got, _ = pivots.search(pivots.build(items), asked, 10)
     assert [(r.id, r["rank"], round(r.cosine, 9)) for r in got.orderBy("rank").collect()] == [(1, 1, 1.0), (3, 2, 0.6), (2, 3, 0.0)]
     assert pivots.search(pivots.build(items.where("id > 9")), asked, 3)[0].count() == 0
+
+
+def test_pairs_carry_no_vectors_and_late_scores_reach_the_kth_best(spark, monkeypatch):
+    """What grows with queries times rings are numbers; of the second pass only rows that may be among the k best are stored."""
+    kept = []
+
+    def stored(df, name):
+        kept.append((name, tables.stored(df, name)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(pivots, "stored", stored)
+    monkeypatch.setattr(pivots, "BOUNDS", 8)
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(400, 24)).tolist()
+    items = spark.createDataFrame(list(enumerate(vecs)), ITEMS)
+    asked = spark.createDataFrame([(i, vecs[i]) for i in range(30)], QUERIES)
+    got, _ = pivots.search(pivots.build(items), asked, 5)
+    key = lambda r: (r.query_id, r["rank"], r.id, round(r.cosine, 8))
+    assert sorted(map(key, got.collect())) == sorted(map(key, vector_search.search(items, asked, 5).collect()))
+    assert all(df.columns == ["block", "at"] for name, df in kept if name in ("pivot-first", "pivot-more"))
+    least = dict(kept)["pivot-least"].select("query_id", "least")
+    late = dict(kept)["pivot-scores"]
+    assert late.count() and late.join(least, "query_id").where("round(cosine, 9) < least").count() == 0

@@ -289,3 +289,10 @@ def test_rerank_lists_no_more_of_a_label_than_it_shows(spark, tmp_path):
     assert found.count() == 20 * plan_queries.RERANK_DEPTH
     lines = found._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(label" in lines  # cut by label before queries meet it
+
+
+def test_judgments_are_worked_out_once(spark):
+    from sextant.plans import corpus
+
+    rows = corpus.qrels(spark, "/root/testdata/sf0.001")
+    assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -291,6 +291,19 @@ def test_rerank_lists_no_more_of_a_label_than_it_shows(spark, tmp_path):
     assert "windowspecdefinition(label" in lines  # cut by label before queries meet it
 
 
+def test_lookups_of_results_shuffle_no_postings(spark, index):
+    """Matches, contents and line counts are met where they lie."""
+    queries = spark.createDataFrame([(1, "user token"), (2, "fn login")], serve.QUERY_SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = explain.explain_results(index, queries)
+        lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+        at = next(i for i, line in enumerate(lines) if "Bucketed: true" in line or "bucketed_" in line)
+        assert "Exchange hashpartitioning(token" not in "\n".join(lines) and any("BroadcastHashJoin [token" in line for line in lines[:at])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_judgments_are_worked_out_once(spark):
     from sextant.plans import corpus
 

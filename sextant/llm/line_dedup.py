@@ -15,8 +15,8 @@ recur: it has no template and stays.
 
 Equal documents count as one text, so copies alone do not make their lines recur.
 Blank lines stay. Null text gives null, empty text stays empty. Lines end at a line
-feed. Only leaves with enough texts go on from the counting pass, counts are partly
-aggregated before they shuffle, and where lines meet the fate of their form, a form
+feed. Only leaves with enough texts go on from the counting pass, and lines of other leaves are left
+out by a filter of bits before they shuffle. Counts are partly aggregated before, and where lines meet the fate of their form, a form
 that many of them have is split over tasks. Other columns pass through; where one
 has the name of a new column, the new one gets underscores behind it. An empty
 table gives none.
@@ -43,6 +43,9 @@ LEAF_TEXTS = 5
 LEAF_TEMPLATES = 3
 #: Forms of a leaf up to which one task makes all its further templates.
 TASK_FORMS = 2048
+#: Bits of a leaf in the filter of lines, and the most words of 64 bits that it has.
+FILTER_BITS = 16
+FILTER_WORDS = 1 << 20
 #: Share of places in which a line must agree with its leaf's template.
 AGREE = 0.8
 FIELD = "<*>"
@@ -90,6 +93,21 @@ def _counted(rows: DataFrame, *key: str) -> DataFrame:
     return by_text.groupBy(*key).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_lines"))
 
 
+def likely(rows: DataFrame, leaves: DataFrame, most_words: int = FILTER_WORDS) -> DataFrame:
+    """``rows`` without most of those whose leaf is not among ``leaves``, a stored table; none of the others is lost.
+
+    The bits of ``leaves`` are sent to all tasks, in words of 64, some FILTER_BITS for
+    each leaf and ``most_words`` words at most. So the many lines that recur nowhere are
+    left out before any shuffle; an exact join by leaf must follow.
+    """
+    words = 1 << min(leaves.count() * FILTER_BITS // 64, most_words - 1).bit_length()
+    word = F.pmod(F.shiftright("leaf", 6), F.lit(words)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("leaf").bitwiseAND(F.lit(63)).cast("int"))
+    bits = leaves.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    met = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return met.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _further(first: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """All templates of what is left of one leaf, numbered from ``first`` on, by the rule of a pass."""
 
@@ -155,7 +173,7 @@ def leaf_templates(forms: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (text_key, place, form_key) that may be dropped, and the forms (form_key, n_lines) that are; both stored."""
     leaves = stored(_counted(lines(docs), "leaf").where(F.col("texts") >= MIN_TEXTS), "line-leaves")
-    met = joined(lines(docs), leaves.select("leaf", "n_lines"), "leaf", "n_lines").drop("n_lines")
+    met = joined(likely(lines(docs), leaves), leaves.select("leaf", "n_lines"), "leaf", "n_lines").drop("n_lines")
     held = stored(met.withColumn("form_key", text_key(F.col("form"))), "line-forms")
     forms = stored(_counted(held, "leaf", "form_key", "form", "n_tokens"), "line-texts")
     general = stored(leaf_templates(forms.where(F.col("n_tokens") > DEPTH)), "line-general")

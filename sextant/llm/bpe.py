@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -70,10 +70,10 @@ def byte_alphabet() -> dict[str, int]:
 class Lookup:
     """A hash table from whole numbers (not negative) to whole numbers, filled and read by arrays."""
 
-    def __init__(self, room: int, missing: int = -1):
+    def __init__(self, room: int, missing: int = -1, kind: type = np.int64):
         self.missing, self.mask = missing, (1 << (3 * room).bit_length()) - 1
         self.keys = np.full(self.mask + 1, -1, np.int64)
-        self.values = np.full(self.mask + 1, missing, np.int64)
+        self.values = np.full(self.mask + 1, missing, kind)
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Distinct keys that are not in the table yet."""
@@ -132,7 +132,7 @@ class Tokenizer:
         for token in self.ids:
             self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
         self.words = regex.compile(WORD_PATTERN)
-        self.forget()
+        self.release()
 
         self.merges: dict[int, int] = {}  # left * size + right -> rank
         made_by: list[int] = []  # by rank
@@ -343,10 +343,14 @@ class Tokenizer:
 
     def forget(self) -> None:
         """Start the cache of cuts afresh: by hash its number; by number the places of its bytes and tokens."""
-        self.known, self.n_known = Lookup(CACHE_WORDS), 0
+        self.known, self.n_known = Lookup(CACHE_WORDS, kind=np.int32), 0
         self.starts, self.byte_starts = np.zeros(CACHE_WORDS + 1, np.int64), np.zeros(CACHE_WORDS + 1, np.int64)
         self.tokens, self.cut_bytes = np.zeros(1 << 20, np.uint32), np.zeros(CACHE_BYTES, np.uint8)
 
+    def release(self) -> None:
+        """Give the cache's memory back, until texts come again."""
+        self.known = self.tokens = self.cut_bytes = self.starts = self.byte_starts = None
+
     def _encode_cuts(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, number of them for each cut)."""
         words, of = [], []
@@ -433,6 +437,8 @@ class Tokenizer:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if self.known is None:
+            self.forget()
         pieces = [self._pieces(t) for t in texts]
         coded: list[bytes] = []
         for parts in _portions([x for found in pieces for x, _ in found if x]):
@@ -489,15 +495,39 @@ def _portions(texts: list[str]) -> Iterable[list[str]]:
         yield part
 
 
-def encode_column(text: Column, path: str) -> Column:
-    """Ids of the text as binary: little-endian unsigned 32-bit integers."""
+def released(batches: Iterator[pd.Series], path: str) -> Iterator[pd.Series]:
+    """The ids of batches of texts; at their end the worker's cache of cuts is given back.
+
+    Spark keeps idle workers and takes them in turn, so more of them than tasks at
+    once would each hold a cache, through stages of other work too.
+    """
+    coder = tokenizer(path)
+    try:
+        for texts in batches:
+            yield _encoded(coder, texts)
+    finally:
+        coder.release()
+
+
+def _encoded(coder: Tokenizer, texts: pd.Series) -> pd.Series:
+    return pd.Series([ids for part in _portions(texts.fillna("").tolist()) for ids in coder.encode_all(part)], dtype=object)
+
+
+def encode_column(text: Column, path: str, chained: bool = False) -> Column:
+    """Ids of the text as binary: little-endian unsigned 32-bit integers.
+
+    ``chained`` is for ids that another function of the same worker takes; the cache then stays.
+    """
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
-        coder = tokenizer(path)
-        return pd.Series([ids for part in _portions(texts.fillna("").tolist()) for ids in coder.encode_all(part)], dtype=object)
+        return _encoded(tokenizer(path), texts)
+
+    @F.pandas_udf("binary")
+    def encode_alone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return released(batches, path)
 
-    return encode(text)
+    return encode(text) if chained else encode_alone(text)
 
 
 def decode_column(ids: Column, path: str) -> Column:
@@ -511,11 +541,11 @@ def decode_column(ids: Column, path: str) -> Column:
     return decode(ids)
 
 
-def encode(docs: DataFrame, path: str, ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
-    """``docs`` with the ids of ``text`` (binary) and their number."""
+def encode(docs: DataFrame, path: str, ids: str = "token_ids", count: str = "n_tokens", chained: bool = False) -> DataFrame:
+    """``docs`` with the ids of ``text`` (binary) and their number; ``chained`` as for ``encode_column``."""
     bounded_batches(docs.sparkSession)
     ids, count = fresh(docs, ids), fresh(docs, count)
-    out = docs.withColumn(ids, encode_column(F.col("text"), path))
+    out = docs.withColumn(ids, encode_column(F.col("text"), path, chained))
     return out.withColumn(count, (F.octet_length(ids) / F.lit(4)).cast("long"))
 
 
@@ -527,7 +557,7 @@ def decode(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "deco
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of the text decoded from them."""
-    coded = decode(encode(docs.select("doc_id", "text"), path), path)
+    coded = decode(encode(docs.select("doc_id", "text"), path, chained=True), path)
     return coded.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "n_tokens",

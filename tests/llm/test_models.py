@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -89,6 +90,19 @@ def test_bpe_cache_is_bounded_by_bytes(monkeypatch):
     assert coder.byte_starts[coder.n_known] <= len(coder.cut_bytes) == 1 << 20 and len(coder.tokens) <= 2 << 20
 
 
+def test_bpe_gives_its_cache_back_at_the_end_of_a_task():
+    """A worker holds no cache of cuts between tasks; ids are the same before and after."""
+    texts = ["one two three", "", "four  five <|endoftext|> six"]
+    coder = bpe.tokenizer(PATH)
+    for _ in range(2):
+        batches = bpe.released(iter([pd.Series(texts), pd.Series([None, "one nine"])]), PATH)
+        assert list(next(batches)) == library_ids(texts) and coder.known is not None
+        assert list(next(batches)) == library_ids(["", "one nine"])
+        assert list(batches) == []
+        assert all(getattr(coder, held) is None for held in ("known", "tokens", "cut_bytes", "starts", "byte_starts"))
+    assert coder.encode_all(texts) == library_ids(texts)
+
+
 WORDS = {"en": "the and ship thing over water", "fr": "le été où garçon mer eau", "de": "der und schön straße über wasser"}
 
 

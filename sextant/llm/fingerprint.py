@@ -97,42 +97,45 @@ def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def sketched(items: DataFrame, key: list[str]) -> DataFrame:
-    """(key, places, cell, mark, n, k, h): the non-empty cells of sketches of ``items`` (key, places, n, k).
+    """(key, places, cell, n, k, h): the non-empty cells of sketches of ``items`` (key, places, n, k).
 
     n is 1, or -1 for digests that are subtracted.
     """
     each = items.select("*", F.explode(F.array(*[F.lit(j) for j in range(3)])).alias("table"))
     cell = _place(F.col("k"), F.col("table"), F.col("places"))
-    cells = each.select(*key, "places", cell.alias("cell"), F.lit(0).cast("long").alias("mark"), "n", "k", _check(F.col("k")).alias("h"))
+    cells = each.select(*key, "places", cell.alias("cell"), "n", "k", _check(F.col("k")).alias("h"))
     return _summed(cells, key)
 
 
 def _summed(cells: DataFrame, key: list[str]) -> DataFrame:
-    """Cells with equal numbers added; empty ones vanish."""
-    out = cells.groupBy(*key, "places", "cell", "mark").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+    """Cells with equal numbers (and marks, if they have such) added; empty ones vanish."""
+    mark = [c for c in cells.columns if c == "mark"]
+    out = cells.groupBy(*key, "places", "cell", *mark).agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
     return out.where((F.col("cell") == F.lit(_FOUND)) | (F.col("n") != 0) | (F.col("k") != 0) | (F.col("h") != 0))
 
 
 def peel_round(cells: DataFrame, table: int, keep: bool) -> DataFrame:
     """Take out what the pure cells of one sub-table hold; a digest lies in one cell of it.
 
-    A recovered digest becomes a row of its own if ``keep``, else only its count.
+    A recovered digest becomes a row of its own if ``keep``, told apart by its mark,
+    else only its count; then cells have no marks.
     """
     n, k, h, places = (F.col(c) for c in ("n", "k", "h", "places"))
     first = places * F.lit(table)
     here = (F.col("cell") >= first) & (F.col("cell") < first + places)
     pure = here & (F.abs(n) == 1) & (h == _check(k)) & (F.col("cell") == _place(k, table, places))
     zero = F.lit(0).cast("long")
-    row = lambda cell, mark, n, k, h: F.struct(cell.alias("cell"), mark.alias("mark"), n.alias("n"), k.alias("k"), h.alias("h"))
+    row = lambda cell, mark, n, k, h: F.struct(cell.alias("cell"), *([mark.alias("mark")] if keep else []), n.alias("n"), k.alias("k"), h.alias("h"))
     found = row(F.lit(_FOUND), k, n, k, h) if keep else row(F.lit(_FOUND), zero, F.lit(1), zero, zero)
     others = [row(_place(k, j, places), zero, -n, k, h) for j in range(3) if j != table]
-    stays = row(F.col("cell"), F.col("mark"), n, k, h)
+    stays = row(F.col("cell"), F.col("mark") if keep else zero, n, k, h)
     moved = cells.select("rid", "pair", "places", F.explode(F.when(pure, F.array(found, *others)).otherwise(F.array(stays))).alias("c"))
     return _summed(moved.select("rid", "pair", "places", "c.*"), ["rid", "pair"])
 
 
 def peeled(cells: DataFrame, keep: bool, rounds: int = ROUNDS) -> DataFrame:
     """(rid, pair, places, bad, d) or with ``keep`` (rid, pair, k, n, bad), stored; bad is 1 if cells are left."""
+    cells = cells.withColumn("mark", F.lit(0).cast("long")) if keep else cells
     for i in range(rounds):
         cells = peel_round(cells, i % 3, keep)
     left = F.max((F.col("cell") != F.lit(_FOUND)).cast("int"))
@@ -211,7 +214,7 @@ def _side_cells(pairs: DataFrame, name: str, sign: int, pair: int, places: Colum
     cells = pairs.select("rid", F.lit(pair).alias("pair"), places.alias("places"), own.alias("own"), F.explode(_read_cells(F.col(name))).alias("c"))
     table = F.floor(F.col("c.cell") / F.col("own")).cast("int")
     folded = table * F.col("places") + F.pmod(F.col("c.cell") % F.col("own"), F.col("places"))
-    return cells.select("rid", "pair", "places", folded.cast("int").alias("cell"), F.lit(0).cast("long").alias("mark"), (F.col("c.n") * F.lit(sign)).alias("n"), "c.k", "c.h")
+    return cells.select("rid", "pair", "places", folded.cast("int").alias("cell"), (F.col("c.n") * F.lit(sign)).alias("n"), "c.k", "c.h")
 
 
 def compare(pairs: DataFrame, keep: bool = False) -> DataFrame:

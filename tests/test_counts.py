@@ -21,7 +21,8 @@ def test_counts_are_those_of_the_columns(spark):
     around = [f"{c} {c}{c} a{c} {c}b A{c} {c}B a{c}b aB{c}C AB{c}c x{c}Yz {c}Ab_{c} -{c}. 1{c}" for c in chars]
     draw = random.Random(7)
     mixed = ["".join(draw.choices("abABzZ09éÉßŸ-_.,!()'\" \t\n\x1c\x85İ’", k=120)) for _ in range(400)]
-    texts = [*around, *mixed, None, "", " \x1c ", "the THE!! the. The, THE"]
+    spaces = [f"\x1c a{chr(i)}b" for i in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    texts = [*around, *spaces, *mixed, None, "", " \x1c ", "the THE!! the. The, THE"]
     items = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
     assert rows(term_frequency(items, "k", "t")) == rows(by_columns(items))
 

@@ -1,11 +1,14 @@
 """Versions in any order, deletions, and tables merged from generations."""
 
 import random
+from pathlib import Path
 
 import pytest
 
+from sextant.operators import index as index_module
 from sextant.operators.index import build
 from sextant.sources import files, generations
+from sextant.sources.tables import shared_dir
 from sextant.streaming import ingest, serve
 
 
@@ -121,3 +124,31 @@ def test_answers_name_the_version_they_come_from(spark, tmp_path):
     assert got == {(0, 1), (10, 1), (11, 3)}
     assert ingest.tables(spark, live).now(1).last == 1 and ingest.tables(spark, live).now(77).last == 3
     assert {r.content for r in ingest.index_of(ingest.tables(spark, live).now(1)).chunks.collect()} == {"alpha beta", "other text", "more"}
+
+
+def shared(spark):
+    return {p.name for p in Path(shared_dir(spark).removeprefix("file://")).iterdir()}
+
+
+def test_a_stream_leaves_its_tables_only(spark, tmp_path):
+    """Neither files, chunks nor postings of a batch stay beside the generation they went to."""
+    source, out, before = str(tmp_path / "in"), str(tmp_path / "live"), shared(spark)
+    for batch in BATCHES[:2]:
+        frame(spark, batch).write.mode("append").parquet(source)
+        ingest.start(spark, source, out, str(tmp_path / "progress")).awaitTermination()
+    assert shared(spark) == before
+    assert {p.name for p in Path(out).iterdir()} == {"chunks", "postings", "doc_freq", "touched", "gone", "commits"}
+    assert "file_path" not in spark.read.parquet(f"{out}/postings").columns
+
+
+def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """A small first batch does not fix the size of buckets: a compaction makes more."""
+    monkeypatch.setattr(index_module, "PART_BYTES", 30)
+    out, seen = str(tmp_path / "live"), []
+    for i, n in enumerate((1, 40)):
+        batch = [(f"{i}_{k}.py", f"word{k} and some more words", i, False) for k in range(n)]
+        ingest.apply_batch(frame(spark, batch), out)
+        seen += batch
+    commits = ingest.tables(spark, out).now().commits
+    assert [(c.gen, c.buckets) for c in commits] == [(4, 36)]
+    assert as_sets(ingest.live_index(spark, out)) == rebuilt(spark, seen)

@@ -141,6 +141,27 @@ def test_a_stream_leaves_its_tables_only(spark, tmp_path):
     assert "file_path" not in spark.read.parquet(f"{out}/postings").columns
 
 
+def shuffled(spark):
+    """Bytes written to shuffles by now."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_a_stream_shuffles_contents_once(spark, tmp_path):
+    """Late and deleted versions, and copies in two source files, leave each file once; the folder's name has a space."""
+    rng, source, out = random.Random(5), str(tmp_path / "in here"), str(tmp_path / "live")
+    noise = lambda: "".join(rng.choices("!#$%&()*+,/:;<=>?@[]^{|}~", k=20_000))  # noqa: E731  # no tokens, hard to compress
+    first = [(f"{i}.py", noise(), 10, False) for i in range(60)]
+    later = [(p, noise(), 9, False) for p, *_ in first[:20]] + [(p, None, 11, True) for p, *_ in first[20:30]] + [(p, noise(), 12, False) for p, *_ in first[30:]]
+    for batch, copies in ((first, 2), (later, 1)):
+        before, n_bytes = shuffled(spark), copies * sum(len(c or "") for _, c, *_ in batch)
+        for _ in range(copies):
+            frame(spark, batch).coalesce(1).write.mode("append").parquet(source)
+        ingest.start(spark, source, out, str(tmp_path / "progress")).awaitTermination()
+        assert shuffled(spark) - before < 1.5 * n_bytes
+    assert as_sets(ingest.live_index(spark, out))[2:] == rebuilt(spark, first + later)[2:]
+
+
 def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
     """A small first batch does not fix the size of buckets: a compaction makes more."""
     monkeypatch.setattr(index_module, "PART_BYTES", 30)

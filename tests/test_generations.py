@@ -1,11 +1,13 @@
 """Versions in any order, deletions, and tables merged from generations."""
 
 import random
+import re
 from pathlib import Path
 
 import pytest
 
 from sextant.operators import index as index_module
+from sextant.operators import lexical
 from sextant.operators.index import build
 from sextant.sources import files, generations
 from sextant.sources.tables import shared_dir
@@ -162,6 +164,25 @@ def test_a_stream_shuffles_contents_once(spark, tmp_path):
     assert as_sets(ingest.live_index(spark, out))[2:] == rebuilt(spark, first + later)[2:]
 
 
+def test_live_rows_meet_a_search_where_they_lie(spark, tmp_path):
+    """Neither postings nor contents of live tables are shuffled, whatever died since the base."""
+    out = str(tmp_path / "live")
+    for i in range(2):
+        ingest.apply_batch(frame(spark, [("a.py", f"alpha v{i}", i, False), (f"{i}.py", "own alpha", i, False)]), out)
+    index = ingest.live_index(spark, out)
+    terms = lexical.query_terms(spark.createDataFrame([(1, "alpha own")], serve.QUERY_SCHEMA))
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    try:
+        found = lexical.candidates(index, terms)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, index.chunks, index.postings)]
+        assert not any(re.search(r"Exchange (hash|range)partitioning", plan) for plan in plans)
+        assert sorted((r.chunk_id, r.inner) for r in found.collect()) == [("0.py#0", 0), ("1.py#0", 0), ("a.py#0", 0)]
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+
+
 def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
     """A small first batch does not fix the size of buckets: a compaction makes more."""
     monkeypatch.setattr(index_module, "PART_BYTES", 30)
